@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, simhash, substring, tokencount, tokenfiles
+from . import decontaminate, mixing, secrets, simhash, substring, tiff, tokencount, tokenfiles, toxicity, urls
 from .common import table
 
 WINDOW, END_ID = 20, 2
@@ -26,10 +26,26 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_token_files(manifest)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.digest(urls.judge(table(spark, sf_dir, "pages")))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -39,9 +55,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_substring_dedup, op2_source_mixing, op3_token_files, op7_token_count, op9_simhash, op10_decontaminate]
+    own = [op1_substring_dedup, op2_source_mixing, op3_token_files, op4_secret_scan, op5_url_filter, op6_toxicity, op7_token_count, op8_tiff_pages, op9_simhash, op10_decontaminate]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring.ORACLE, "op2_source_mixing": mixing.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+    return {"op1_substring_dedup": substring.ORACLE, "op2_source_mixing": mixing.ORACLE, "op5_url_filter": urls.oracle(), "op10_decontaminate": decontaminate.ORACLE}
