@@ -69,6 +69,13 @@ def _rows(t: pa.Table) -> list[tuple[int, int | None, bytes]]:
     return sorted(((FIRST_ID if d is None else d, d, x) for d, x in zip(t["doc_id"].to_pylist(), utf8(t["text"]), strict=True)), key=lambda r: (r[0], r[2]))
 
 
+def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
 def _by_bucket(buckets: np.ndarray):
     """Order by bucket, and each bucket with its slice."""
     order = np.argsort(buckets, kind="stable")
@@ -94,7 +101,7 @@ def _shared_anchors(t: pa.Table) -> pa.Table:
     parts = [np.frombuffer(x, np.uint64) for x in t["h"].to_pylist()]
     names, counts = np.unique(np.concatenate(parts), return_counts=True)
     shared = names[counts > 1]
-    kept = [(b, p[np.isin(p, shared, assume_unique=True)]) for b, p in zip(t["block"].to_pylist(), parts, strict=True)]
+    kept = [(b, p[_among(p, shared)]) for b, p in zip(t["block"].to_pylist(), parts, strict=True)]
     kept = [(b, packed(p)) for b, p in kept if len(p)]
     return pa.table({"block": pa.array([b for b, _ in kept], pa.int32()), "h": pa.array([h for _, h in kept], pa.binary())})
 
@@ -136,11 +143,11 @@ def _send_windows(window: int, n_buckets: int):
         each = [(k, d, anchors(x.split(), window)) for k, (d, _, x) in enumerate(_rows(docs))]
         own, counts = np.unique(np.concatenate([a[1] for _, _, a in each]), return_counts=True)
         repeated = np.union1d(own[counts > 1], np.concatenate([*(np.frombuffer(x, np.uint64) for x in shared["h"].to_pylist()), np.zeros(0, np.uint64)]))
+        hits = _among(np.concatenate([a[1] for _, _, a in each]), repeated)
+        ends = np.cumsum([len(a[1]) for _, _, a in each])
         found = []
-        for k, d, (where, hashes, joined, at) in each:
-            if not len(where):
-                continue
-            where = where[np.isin(hashes, repeated)]
+        for (k, d, (where, _, joined, at)), end in zip(each, ends.tolist(), strict=True):
+            where = where[hits[end - len(where) : end]]
             if not len(where):
                 continue
             starts = candidates(len(at) - 1, where, window)
@@ -173,8 +180,9 @@ def _late_windows(t: pa.Table) -> pa.Table:
         order = np.lexsort((w["pos"], w["doc"], w["lo"], w["hi"]))
         w, late = _not_first(w[order])
         w, of = w[late], of[order][late]
-        for b in np.unique(of).tolist():
-            out.append((b, _pack_runs(w["row"][of == b], w["pos"][of == b])))
+        order, parts = _by_bucket(of)
+        w = w[order]
+        out += [(b, _pack_runs(w["row"][i:j], w["pos"][i:j])) for b, i, j in parts]
     return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "gone": pa.array([g for _, g in out], pa.binary())})
 
 
