@@ -1,9 +1,422 @@
-"""The registered queries over the driver's tables, each with its SQL."""
+"""The registered queries over the driver's tables: one for each operator, with the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import os
+import sqlite3
+import tempfile
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+import loomtab as lt
+from loomtab import Table
+from loomtab.streaming.windows import sessions, windowed
+
+Query = Callable[[SparkSession, str], DataFrame]
+ORDER = {"orders": "o_orderkey", "nation": "n_nationkey", "region": "r_regionkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "events": "event_id", "documents": "doc_id", "embeddings": "vec_id"}
+
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of a folder, in their key order."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> Table:
+        return Table(self.spark.read.parquet(f"{self.folder}/{name}.parquet"), ORDER.get(name))
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of ``Tables`` that returns a table or a DataFrame."""
+
+    def add(f: Callable[[Tables], Table | DataFrame]):
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            out = f(Tables(spark, folder))
+            return out.df if isinstance(out, Table) else out
+
+        run.__name__ = name
+        _queries[name] = run
+        if sql is not None:
+            _sql[name] = sql
+        return f
+
+    return add
+
+
+def one(spark: SparkSession, **values) -> DataFrame:
+    """A row of driver-side results."""
+    return spark.createDataFrame([tuple(values.values())], list(values))
+
+
+# --- flagship -------------------------------------------------------------------------------------------------------
+
+query("flagship", "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000 GROUP BY 1")(
+    lambda d: lt.sort(lt.aggregate(lt.join(lt.selectgt(d.orders, "o_totalprice", 100000), d.customer, lkey="o_custkey", rkey="c_custkey"), "c_mktsegment", {"n": len, "total": F.round(F.sum("o_totalprice"), 2)}), "c_mktsegment")
+)
+
+# --- columns and headers --------------------------------------------------------------------------------------------
+
+query("cut", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")(lambda d: lt.cut(d.orders, "o_orderkey", 3, "o_orderstatus"))
+query("cutout", "SELECT * EXCLUDE (o_orderpriority, o_orderdate) FROM orders")(lambda d: lt.cutout(d.orders, "o_orderpriority", "o_orderdate"))
+query("movefield", "SELECT o_totalprice, o_orderkey, o_custkey FROM orders")(lambda d: lt.movefield(lt.cut(d.orders, "o_orderkey", "o_custkey", "o_totalprice"), "o_totalprice", 0))
+query("addfield", "SELECT n_nationkey, n_nationkey * 10 + n_regionkey AS code FROM nation")(lambda d: lt.cut(lt.addfield(d.nation, "code", lambda r: r.n_nationkey * 10 + r["n_regionkey"]), "n_nationkey", "code"))
+query("addfield_expression", "SELECT o_orderkey, CASE WHEN o_totalprice > 1000 AND o_orderstatus = 'F' THEN 'big' ELSE 'other' END AS kind FROM orders")(lambda d: lt.cut(lt.addfield(d.orders, "kind", "'big' if {o_totalprice} > 1000 and {o_orderstatus} == 'F' else 'other'"), "o_orderkey", "kind"))
+query("addfield_opaque", "SELECT n_nationkey, length(n_name) * 2 AS twice FROM nation")(lambda d: lt.cut(lt.addfield(d.nation, "twice", lambda r: len(r.n_name) * 2, returns="bigint"), "n_nationkey", "twice"))
+query("addfields", "SELECT n_nationkey, n_nationkey + 1 AS a, n_nationkey * 2 AS b, 7 AS c FROM nation")(lambda d: lt.cut(lt.addfields(d.nation, [("a", lambda r: r.n_nationkey + 1), ("b", lambda r: r.n_nationkey * 2, 0), ("c", 7)]), "n_nationkey", "a", "b", "c"))
+query("addcolumn", "SELECT *, CAST(row_number() OVER (ORDER BY n_nationkey) * 5 AS BIGINT) AS x FROM nation")(lambda d: lt.addcolumn(d.nation, "x", [5 * (i + 1) for i in range(25)]))
+query("addrownumbers", "SELECT 10 + 5 * (row_number() OVER (ORDER BY o_orderkey) - 1) AS row, o_orderkey FROM orders")(lambda d: lt.addrownumbers(lt.cut(d.orders, "o_orderkey"), 10, 5))
+query("addfieldusingcontext", "SELECT event_id, coalesce(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id), value) AS step FROM events")(
+    lambda d: lt.cut(lt.addfieldusingcontext(d.events, "step", lambda p, c, n: F.coalesce((c.value - p.value).column, c.value.column), by="user_id"), "event_id", "step")
+)
+query("addfieldusingcontext_recurrent", "SELECT event_id, sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id)::DOUBLE AS running FROM events")(
+    lambda d: lt.cut(lt.addfieldusingcontext(d.events, "running", lambda p, c, n: float(c.event_id + (p.running if p is not None else 0)), by="user_id", recurrent=True), "event_id", "running")
+)
+query("annex", "SELECT n.n_nationkey, n.n_name, r.r_regionkey, r.r_name FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) n FULL JOIN (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS i FROM region) r USING (i)")(lambda d: lt.annex(lt.cut(d.nation, 0, 1), d.region))
+query("rename", "SELECT r_regionkey AS id, r_name FROM region")(lambda d: lt.rename(d.region, {"r_regionkey": "id"}))
+query("setheader", "SELECT r_regionkey AS a, r_name AS b FROM region")(lambda d: lt.setheader(d.region, ["a", "b"]))
+query("extendheader", "SELECT r_regionkey, r_name, CAST(NULL AS VARCHAR) AS extra FROM region")(lambda d: lt.extendheader(d.region, ["extra"]))
+query("pushheader", "SELECT 'r_regionkey' AS a, 'r_name' AS b UNION ALL SELECT CAST(r_regionkey AS VARCHAR), r_name FROM region")(lambda d: lt.pushheader(d.region, ["a", "b"]))
+query("skip", "SELECT CAST(r_regionkey AS VARCHAR) AS \"0\", r_name AS \"AFRICA\" FROM region WHERE r_regionkey > 0")(lambda d: lt.setheader(lt.skip(lt.convertall(d.region, str), 1), ["0", "AFRICA"]))
+query("prefixheader", "SELECT r_regionkey AS x_r_regionkey, r_name AS x_r_name FROM region")(lambda d: lt.prefixheader(d.region, "x_"))
+query("suffixheader", "SELECT r_regionkey AS r_regionkey_x, r_name AS r_name_x FROM region")(lambda d: lt.suffixheader(d.region, "_x"))
+query("sortheader", "SELECT n_name, n_nationkey, n_regionkey FROM nation")(lambda d: lt.sortheader(d.nation))
+query("fieldmap", "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS status, o_totalprice * 2 AS twice, upper(o_orderpriority) AS priority FROM orders")(
+    lambda d: lt.fieldmap(d.orders, {"id": "o_orderkey", "status": ("o_orderstatus", {"F": "final", "O": "open"}), "twice": "{o_totalprice} * 2", "priority": ("o_orderpriority", lambda v: v.upper())})
+)
+query("rowmap", "SELECT n_nationkey AS id, lower(n_name) AS name FROM nation")(lambda d: lt.rowmap(d.nation, lambda r: [r["n_nationkey"], r["n_name"].lower()], "id int, name string"))
+query("rowmapmany", "SELECT n_nationkey AS id, unnest([n_regionkey, n_regionkey + 100]) AS v FROM nation")(lambda d: lt.rowmapmany(d.nation, lambda r: [(r[0], r["n_regionkey"]), (r[0], r["n_regionkey"] + 100)], "id int, v int"))
+query("rowgroupmap", "SELECT n_regionkey AS region, n_name AS name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation")(lambda d: lt.rowgroupmap(d.nation, "n_regionkey", lambda k, rows: [(k, r.n_name, i + 1) for i, r in enumerate(rows)], "region int, name string, k bigint"))
+query("unpack", "SELECT vec_id, embedding[1] AS x, embedding[2] AS y FROM embeddings")(lambda d: lt.cut(lt.unpack(d.embeddings, "embedding", ["x", "y"]), "vec_id", "x", "y"))
+query("unpackdict", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")(lambda d: lt.cut(lt.unpackdict(lt.convert(d.events, "props", F.from_json("props", "map<string,bigint>")), "props"), "event_id", "k"))
+
+# --- filters --------------------------------------------------------------------------------------------------------
+
+SOME_NULLS = "(SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN value END AS v, event_type FROM events)"
+
+
+def some_nulls(d: Tables) -> Table:
+    return lt.cut(lt.addfield(d.events, "v", F.expr("CASE WHEN event_id % 3 <> 0 THEN value END")), "event_id", "v", "event_type")
+
+
+query("select", "SELECT o_orderkey FROM orders WHERE o_totalprice > 50000 AND o_orderstatus = 'O'")(lambda d: lt.cut(lt.select(d.orders, "{o_totalprice} > 50000 and {o_orderstatus} == 'O'"), 0))
+query("select_complement", f"SELECT event_id, v FROM {SOME_NULLS} WHERE NOT coalesce(v > 50, false)")(lambda d: lt.cut(lt.select(some_nulls(d), lambda r: r.v > 50, complement=True), "event_id", "v"))
+query("selectop", "SELECT n_name FROM nation WHERE n_nationkey % 7 = 3")(lambda d: lt.cut(lt.selectop(d.nation, "n_nationkey", 7, lambda c, v: c % v == 3), "n_name"))
+for _name, _test in (("selecteq", "v IS NOT DISTINCT FROM NULL"), ("selectne", "v IS DISTINCT FROM NULL")):
+    query(_name, f"SELECT event_id, v FROM {SOME_NULLS} WHERE {_test}")(lambda d, f=getattr(lt, _name): lt.cut(f(some_nulls(d), "v", None), "event_id", "v"))
+for _name, _test in (("selectlt", "v IS NULL OR v < 50"), ("selectle", "v IS NULL OR v <= 50"), ("selectgt", "v > 50"), ("selectge", "v >= 50")):
+    query(_name, f"SELECT event_id, v FROM {SOME_NULLS} WHERE {_test}")(lambda d, f=getattr(lt, _name): lt.cut(f(some_nulls(d), "v", 50), "event_id", "v"))
+for _name, _test in (("selectrangeopenleft", "v >= 20 AND v < 60"), ("selectrangeopenright", "v > 20 AND (v IS NULL OR v <= 60)"), ("selectrangeopen", "v >= 20 AND v <= 60"), ("selectrangeclosed", "v > 20 AND v < 60")):
+    query(_name, f"SELECT event_id, v FROM {SOME_NULLS} WHERE {_test}")(lambda d, f=getattr(lt, _name): lt.cut(f(some_nulls(d), "v", 20, 60), "event_id", "v"))
+query("selectcontains", "SELECT p_partkey, p_name FROM part WHERE contains(p_name, '1')")(lambda d: lt.cut(lt.selectcontains(d.part, "p_name", "1"), "p_partkey", "p_name"))
+query("selectin", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P')")(lambda d: lt.cut(lt.selectin(d.orders, "o_orderstatus", ["F", "P"]), 0))
+query("selectnotin", f"SELECT event_id, event_type FROM {SOME_NULLS} WHERE event_type NOT IN ('click', 'view')")(lambda d: lt.cut(lt.selectnotin(d.events, "event_type", ["click", "view"]), "event_id", "event_type"))
+query("selectis", "SELECT n_name FROM nation WHERE n_regionkey = 2")(lambda d: lt.cut(lt.selectis(d.nation, "n_regionkey", 2), "n_name"))
+query("selectisnot", "SELECT n_name FROM nation WHERE n_regionkey <> 2")(lambda d: lt.cut(lt.selectisnot(d.nation, "n_regionkey", 2), "n_name"))
+query("selectisinstance", f"SELECT event_id FROM {SOME_NULLS} WHERE v IS NOT NULL")(lambda d: lt.cut(lt.selectisinstance(some_nulls(d), "v", float), "event_id"))
+query("selecttrue", "SELECT n_nationkey FROM nation WHERE n_regionkey <> 0")(lambda d: lt.cut(lt.selecttrue(d.nation, "n_regionkey"), 0))
+query("selectfalse", "SELECT n_nationkey FROM nation WHERE n_regionkey = 0")(lambda d: lt.cut(lt.selectfalse(d.nation, "n_regionkey"), 0))
+query("selectnone", f"SELECT event_id FROM {SOME_NULLS} WHERE v IS NULL")(lambda d: lt.cut(lt.selectnone(some_nulls(d), "v"), 0))
+query("selectnotnone", f"SELECT event_id FROM {SOME_NULLS} WHERE v IS NOT NULL")(lambda d: lt.cut(lt.selectnotnone(some_nulls(d), "v"), 0))
+query("rowlenselect", f"SELECT event_id FROM {SOME_NULLS} WHERE v IS NOT NULL")(lambda d: lt.cut(lt.rowlenselect(lt.cut(some_nulls(d), 0, 1), 2), 0))
+query("selectusingcontext", "SELECT event_id FROM (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE value > p")(lambda d: lt.cut(lt.selectusingcontext(d.events, lambda p, c, n: c.value > p.value, by="user_id"), 0))
+query("facet", "SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey IN (1, 3)")(
+    lambda d: lt.cat(*[lt.cut(lt.join(t, d.region, lkey="n_regionkey", rkey="r_regionkey"), "r_name", "n_name") for k, t in lt.facet(d.nation, "n_regionkey").items() if k in (1, 3)])
+)
+query("biselect", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'yes' ELSE 'no' END AS side FROM orders")(lambda d: lt.cat(*[lt.cut(lt.addfield(t, "side", s), "o_orderkey", "side") for t, s in zip(lt.biselect(d.orders, lambda r: r.o_totalprice > 100000), ("yes", "no"), strict=True)]))
+query("skipcomments", "SELECT r_name FROM region WHERE NOT starts_with(r_name, 'A')")(lambda d: lt.skipcomments(lt.cut(d.region, "r_name"), "A"))
+query("search", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '[0-9]7') OR regexp_matches(p_type, '[0-9]7')")(lambda d: lt.cut(lt.search(d.part, ["p_name", "p_type"], "[0-9]7"), 0))
+query("searchcomplement", "SELECT p_partkey FROM part WHERE NOT regexp_matches(p_name, '[0-9]7')")(lambda d: lt.cut(lt.searchcomplement(d.part, "p_name", "[0-9]7"), 0))
+
+# --- joins ----------------------------------------------------------------------------------------------------------
+
+C, O = "(SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey % 3 <> 0)", "(SELECT o_custkey AS k, o_orderkey FROM orders WHERE o_custkey % 2 = 0)"
+COLS = "coalesce(c.k, o.k) AS k, c.c_name, o.o_orderkey"
+
+
+def customers(d: Tables) -> Table:
+    return lt.rename(lt.cut(lt.select(d.customer, lambda r: r.c_custkey % 3 != 0), "c_custkey", "c_name"), "c_custkey", "k")
+
+
+def orders_of(d: Tables) -> Table:
+    return lt.rename(lt.cut(lt.select(d.orders, lambda r: r.o_custkey % 2 == 0), "o_custkey", "o_orderkey"), "o_custkey", "k")
+
+
+for _prefix in ("", "hash"):
+    for _how, _sqlhow in (("join", "JOIN"), ("leftjoin", "LEFT JOIN"), ("rightjoin", "RIGHT JOIN")):
+        query(_prefix + _how, f"SELECT {COLS} FROM {C} c {_sqlhow} {O} o ON c.k = o.k")(lambda d, f=getattr(lt, _prefix + _how): f(customers(d), orders_of(d), key="k"))
+    query(f"{_prefix}antijoin", f"SELECT * FROM {C} c WHERE NOT EXISTS (SELECT 1 FROM {O} o WHERE o.k = c.k)")(lambda d, f=getattr(lt, f"{_prefix}antijoin"): f(customers(d), orders_of(d), key="k"))
+    query(f"{_prefix}lookupjoin", f"SELECT c.k, c.c_name, o.o_orderkey FROM {C} c LEFT JOIN (SELECT k, min(o_orderkey) AS o_orderkey FROM {O} GROUP BY k) o ON c.k = o.k")(lambda d, f=getattr(lt, f"{_prefix}lookupjoin"): f(customers(d), orders_of(d), key="k"))
+query("outerjoin", f"SELECT {COLS} FROM {C} c FULL JOIN {O} o ON c.k = o.k")(lambda d: lt.outerjoin(customers(d), orders_of(d), key="k"))
+query("leftjoin_missing", f"SELECT c.k, c.c_name, coalesce(o.o_orderkey, -1) AS o_orderkey FROM {C} c LEFT JOIN {O} o ON c.k = o.k")(lambda d: lt.leftjoin(customers(d), orders_of(d), missing=-1))
+query("join_nulls", f"SELECT a.event_id, b.event_id AS other FROM {SOME_NULLS} a JOIN {SOME_NULLS} b ON a.v IS NOT DISTINCT FROM b.v WHERE a.event_id < 60 AND b.event_id < 60")(
+    lambda d: lt.cut(lt.join(lt.selectlt(some_nulls(d), "event_id", 60), lt.cut(lt.rename(lt.selectlt(some_nulls(d), "event_id", 60), "event_id", "other"), "other", "v"), key="v"), "event_id", "other")
+)
+query("crossjoin", "SELECT n_name, r_name FROM nation, region")(lambda d: lt.crossjoin(lt.cut(d.nation, "n_name"), lt.cut(d.region, "r_name")))
+query("unjoin", "SELECT row_number() OVER (ORDER BY o_orderpriority) AS id, o_orderpriority FROM (SELECT DISTINCT o_orderpriority FROM orders)")(lambda d: lt.unjoin(d.orders, "o_orderpriority")[1])
+query("unjoin_facts", "SELECT o_orderkey, id AS o_orderpriority_id FROM orders JOIN (SELECT row_number() OVER (ORDER BY o_orderpriority) AS id, o_orderpriority FROM (SELECT DISTINCT o_orderpriority FROM orders)) USING (o_orderpriority)")(lambda d: lt.cut(lt.unjoin(d.orders, "o_orderpriority")[0], "o_orderkey", "o_orderpriority_id"))
+
+# --- intervals ------------------------------------------------------------------------------------------------------
+
+IL = "(SELECT o_orderkey AS id, o_custkey % 40 AS g, o_orderkey AS a, o_orderkey + o_custkey % 17 AS b FROM orders)"
+IR = "(SELECT p_partkey AS rid, p_partkey % 40 AS rg, p_partkey * 7 AS s, p_partkey * 7 + p_size % 9 AS e FROM part)"
+OVER = "l.a < r.e AND l.b > r.s"
+
+
+def left_intervals(d: Tables) -> Table:
+    return Table(d.orders.df.selectExpr("o_orderkey AS id", "o_custkey % 40 AS g", "o_orderkey AS a", "o_orderkey + o_custkey % 17 AS b"), "id")
+
+
+def right_intervals(d: Tables) -> Table:
+    return Table(d.part.df.selectExpr("p_partkey AS rid", "p_partkey % 40 AS rg", "p_partkey * 7 AS s", "p_partkey * 7 + p_size % 9 AS e"), "rid")
+
+
+_AT = {"lstart": "a", "lstop": "b", "rstart": "s", "rstop": "e"}
+query("intervaljoin", f"SELECT id, rid FROM {IL} l JOIN {IR} r ON {OVER}")(lambda d: lt.cut(lt.intervaljoin(left_intervals(d), right_intervals(d), **_AT), "id", "rid"))
+query("intervaljoin_facet", f"SELECT id, rid FROM {IL} l JOIN {IR} r ON g = rg AND {OVER}")(lambda d: lt.cut(lt.intervaljoin(left_intervals(d), right_intervals(d), **_AT, lkey="g", rkey="rg"), "id", "rid"))
+query("intervaljoin_stop", f"SELECT id, rid FROM {IL} l JOIN {IR} r ON l.a <= r.e AND l.b >= r.s")(lambda d: lt.cut(lt.intervaljoin(left_intervals(d), right_intervals(d), **_AT, include_stop=True), "id", "rid"))
+query("intervalleftjoin", f"SELECT id, rid FROM {IL} l LEFT JOIN {IR} r ON {OVER}")(lambda d: lt.cut(lt.intervalleftjoin(left_intervals(d), right_intervals(d), **_AT), "id", "rid"))
+query("intervalantijoin", f"SELECT l.* FROM {IL} l WHERE NOT EXISTS (SELECT 1 FROM {IR} r WHERE {OVER})")(lambda d: lt.intervalantijoin(left_intervals(d), right_intervals(d), **_AT))
+query("intervaljoinvalues", f"SELECT id, CAST(len(v) AS INTEGER) AS n, list_sum(v)::BIGINT AS total FROM (SELECT id, coalesce(list(rid) FILTER (WHERE rid IS NOT NULL), []) AS v FROM {IL} l LEFT JOIN {IR} r ON {OVER} GROUP BY id)")(
+    lambda d: lt.intervaljoinvalues(left_intervals(d), right_intervals(d), "rid", **_AT).df.select("id", F.size("rid").alias("n"), F.expr("CASE WHEN size(rid) > 0 THEN aggregate(rid, 0L, (s, x) -> s + x) END").alias("total"))
+)
+COLLAPSED = """WITH m AS (SELECT l_suppkey AS k, l_orderkey AS a, l_orderkey + CAST(l_quantity AS BIGINT) AS b FROM lineitem),
+p AS (SELECT *, max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM m),
+g AS (SELECT *, sum(CASE WHEN m IS NULL OR a > m THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS i FROM p)
+SELECT k, min(a) AS a, max(b) AS b FROM g GROUP BY k, i"""
+query("collapsedintervals", COLLAPSED)(lambda d: lt.collapsedintervals(Table(d.lineitem.df.selectExpr("l_suppkey AS k", "l_orderkey AS a", "l_orderkey + CAST(l_quantity AS BIGINT) AS b")), "a", "b", key="k"))
+query("intervalsubtract", f"""WITH m AS (SELECT s AS a, e AS b FROM {IR} WHERE e > s),
+p AS (SELECT *, max(b) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM m),
+g AS (SELECT *, sum(CASE WHEN m IS NULL OR a > m THEN 1 ELSE 0 END) OVER (ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS i FROM p),
+c AS (SELECT min(a) AS s, max(b) AS e FROM g GROUP BY i),
+h AS (SELECT id, l.a, l.b, list(s ORDER BY s) FILTER (WHERE s IS NOT NULL) AS ss, list(e ORDER BY s) FILTER (WHERE e IS NOT NULL) AS es FROM {IL} l LEFT JOIN c r ON {OVER} GROUP BY ALL),
+x AS (SELECT id, unnest(list_concat([a], coalesce(es, []))) AS a, unnest(list_concat(coalesce(ss, []), [b])) AS b FROM h)
+SELECT * FROM x WHERE a < b""")(lambda d: lt.cut(lt.intervalsubtract(left_intervals(d), Table(right_intervals(d).df.where("e > s")), **_AT), "id", "a", "b"))
+query("intervallookup", f"SELECT count(*) AS n, CAST(sum(id) AS BIGINT) AS total FROM {IL} WHERE a < 600 AND b > 500")(lambda d: one(d.spark, n=len(x := lt.intervallookup(left_intervals(d), "a", "b", "id").search(500, 600)), total=sum(x)))
+query("facetintervallookup", f"SELECT count(*) AS n, CAST(sum(id) AS BIGINT) AS total FROM {IL} WHERE g = 3 AND a < 9000 AND b > 500")(lambda d: one(d.spark, n=len(x := lt.facetintervallookup(left_intervals(d), "g", "a", "b", "id")[3].search(500, 9000)), total=sum(x)))
+
+# --- aggregation ----------------------------------------------------------------------------------------------------
+
+query("aggregate_simple", "SELECT o_orderstatus, count(*) AS value FROM orders GROUP BY 1")(lambda d: lt.aggregate(d.orders, "o_orderstatus", len))
+query("aggregate_multi", "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS qty, min(l_discount) AS lo, max(l_tax) AS hi, round(avg(l_extendedprice), 4) AS price FROM lineitem GROUP BY 1, 2")(
+    lambda d: lt.aggregate(d.lineitem, ("l_returnflag", "l_linestatus"), {"n": len, "qty": ("l_quantity", sum), "lo": ("l_discount", min), "hi": ("l_tax", max), "price": F.round(F.avg("l_extendedprice"), 4)})
+)
+query("aggregate_global", "SELECT count(*) AS n, max(o_totalprice) AS top FROM orders")(lambda d: lt.aggregate(d.orders, None, {"n": len, "top": ("o_totalprice", max)}))
+query("aggregate_callable_key", "SELECT n_regionkey % 2 AS key, count(*) AS value FROM nation GROUP BY 1")(lambda d: lt.aggregate(d.nation, lambda r: r.n_regionkey % 2, len))
+query("aggregate_list", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")(lambda d: lt.aggregate(d.nation, "n_regionkey", {"names": ("n_name", lt.strjoin(","))}))
+query("rowreduce", "SELECT n_regionkey AS region, CAST(sum(n_nationkey) AS BIGINT) AS total FROM nation GROUP BY 1")(lambda d: lt.rowreduce(d.nation, "n_regionkey", lambda k, rows: [k, sum(r.n_nationkey for r in rows)], "region int, total bigint"))
+query("fold", "SELECT o_custkey AS key, sum(o_orderkey)::BIGINT AS value FROM orders GROUP BY 1")(lambda d: lt.fold(d.orders, "o_custkey", lambda a, b: a + b, "o_orderkey"))
+query("groupcountdistinctvalues", "SELECT o_custkey, count(DISTINCT o_orderstatus) AS value FROM orders GROUP BY 1")(lambda d: lt.groupcountdistinctvalues(d.orders, "o_custkey", "o_orderstatus"))
+query("groupselectfirst", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1")(lambda d: lt.cut(lt.groupselectfirst(d.orders, "o_custkey"), "o_custkey", "o_orderkey"))
+query("groupselectlast", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")(lambda d: lt.cut(lt.groupselectlast(d.orders, "o_custkey"), "o_custkey", "o_orderkey"))
+query("groupselectmin", f"SELECT event_id, v, event_type FROM {SOME_NULLS} QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY v NULLS FIRST, event_id) = 1")(lambda d: lt.groupselectmin(some_nulls(d), "event_type", "v"))
+query("groupselectmax", f"SELECT event_id, v, event_type FROM {SOME_NULLS} QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY v DESC NULLS LAST, event_id) = 1")(lambda d: lt.groupselectmax(some_nulls(d), "event_type", "v"))
+MERGED = "SELECT k, CASE WHEN count(DISTINCT s) = 1 THEN min(s) END AS s, CAST(CASE WHEN count(DISTINCT s) > 1 THEN count(DISTINCT s) ELSE -1 END AS INTEGER) AS n FROM {} GROUP BY k"
+query("mergeduplicates", MERGED.format("(SELECT o_custkey AS k, o_orderstatus AS s FROM orders)"))(lambda d: lt.mergeduplicates(lt.setheader(lt.cut(d.orders, "o_custkey", "o_orderstatus"), ["k", "s"]), "k").df.select("k", "s", F.coalesce(F.size("s_conflict"), F.lit(-1)).alias("n")))
+query("merge", MERGED.format("(SELECT n_nationkey AS k, n_name AS s FROM nation UNION ALL SELECT r_regionkey, r_name FROM region)"))(lambda d: lt.merge(lt.setheader(lt.cut(d.nation, 0, 1), ["k", "s"]), lt.setheader(d.region, ["k", "s"]), key="k").df.select("k", "s", F.when(F.size("s_conflict") > 0, F.size("s_conflict")).otherwise(-1).alias("n")))
+query("nrows", "SELECT count(*) AS n FROM lineitem")(lambda d: one(d.spark, n=lt.nrows(d.lineitem)))
+query("valuecount", "SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS n, count(*) FILTER (WHERE o_orderstatus = 'F') / count(*) AS share FROM orders")(lambda d: one(d.spark, **dict(zip(("n", "share"), lt.valuecount(d.orders, "o_orderstatus", "F"), strict=True))))
+query("valuecounter", "SELECT count(DISTINCT o_orderpriority) AS n, count(*) AS total FROM orders")(lambda d: one(d.spark, n=len(c := lt.valuecounter(d.orders, "o_orderpriority")), total=c.total()))
+query("valuecounts", "SELECT o_orderpriority, count(*) AS count, count(*) / (SELECT count(*) FROM orders) AS frequency FROM orders GROUP BY 1")(lambda d: lt.valuecounts(d.orders, "o_orderpriority"))
+query("parsecounts", "SELECT 'int' AS type, count(TRY_CAST(x AS BIGINT)) AS count, count(*) - count(TRY_CAST(x AS BIGINT)) AS errors FROM (SELECT substr(p_name, 6) AS x FROM part) UNION ALL SELECT 'float', count(TRY_CAST(x AS DOUBLE)), count(*) - count(TRY_CAST(x AS DOUBLE)) FROM (SELECT substr(p_name, 6) AS x FROM part)")(lambda d: lt.parsecounts(Table(d.part.df.selectExpr("substr(p_name, 6) AS x")), "x"))
+query("typecounts", f"SELECT CASE WHEN v IS NULL THEN 'NoneType' ELSE 'float' END AS type, count(*) AS count, count(*) / (SELECT count(*) FROM events) AS frequency FROM {SOME_NULLS} GROUP BY 1")(lambda d: lt.typecounts(some_nulls(d), "v"))
+query("stringpatterns", "SELECT regexp_replace(regexp_replace(regexp_replace(c_name, '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g') AS pattern, count(*) AS count, count(*) / (SELECT count(*) FROM customer) AS frequency FROM customer GROUP BY 1")(lambda d: lt.stringpatterns(d.customer, "c_name"))
+query("rowlengths", f"SELECT CASE WHEN v IS NULL THEN 1 ELSE 2 END AS length, count(*) AS count FROM {SOME_NULLS} GROUP BY 1")(lambda d: lt.rowlengths(lt.cut(some_nulls(d), 0, 1)))
+query("limits", "SELECT min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders")(lambda d: one(d.spark, **dict(zip(("low", "high"), lt.limits(d.orders, "o_totalprice"), strict=True))))
+query("stats", "SELECT count(*) AS count, round(sum(o_totalprice), 1) AS sum, min(o_totalprice) AS min, max(o_totalprice) AS max, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS pstdev FROM orders")(
+    lambda d: lt.statsframe(d.orders, "o_totalprice").df.select("count", F.round("sum", 1).alias("sum"), "min", "max", F.round("mean", 4).alias("mean"), F.round("pstdev", 4).alias("pstdev"))
+)
+query("diffvalues", "SELECT (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O')) AS added")(lambda d: one(d.spark, added=len(lt.diffvalues(lt.selecteq(d.orders, "o_orderstatus", "O"), lt.selecteq(d.orders, "o_orderstatus", "F"), "o_custkey")[0])))
+
+# --- order ----------------------------------------------------------------------------------------------------------
+
+query("filldown", "SELECT event_id, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events)")(
+    lambda d: lt.cut(lt.filldown(lt.addfield(d.events, "v", F.expr("CASE WHEN event_id % 3 = 0 THEN value END")), "v", by="user_id"), "event_id", "v")
+)
+query("filldown_global", "SELECT event_id, last_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT event_id, CASE WHEN event_id % 7 = 3 THEN value END AS v FROM events)")(lambda d: lt.filldown(lt.cut(lt.addfield(d.events, "v", F.expr("CASE WHEN event_id % 7 = 3 THEN value END")), "event_id", "v"), "v"))
+FILLS = "(SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id END AS a, CASE WHEN event_id % 3 = 0 THEN user_id END AS b FROM events)"
+
+
+def gaps(d: Tables) -> Table:
+    return Table(d.events.df.selectExpr("event_id", "CASE WHEN event_id % 2 = 0 THEN event_id END AS a", "CASE WHEN event_id % 3 = 0 THEN user_id END AS b"), "event_id")
+
+
+query("fillright", f"SELECT event_id, coalesce(a, event_id) AS a, coalesce(b, a, event_id) AS b FROM {FILLS}")(lambda d: lt.fillright(gaps(d)))
+query("fillleft", f"SELECT event_id, coalesce(a, b) AS a, b FROM {FILLS}")(lambda d: lt.fillleft(gaps(d)))
+query("rowgroupby", "SELECT event_type AS key, CAST(count(*) AS INTEGER) AS n FROM (SELECT *, sum(new) OVER (ORDER BY event_id) AS g FROM (SELECT event_id, event_type, CASE WHEN event_type = lag(event_type) OVER (ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM events)) GROUP BY event_type, g")(
+    lambda d: lt.rowgroupby(d.events, "event_type", "event_id").df.select("key", F.size("rows").alias("n"))
+)
+query("sort", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC")(lambda d: lt.sort(lt.cut(d.orders, 0, "o_totalprice"), "o_totalprice", reverse=True))
+query("mergesort", "SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region")(lambda d: lt.mergesort(lt.setheader(lt.cut(d.nation, 0), ["k"]), lt.setheader(lt.cut(d.region, 0), ["k"]), key="k"))
+query("issorted", "SELECT true AS by_key, false AS by_price")(lambda d: one(d.spark, by_key=lt.issorted(d.orders, "o_orderkey", strict=True), by_price=lt.issorted(d.orders, "o_totalprice")))
+query("head", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7")(lambda d: lt.cut(lt.head(d.orders, 7), 0))
+query("tail", "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 7")(lambda d: lt.cut(lt.tail(d.orders, 7), 0))
+query("rowslice", "SELECT o_orderkey FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i >= 100 AND i < 900 AND (i - 100) % 7 = 0")(lambda d: lt.cut(lt.rowslice(d.orders, 100, 900, 7), 0))
+
+# --- sets -----------------------------------------------------------------------------------------------------------
+
+A, B = "(SELECT o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0)", "(SELECT o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0)"
+
+
+def evens(d: Tables) -> Table:
+    return lt.cut(lt.select(d.orders, lambda r: r.o_orderkey % 2 == 0), "o_orderstatus", "o_orderpriority")
+
+
+def thirds(d: Tables) -> Table:
+    return lt.cut(lt.select(d.orders, lambda r: r.o_orderkey % 3 == 0), "o_orderstatus", "o_orderpriority")
+
+
+query("cat", "SELECT n_nationkey, n_name, CAST(NULL AS INTEGER) AS r_regionkey FROM nation UNION ALL SELECT NULL, NULL, r_regionkey FROM region")(lambda d: lt.cat(lt.cut(d.nation, 0, 1), lt.cut(d.region, 0)))
+query("stack", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")(lambda d: lt.stack(lt.cut(d.nation, 0, 1), d.region))
+query("complement", f"SELECT * FROM {A} EXCEPT ALL SELECT * FROM {B}")(lambda d: lt.complement(evens(d), thirds(d)))
+query("complement_strict", "SELECT n_name FROM nation EXCEPT SELECT n_name FROM nation WHERE n_regionkey = 1")(lambda d: lt.complement(lt.cut(d.nation, "n_name"), lt.cut(lt.selecteq(d.nation, "n_regionkey", 1), "n_name"), strict=True))
+query("recordcomplement", f"SELECT * FROM {A} EXCEPT ALL SELECT * FROM {B}")(lambda d: lt.recordcomplement(evens(d), lt.cut(thirds(d), 1, 0)))
+query("diff", f"SELECT * FROM {B} EXCEPT ALL SELECT * FROM {A}")(lambda d: lt.diff(evens(d), thirds(d))[0])
+query("recorddiff", f"SELECT * FROM {A} EXCEPT ALL SELECT * FROM {B}")(lambda d: lt.recorddiff(evens(d), lt.cut(thirds(d), 1, 0))[1])
+query("intersection", f"SELECT * FROM {A} INTERSECT ALL SELECT * FROM {B}")(lambda d: lt.intersection(evens(d), thirds(d)))
+query("hashcomplement", f"SELECT * FROM {A} EXCEPT ALL SELECT * FROM {B}")(lambda d: lt.hashcomplement(evens(d), thirds(d)))
+query("hashintersection", f"SELECT * FROM {A} INTERSECT ALL SELECT * FROM {B}")(lambda d: lt.hashintersection(evens(d), thirds(d)))
+query("duplicates", "SELECT o_orderkey, o_custkey FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1")(lambda d: lt.duplicates(lt.cut(d.orders, 0, 1), "o_custkey"))
+query("unique", "SELECT l_orderkey, l_linenumber FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1")(lambda d: lt.unique(lt.cut(d.lineitem, "l_orderkey", "l_linenumber")))
+query("distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")(lambda d: lt.distinct(lt.cut(d.orders, "o_orderstatus", "o_orderpriority")))
+query("distinct_count", "SELECT o_custkey, min(o_orderkey) AS o_orderkey, count(*) AS n FROM orders GROUP BY 1")(lambda d: lt.distinct(lt.cut(d.orders, "o_custkey", "o_orderkey"), "o_custkey", count="n"))
+CONFLICTS = """WITH c AS (SELECT o_orderkey, o_custkey, o_orderstatus, coalesce(o_orderstatus <> lag(o_orderstatus) OVER w, false) AS x FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+e AS (SELECT *, bool_or(x) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS earlier, coalesce(lead(x) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), false) AS following FROM c)
+SELECT o_orderkey, o_custkey, o_orderstatus FROM e WHERE x OR (following AND NOT earlier)"""
+query("conflicts", CONFLICTS)(lambda d: lt.conflicts(lt.cut(d.orders, "o_orderkey", "o_custkey", "o_orderstatus"), "o_custkey", include="o_orderstatus"))
+query("isunique", "SELECT true AS orders, false AS customers")(lambda d: one(d.spark, orders=lt.isunique(d.orders, "o_orderkey"), customers=lt.isunique(d.orders, "o_custkey")))
+
+# --- reshaping ------------------------------------------------------------------------------------------------------
+
+query("melt", "SELECT n_nationkey, 'n_name' AS variable, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'n_regionkey', CAST(n_regionkey AS VARCHAR) FROM nation")(lambda d: lt.melt(d.nation, "n_nationkey"))
+query("recast", "SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")(lambda d: lt.recast(lt.melt(d.nation, "n_nationkey"), "n_nationkey"))
+query("recast_reducers", "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS F, max(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS O FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1")(
+    lambda d: lt.recast(lt.selectin(lt.cut(d.orders, "o_custkey", "o_orderstatus", "o_totalprice"), "o_orderstatus", ["F", "O"]), "o_custkey", "o_orderstatus", "o_totalprice", {"F": len, "O": max}).df.select("o_custkey", F.coalesce("F", F.lit(0)).alias("F"), "O")
+)
+query("pivot", "PIVOT (SELECT event_type, user_id, value FROM events) ON event_type USING round(sum(value), 4) GROUP BY user_id")(lambda d: lt.pivot(lt.cut(d.events, "user_id", "event_type", "value"), "user_id", "event_type", "value", F.round(F.sum("value"), 4)))
+query("transpose", "SELECT 'r_name' AS r_regionkey, max(r_name) FILTER (WHERE r_regionkey = 0) AS \"0\", max(r_name) FILTER (WHERE r_regionkey = 1) AS \"1\", max(r_name) FILTER (WHERE r_regionkey = 2) AS \"2\", max(r_name) FILTER (WHERE r_regionkey = 3) AS \"3\", max(r_name) FILTER (WHERE r_regionkey = 4) AS \"4\" FROM region")(lambda d: lt.transpose(d.region))
+query("flatten", "SELECT CAST(n_nationkey AS VARCHAR) AS value FROM nation UNION ALL SELECT n_name FROM nation UNION ALL SELECT CAST(n_regionkey AS VARCHAR) FROM nation")(lambda d: lt.flatten(d.nation))
+query("unflatten", "SELECT max(o_orderkey) FILTER (WHERE i % 3 = 0) AS f0, max(o_orderkey) FILTER (WHERE i % 3 = 1) AS f1, max(o_orderkey) FILTER (WHERE i % 3 = 2) AS f2 FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) GROUP BY i // 3")(lambda d: lt.unflatten(d.orders, "o_orderkey", 3))
+
+# --- conversion and regular expressions -----------------------------------------------------------------------------
+
+query("convert", "SELECT n_nationkey, lower(n_name) AS n_name, CAST(n_regionkey AS DOUBLE) AS n_regionkey FROM nation")(lambda d: lt.convert(d.nation, {"n_name": "lower", "n_regionkey": float}))
+query("convert_where", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN lower(n_name) ELSE n_name END AS n_name FROM nation")(lambda d: lt.cut(lt.convert(d.nation, "n_name", "lower", where=lambda r: r.n_regionkey == 1), 0, 1))
+query("convert_failing", "SELECT p_partkey, coalesce(TRY_CAST(substr(p_name, 1, 2) AS BIGINT), -1) AS p_name FROM part")(lambda d: lt.cut(lt.convert(Table(d.part.df.withColumn("p_name", F.expr("substr(p_name, 1, 2)"))), "p_name", int, errorvalue=-1), "p_partkey", "p_name"))
+query("convert_dict", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'x' ELSE o_orderstatus END AS o_orderstatus FROM orders")(lambda d: lt.cut(lt.convert(d.orders, "o_orderstatus", {"F": "x"}), "o_orderkey", "o_orderstatus"))
+query("convert_opaque", "SELECT n_nationkey, reverse(n_name) AS n_name FROM nation")(lambda d: lt.cut(lt.convert(d.nation, "n_name", lambda v: "".join(reversed(list(v))), returns="string"), 0, 1))
+query("convertall", "SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, r_name FROM region")(lambda d: lt.convertall(d.region, str))
+query("convertnumbers", "SELECT o_orderkey, o_totalprice FROM orders")(lambda d: lt.convertnumbers(lt.convertall(lt.cut(d.orders, "o_orderkey", "o_totalprice"), str)))
+query("replace", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE o_orderstatus END AS o_orderstatus FROM orders")(lambda d: lt.cut(lt.replace(d.orders, "o_orderstatus", "F", "done"), "o_orderkey", "o_orderstatus"))
+query("replaceall", "SELECT r_regionkey, CASE WHEN r_name = 'ASIA' THEN 'x' ELSE r_name END AS r_name FROM region")(lambda d: lt.replaceall(d.region, "ASIA", "x"))
+query("update", "SELECT n_nationkey, CASE WHEN n_regionkey > 2 THEN 'far' ELSE n_name END AS n_name FROM nation")(lambda d: lt.cut(lt.update(d.nation, "n_name", "far", where="{n_regionkey} > 2"), 0, 1))
+query("format", "SELECT n_nationkey, '<' || n_name || '>' AS n_name FROM nation")(lambda d: lt.cut(lt.format(d.nation, "n_name", "<{}>"), 0, 1))
+query("formatall", "SELECT '[' || r_regionkey || ']' AS r_regionkey, '[' || r_name || ']' AS r_name FROM region")(lambda d: lt.formatall(d.region, "[{}]"))
+query("interpolate", "SELECT n_nationkey, 'n=' || lpad(CAST(n_regionkey AS VARCHAR), 3, '0') AS n_regionkey FROM nation")(lambda d: lt.cut(lt.interpolate(d.nation, "n_regionkey", "n=%03d"), 0, 2))
+query("interpolateall", "SELECT 'v:' || r_regionkey AS r_regionkey, 'v:' || r_name AS r_name FROM region")(lambda d: lt.interpolateall(d.region, "v:%s"))
+query("capture", "SELECT c_custkey, regexp_extract(c_name, '([A-Za-z]+)#0*([0-9]+)', 1) AS word, regexp_extract(c_name, '([A-Za-z]+)#0*([0-9]+)', 2) AS num FROM customer")(lambda d: lt.cut(lt.capture(d.customer, "c_name", "([A-Za-z]+)#0*([0-9]+)", ["word", "num"], fill=["", ""]), "c_custkey", "word", "num"))
+query("split", "SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS a, nullif(split_part(o_orderpriority, '-', 2), '') AS b FROM orders")(lambda d: lt.convert(lt.cut(lt.split(d.orders, "o_orderpriority", "-", ["a", "b"]), "o_orderkey", "a", "b"), "b", {"": None}))
+query("splitdown", "SELECT p_partkey, unnest(string_split(p_type, ' ')) AS p_type FROM part")(lambda d: lt.splitdown(lt.cut(d.part, "p_partkey", "p_type"), "p_type", " "))
+query("sub", "SELECT c_custkey, regexp_replace(c_name, '([0-9])0', '\\1-') AS c_name FROM customer")(lambda d: lt.sub(lt.cut(d.customer, "c_custkey", "c_name"), "c_name", "([0-9])0", r"\1-", count=1))
+query("sub_all", "SELECT c_custkey, regexp_replace(c_name, '0+', '_', 'g') AS c_name FROM customer")(lambda d: lt.sub(lt.cut(d.customer, "c_custkey", "c_name"), "c_name", "0+", "_"))
+query("dateparser", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders")(lambda d: lt.convert(Table(d.orders.df.selectExpr("o_orderkey", "date_format(o_orderdate, 'dd/MM/yyyy') AS d")), "d", lt.dateparser("%d/%m/%Y")))
+query("datetimeparser", "SELECT event_id, date_trunc('second', ts) AS t FROM events")(lambda d: lt.convert(Table(d.events.df.selectExpr("event_id", "date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS t")), "t", lt.datetimeparser("%Y-%m-%d %H:%M:%S")))
+query("boolparser", "SELECT n_nationkey, n_regionkey > 1 AS b FROM nation")(lambda d: lt.convert(Table(d.nation.df.selectExpr("n_nationkey", "CASE WHEN n_regionkey > 1 THEN ' Yes' ELSE 'F' END AS b")), "b", lt.boolparser()))
+query("numparser", "SELECT n_nationkey, CAST(n_regionkey AS DOUBLE) AS x FROM nation")(lambda d: lt.convert(Table(d.nation.df.selectExpr("n_nationkey", "CAST(n_regionkey AS STRING) AS x")), "x", lt.numparser(strict=True)))
+query("nthword", "SELECT p_partkey, split_part(p_type, ' ', 2) AS p_type FROM part")(lambda d: lt.cut(lt.convert(d.part, "p_type", lt.nthword(1, " ")), "p_partkey", "p_type"))
+query("coalesce", "SELECT event_id, coalesce(a, b, -1) AS c FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id END AS a, CASE WHEN event_id % 3 = 0 THEN user_id END AS b FROM events)")(lambda d: lt.cut(lt.addfield(gaps(d), "c", lt.coalesce("a", "b", default=-1)), "event_id", "c"))
+
+# --- quality and lookups --------------------------------------------------------------------------------------------
+
+VALID = """SELECT 'price' AS name, i AS row, 'o_totalprice' AS field, 'AssertionError' AS error FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders) WHERE NOT o_totalprice < 400000
+UNION ALL SELECT 'priority', i, 'o_orderpriority', 'ValueError' FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders) WHERE TRY_CAST(substr(o_orderpriority, 1, 1) AS BIGINT) IS NULL"""
+query("validate", VALID)(lambda d: lt.cut(lt.validate(Table(d.orders.df.withColumn("o_orderpriority", F.expr("substr(o_orderpriority, 1, 1)")), "o_orderkey"), [{"name": "price", "field": "o_totalprice", "assertion": lambda v: v < 400000}, {"name": "priority", "field": "o_orderpriority", "test": int}]), "name", "row", "field", "error"))
+query("lookup", "SELECT o_custkey AS key, list(o_orderkey ORDER BY o_orderkey) AS \"values\" FROM orders GROUP BY 1")(lambda d: lt.lookuptable(d.orders, "o_custkey", "o_orderkey"))
+query("lookupone", "SELECT count(DISTINCT o_custkey) AS n, (SELECT CAST(sum(k) AS BIGINT) FROM (SELECT min(o_orderkey) AS k FROM orders GROUP BY o_custkey)) AS total FROM orders")(lambda d: one(d.spark, n=len(x := lt.lookupone(d.orders, "o_custkey", "o_orderkey")), total=sum(x.values())))
+query("dictlookup", "SELECT n_regionkey AS k, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")(lambda d: d.spark.createDataFrame([(k, ",".join(r["n_name"] for r in v)) for k, v in lt.dictlookup(d.nation, "n_regionkey").items()], "k int, names string"))
+query("facetcolumns", "SELECT n_regionkey AS k, CAST(sum(n_nationkey) AS BIGINT) AS total FROM nation GROUP BY 1")(lambda d: d.spark.createDataFrame([(k, sum(v["n_nationkey"])) for k, v in lt.facetcolumns(d.nation, "n_regionkey").items()], "k int, total bigint"))
+query("values", "SELECT n_name FROM nation")(lambda d: lt.values(d.nation, "n_name"))
+
+# --- sources and sinks: written, and read back ----------------------------------------------------------------------
+
+
+def folder(d: Tables) -> str:
+    """A folder that driver and executors share."""
+    there = d.spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = there.removeprefix("file://") if there and there.startswith("file://") else None
+    return tempfile.mkdtemp(dir=base)
+
+
+def _round(d: Tables, t: Table, write, read) -> Table:
+    path = f"{folder(d)}/x"
+    write(t, path)
+    return read(path)
+
+
+NATION = "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation"
+TYPED = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+query("csv", NATION)(lambda d: _round(d, d.nation, lambda t, p: lt.tocsv(t, p, directory=True), lt.fromcsv))
+query("tsv", NATION)(lambda d: _round(d, d.nation, lambda t, p: lt.totsv(t, p, directory=True), lt.fromtsv))
+query("json", TYPED)(lambda d: _round(d, d.nation, lambda t, p: lt.tojson(t, p, directory=True), lambda p: lt.fromjson(p, lines=True)))
+query("xml", NATION)(lambda d: _round(d, d.nation, lambda t, p: lt.toxml(t, p, directory=True, rows="nation"), lambda p: lt.fromxml(p, "nation", {"n_nationkey": "n_nationkey", "n_name": "n_name", "n_regionkey": "n_regionkey"})))
+query("parquet", TYPED)(lambda d: _round(d, d.nation, lt.toparquet, lt.fromparquet))
+query("orc", TYPED)(lambda d: _round(d, d.nation, lt.toorc, lt.fromorc))
+query("bcolz", "SELECT n_name FROM nation WHERE n_regionkey = 2")(lambda d: _round(d, d.nation, lt.tobcolz, lambda p: lt.frombcolz(p, "n_regionkey = 2", ["n_name"])))
+query("pickle", TYPED)(lambda d: _round(d, d.nation, lt.topickle, lt.frompickle))
+query("text", "SELECT n_nationkey || ':' || n_name AS lines FROM nation")(lambda d: _round(d, d.nation, lambda t, p: lt.totext(t, p, template="{n_nationkey}:{n_name}\n"), lambda p: lt.fromtext(lt.FileSource(p))))
+query("xlsx", TYPED)(lambda d: _round(d, d.nation, lt.toxlsx, lt.fromxlsx))
+
+
+def _database(d: Tables) -> Table:
+    path = os.path.join(folder(d), "x.db")
+    lt.todb(d.nation, path, "nation", create=True)
+    lt.appenddb(lt.head(d.nation, 3), path, "nation")
+    with sqlite3.connect(path) as c:
+        return lt.fromdb(c, "SELECT * FROM nation")
+
+
+query("db", "SELECT * FROM nation UNION ALL SELECT * FROM nation WHERE n_nationkey < 3")(_database)
+query("columnar_arrays", TYPED)(lambda d: lt.fromarray(lt.toarray(d.nation)))
+query("dataframe", TYPED)(lambda d: lt.fromdataframe(lt.todataframe(d.nation)))
+query("dicts", TYPED)(lambda d: lt.fromdicts(list(lt.dicts(d.nation))))
+query("textindex", "SELECT doc_id AS doc, CAST(len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) AS BIGINT) AS n FROM documents")(lambda d: _postings(d).groupBy("doc").agg(F.sum("tf").alias("n")))
+
+
+def _postings(d: Tables) -> DataFrame:
+    from loomtab.sources.textindex import postings
+
+    return postings(d.documents.df, "doc_id", ["text"])
+
+
+def _search(d: Tables) -> DataFrame:
+    path = folder(d)
+    lt.totextindex(lt.cut(d.documents, "doc_id", "text"), path, "doc_id", ["text"])
+    return lt.searchtextindex(path, "worthless idiot", 20, score_field="score").df.select("doc_id", F.round("score", 6).alias("score"))
+
+
+query("searchtextindex", """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, len(w) AS length, w FROM w WHERE len(w) > 0), a AS (SELECT count(*) AS n, avg(length) AS mean FROM l),
+h AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, length, unnest(w) AS term FROM l) WHERE term IN ('worthless', 'idiot') GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM h GROUP BY term)
+SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
+FROM h JOIN f USING (term), a GROUP BY doc_id ORDER BY sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) DESC, doc_id LIMIT 20""")(_search)
+query("randomtable", "SELECT 100 AS n, 5 AS fields")(lambda d: one(d.spark, n=lt.nrows(t := lt.randomtable(5, 100, seed=1)), fields=len(t.columns)))
+query("dummytable", "SELECT 50 AS n, 3 AS fields")(lambda d: one(d.spark, n=lt.nrows(t := lt.dummytable(50, seed=1)), fields=len(t.columns)))
+
+# --- streams, on bounded input --------------------------------------------------------------------------------------
+
+query("windowed", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")(lambda d: lt.cut(windowed(d.events, "ts", "1 hour", {"n": F.count(F.lit(1))}, key="event_type"), "event_type", "start", "n"))
+query("sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, i""")(lambda d: lt.cut(sessions(d.events, "ts", "30 minutes", {"n": F.count(F.lit(1))}, key="user_id"), "user_id", "start", "n"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)

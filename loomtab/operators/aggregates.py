@@ -75,8 +75,23 @@ def _key_columns(t: Table, key: Any) -> tuple[list[str], list[Column]]:
     return names, [col(n) for n in names]
 
 
-def _needs_order(aggs: Any) -> bool:
-    return any(f in (list, tuple, "list", "tuple", "first", "last") or isinstance(f, strjoin) or (callable(f) and f not in (len, sum, min, max, set, sorted, any, all) and not isinstance(f, Column)) for f in aggs)
+#: Aggregations whose result doesn't depend on row order.
+UNORDERED = (len, sum, min, max, set, sorted, any, all)
+
+
+def _needs_order(f: Any) -> bool:
+    if isinstance(f, Column):
+        return False
+    return f in ("list", "tuple", "first", "last") if isinstance(f, str) else f not in UNORDERED
+
+
+def _definition(t: Table, f: Any, value: Any) -> tuple[Any, Any]:
+    """Source and aggregation of ``f``, ``(source, f)``, or a source alone, which is listed."""
+    if isinstance(f, (tuple, list)):
+        return (f[0], f[1]) if len(f) == 2 else (None, f[0])
+    if isinstance(f, str) and f in t.columns:
+        return f, list
+    return value, f
 
 
 @method
@@ -86,9 +101,8 @@ def aggregate(t: Table, key: Any, aggregation: Any = None, value: Any = None, fi
     Without a key a table without rows gives no row.
     """
     t = as_table(t)
-    defs = {field: (value, aggregation)} if not isinstance(aggregation, dict) else {o: (f if isinstance(f, tuple) and len(f) == 2 else (value if value is not None else f if isinstance(f, str) and f in t.columns else None, f if not (isinstance(f, str) and f in t.columns) else list)) for o, f in aggregation.items()}
-    defs = {o: (s[0], s[1]) if not (callable(s[0]) and s[1] is None) else (None, s[0]) for o, s in defs.items()}
-    if _needs_order(f for _, f in defs.values()):
+    defs = {o: _definition(t, f, value) for o, f in (aggregation.items() if isinstance(aggregation, dict) else [(field, aggregation)])}
+    if any(_needs_order(f) for _, f in defs.values()):
         t = t.ordered()
     names, keys = _key_columns(t, key)
     aggs = [aggregate_column(t, f, s, returns).alias(o) for o, (s, f) in defs.items()]

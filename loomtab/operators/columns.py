@@ -215,7 +215,8 @@ def mapped(c: Column, table: dict) -> Column:
     if not table:
         return c
     pairs = [F.lit(x) for kv in table.items() if kv[0] is not None for x in kv]
-    out = F.coalesce(F.try_element_at(F.create_map(*pairs), c), c) if pairs else c
+    known = F.create_map(*pairs) if pairs else None
+    out = F.when(F.map_contains_key(known, c), F.try_element_at(known, c)).otherwise(c) if pairs else c
     return F.when(c.isNull(), F.lit(table[None])).otherwise(out) if None in table else out
 
 

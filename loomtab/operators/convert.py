@@ -208,7 +208,7 @@ def formatted(t: Table, field: str, fmt: str) -> Column:
         text = F.when(F.length(c.cast("string")) < n, (F.lpad if spec[0] == ">" else F.rpad)(c.cast("string"), n, " ")).otherwise(c.cast("string"))
     else:
         return opaque(t, lambda r: fmt.format(r[field]), "string")
-    return F.concat(F.lit(before), F.coalesce(text, F.lit("None")), F.lit(after))
+    return F.concat(F.lit(before), F.when(c.isNull(), "None").otherwise(text), F.lit(after))
 
 
 @method

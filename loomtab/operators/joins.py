@@ -51,12 +51,15 @@ def shape_join(left: Any, right: Any, how: str, key: Any = None, lkey: Any = Non
     on = reduce(lambda a, b: a & b, [F.col(lname[a]).eqNullSafe(F.col(rname[b])) for a, b in zip(lk, rk, strict=True)])
     both = ldf.join(rdf, on, how)
 
-    def filled(c: Column, there: str) -> Column:
-        return c if missing is None else F.when(F.col(there), c).otherwise(F.lit(missing))
+    def filled(c: str, there: str) -> Column:
+        sides = {"left": ("__r",), "right": ("__l",), "full": ("__l", "__r")}.get(how, ())
+        if missing is None or there not in sides:
+            return F.col(c)
+        return F.when(F.col(there), F.col(c)).otherwise(F.lit(missing).try_cast(both.schema[c].dataType.simpleString()))
 
     keys = {a: F.coalesce(F.col(lname[a]), F.col(rname[b])) if how in ("right", "full") else F.col(lname[a]) for a, b in zip(lk, rk, strict=True)}
-    shown = [(f"{lprefix or ''}{c}", keys.get(c, None) if c in keys else filled(F.col(lname[c]), "__l")) for c in left.columns]
-    shown += [(f"{rprefix or ''}{c}", filled(F.col(rname[c]), "__r")) for c in right.columns if c not in rk]
+    shown = [(f"{lprefix or ''}{c}", keys[c] if c in keys else filled(lname[c], "__l")) for c in left.columns]
+    shown += [(f"{rprefix or ''}{c}", filled(rname[c], "__r")) for c in right.columns if c not in rk]
     names = unique_names(n for n, _ in shown)
     order = [keys[a] for a in lk] + [F.col(o) for o in ("__lo", "__ro") if o in both.columns]
     return Table(both.select(*[c.alias(n) for (_, c), n in zip(shown, names, strict=True)], F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)]).alias(ORD)))
