@@ -5,7 +5,8 @@ Base patterns have a fixed form: ``assign`` (a keyword set to a long value), ``a
 Other candidates are runs of the characters that encodings use. The narrowest encoding that fits is inferred, the run becomes a
 sequence of symbol values, and three tests ask whether it looks drawn at random: chi-squared uniformity over the alphabet (binned so
 that each bin expects four symbols), Wald-Wolfowitz runs about the middle of the alphabet, and lag-1 serial
-correlation. Fisher's method joins the three p-values. Words and identifiers give small ones; random strings spread evenly.
+correlation. The smallest p-value counts, corrected for three tests (Tippett). Words and identifiers give small ones; random strings spread
+evenly.
 
 False-discovery control is by class of encoding and length (powers of two), as short runs say less: over all documents the
 p-values of a class are counted in bins, the number of random runs is estimated from the upper half, and the lowest threshold is taken above
@@ -86,8 +87,7 @@ def battery(values: list[int], size: int) -> float:
         p2 = 2.0 ** (1 - n)
     d = v - v.mean()
     p3 = math.erfc(abs(float((d[1:] * d[:-1]).sum() / (d * d).sum())) * math.sqrt(n) / math.sqrt(2)) if d.any() else 2.0 ** (1 - n)
-    x = -sum(math.log(max(p, 1e-300)) for p in (p1, p2, p3))
-    return math.exp(-x) * (1 + x + x * x / 2)
+    return -math.expm1(3 * math.log1p(-min(p1, p2, p3, 1 - 1e-16)))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

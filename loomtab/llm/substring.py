@@ -80,7 +80,7 @@ def _by_bucket(buckets: np.ndarray):
     """Order by bucket, and each bucket with its slice."""
     order = np.argsort(buckets, kind="stable")
     names, starts = np.unique(buckets[order], return_index=True)
-    ends = np.append(starts[1:], len(order))
+    ends = np.append(starts[1:], len(order))[: len(names)]
     return order, zip(names.tolist(), starts.tolist(), ends.tolist(), strict=True)
 
 
