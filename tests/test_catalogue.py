@@ -20,6 +20,6 @@ def test_entry_gives_rows(spark):
 
 
 def test_llm_queries_only_with_the_subpackage():
-    there = importlib.util.find_spec("loomtab.llm") is not None
+    there = importlib.util.find_spec("loomtab.llm") is not None and importlib.util.find_spec("loomtab.llm.queries") is not None
     assert any(n.startswith("op") and "_" in n for n in entry.queries() if n[2:3].isdigit()) == there
     assert set(entry.oracle_sql()) <= set(entry.queries())
