@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from typing import Any
 from xml.sax.saxutils import escape, quoteattr
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,10 +62,6 @@ def fromtsv(source: Any = None, encoding: str | None = None, errors: str = "stri
     return fromcsv(source, encoding, errors, header, **{"delimiter": "\t"} | csvargs)
 
 
-def _text(v: Any) -> Any:
-    return "" if v is None else v
-
-
 def _csv(t: Any, source: Any, encoding: str | None, errors: str, write_header: bool, append: bool, directory: bool, csvargs: dict[str, Any]) -> None:
     t = as_table(t)
     if directory:
@@ -72,14 +69,29 @@ def _csv(t: Any, source: Any, encoding: str | None, errors: str, write_header: b
         out.csv(source)
         return
     with source_of(source, True).open("ab" if append else "wb") as f:
-        text = io.TextIOWrapper(f, encoding or "utf-8", errors, newline="", write_through=True)
-        writer = csv.writer(text, **csvargs)
         if write_header:
-            writer.writerow(t.columns)
-        for r in _in_order(t):
-            writer.writerow([_text(v) for v in r])
-        text.flush()
-        text.detach()
+            f.write(_delimited([t.columns], csvargs).encode(encoding or "utf-8", errors))
+        rows = t.frame.orderBy(ORD).drop(ORD) if t.has_order else t.df
+        for r in rows.mapInArrow(_chunks(csvargs), "chunk string").toLocalIterator(prefetchPartitions=True):
+            f.write(r.chunk.encode(encoding or "utf-8", errors))
+
+
+def _delimited(rows: Iterable[Sequence[Any]], csvargs: dict[str, Any]) -> str:
+    out = io.StringIO(newline="")
+    csv.writer(out, **csvargs).writerows(rows)
+    return out.getvalue()
+
+
+def _chunks(csvargs: dict[str, Any]):
+    """Executors turn their rows to text; the driver puts the pieces together in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = [c.to_pylist() for c in b.columns]
+            text = _delimited(zip(*values, strict=True), csvargs) if values else "\r\n" * b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([text])], ["chunk"])
+
+    return run
 
 
 @method
