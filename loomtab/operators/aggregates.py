@@ -63,7 +63,7 @@ def aggregate_column(t: Table, f: Any, source: Any = None, returns: str | None =
     def run(values):
         return f(list(values))
 
-    return F.udf(run, returns or "double")(_ordered_list(c, t.has_order))
+    return F.udf(run, returns or "double", useArrow=True)(_ordered_list(c, t.has_order))
 
 
 def _key_columns(t: Table, key: Any) -> tuple[list[str], list[Column]]:
@@ -136,7 +136,7 @@ def fold(t: Table, key: Any, f: Callable[[Any, Any], Any], value: Any = None, re
         kind = t.frame.schema[v].dataType.simpleString()
         out = F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.element_at(values, 1), lambda a, x: _column(f(Symbol(a), Symbol(x))).cast(kind))
     else:
-        out = F.udf(lambda xs: reduce(f, xs), returns or t.frame.schema[v].dataType)(F.col("__v"))
+        out = F.udf(lambda xs: reduce(f, xs), returns or t.frame.schema[v].dataType, useArrow=True)(F.col("__v"))
     lists = t.frame.groupBy((col(k[0]) if len(k) == 1 else F.struct(*map(col, k))).alias("key")).agg(_ordered_list(col(v), True).alias("__v"))
     return Table(lists.select("key", out.alias("value")), order="key")
 
