@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sqlite3
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -345,14 +346,21 @@ query("values", "SELECT n_name FROM nation")(lambda d: lt.values(d.nation, "n_na
 
 
 def folder(d: Tables) -> str:
-    """A folder that driver and executors share."""
-    there = d.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = there.removeprefix("file://") if there and there.startswith("file://") else None
-    return tempfile.mkdtemp(dir=base)
+    """A new path that driver and executors share; the driver's own temporary folder where no shared one is named."""
+    there = d.spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    return f"{there.rstrip('/')}/catalogue-{uuid.uuid4().hex}"
 
 
 def _round(d: Tables, t: Table, write, read) -> Table:
-    path = f"{folder(d)}/x"
+    """Written by Spark, and read back by it."""
+    path = folder(d)
+    write(t, path)
+    return read(path)
+
+
+def _local(t: Table, write, read) -> Table:
+    """Written by the driver, and read back by it."""
+    path = f"{tempfile.mkdtemp()}/x"
     write(t, path)
     return read(path)
 
@@ -366,13 +374,13 @@ query("xml", NATION)(lambda d: _round(d, d.nation, lambda t, p: lt.toxml(t, p, d
 query("parquet", TYPED)(lambda d: _round(d, d.nation, lt.toparquet, lt.fromparquet))
 query("orc", TYPED)(lambda d: _round(d, d.nation, lt.toorc, lt.fromorc))
 query("bcolz", "SELECT n_name FROM nation WHERE n_regionkey = 2")(lambda d: _round(d, d.nation, lt.tobcolz, lambda p: lt.frombcolz(p, "n_regionkey = 2", ["n_name"])))
-query("pickle", TYPED)(lambda d: _round(d, d.nation, lt.topickle, lt.frompickle))
-query("text", "SELECT n_nationkey || ':' || n_name AS lines FROM nation")(lambda d: _round(d, d.nation, lambda t, p: lt.totext(t, p, template="{n_nationkey}:{n_name}\n"), lambda p: lt.fromtext(lt.FileSource(p))))
-query("xlsx", TYPED)(lambda d: _round(d, d.nation, lt.toxlsx, lt.fromxlsx))
+query("pickle", TYPED)(lambda d: _local(d.nation, lt.topickle, lt.frompickle))
+query("text", "SELECT n_nationkey || ':' || n_name AS lines FROM nation")(lambda d: _local(d.nation, lambda t, p: lt.totext(t, p, template="{n_nationkey}:{n_name}\n"), lambda p: lt.fromtext(lt.FileSource(p))))
+query("xlsx", TYPED)(lambda d: _local(d.nation, lt.toxlsx, lt.fromxlsx))
 
 
 def _database(d: Tables) -> Table:
-    path = os.path.join(folder(d), "x.db")
+    path = os.path.join(tempfile.mkdtemp(), "x.db")
     lt.todb(d.nation, path, "nation", create=True)
     lt.appenddb(lt.head(d.nation, 3), path, "nation")
     with sqlite3.connect(path) as c:
