@@ -12,15 +12,17 @@ is refused but for one in 2^32. A key is (doc_id, occurrence), so repeated ids h
 A task writes under a name of its own and reports it; only reported names are in the manifest, a table in the shared
 folder, so retries and speculative copies leave files that nobody reads.
 
-Encoding keeps a bounded memo of chunks between ASCII white space. The tokenizer is called for each chunk that is not in it.
-That is exact where no pre-token spans white space, normalisation neither composes nor reorders over it, and white space gives no
-ids, as in ``word_bpe_49k.json``; pass ``chunked=False`` otherwise.
+Encoding takes the distinct chunks between ASCII white space of a batch of texts, and puts each through the library once. That is exact for
+tokenizers of the style of ``word_bpe_49k.json``: no pre-token spans white space, normalisation neither composes nor reorders over it,
+and white space gives no ids. The file is checked for that style; any other tokenizer gets whole texts.
 
 Results: null text is empty and gives the end id alone; null ``doc_id`` comes first; repeated ``doc_id`` in order of text.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -34,11 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import extent, pieces, shared_dir, utf8, written
+from .common import extent, pieces, shared_dir, small_batches, written
 
 MAGIC = b"LTIX0001"
 MIX = np.uint64(0x9E3779B97F4A7C15)
-MEMO, LONGEST = 300_000, 48
+BATCH_CHARS = 16 << 20
 
 
 # --- minimal perfect hash -------------------------------------------------------------------------------------------
@@ -160,37 +162,157 @@ def tokenizer(path: str):
     return t
 
 
+#: Lower-case letters of Latin-1, as bytes; a full stop or comma after one, at a word's end, is a pre-token of its own.
+LETTERS = bytes([*range(97, 123), 0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x100)])
+NUMBERS = bytes([*range(48, 58), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE])
+PRE_TOKEN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[" + LETTERS + rb"]+|[" + NUMBERS + rb"]|[^\x09-\x0D\x20\x85\xA0" + LETTERS + NUMBERS + rb"]+")
+POINT = re.compile(rb"[.,](?<=[" + LETTERS + rb"][.,])(?=[ \t-\r]|\Z)")
+
+#: The normaliser and pre-tokeniser of a lower-casing tokenizer with word ends, for which all of this is exact.
+WORD_STYLE = (
+    [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)],
+    [("Split", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), ("ByteLevel", None)],
+)
+
+
+def word_style(path: str) -> bool:
+    """Whether a tokenizer file is of that style, special tokens without white space around them."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pattern = lambda x: (x.get("pattern") or {}).get("Regex")
+    parts = tuple([(x["type"], pattern(x)) for x in (spec[k] or {}).get(m, [])] for k, m in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+    plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or "<|" not in t["content"] or t["content"].split() != [t["content"]] for t in spec["added_tokens"])
+    return parts == WORD_STYLE and plain and spec["model"]["type"] == "BPE" and bool(spec["model"].get("end_of_word_suffix")) and not spec["model"].get("dropout")
+
+
+WHITE, LETTER = np.zeros(256, bool), np.zeros(256, bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
+LETTER[list(LETTERS)] = True
+AT_ONCE = 20_000
+
+
 class Encoder:
-    """Texts as raw id bytes, the end id appended."""
+    """Texts as raw id bytes, the end id appended.
 
-    def __init__(self, path: str, end_id: int, chunked: bool = True):
-        self.tok, self.chunked = tokenizer(path), chunked
+    Texts of Latin-1 characters without a special token are lower-cased here and cut at white space, and points are split off; all of a batch
+    become one Arrow array, whose distinct chunks are encoded once. Chunks of letters go through the library's merges together, and their ids are
+    cut apart at the tokens that end a word; other chunks go to the library together too, cut apart by their numbers of pre-tokens.
+    Texts of other alphabets go chunk by chunk as they are.
+    """
+
+    def __init__(self, path: str, end_id: int):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tok, self.chunked = tokenizer(path), word_style(path)
         self.width = 2 if max(self.tok.get_vocab_size(True), end_id + 1) <= 1 << 16 else 4
         self.type = np.dtype(f"<u{self.width}")
-        self.end, self.memo = np.array([end_id], self.type).tobytes(), {}
+        self.end = np.array([end_id], self.type).tobytes()
+        if self.chunked:
+            self.merges = Tokenizer(self.tok.model)
+            self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary, suffix = self.tok.get_vocab(), self.tok.model.end_of_word_suffix
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def _ids(self, tok, text: str) -> np.ndarray:
+        return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
+
+    def _letters(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks of letters, one after the other, and how many each has."""
+        at, data = _binary(words)
+        ids = [self._ids(self.merges, data[at[i] : at[min(i + AT_ONCE, len(words))]].tobytes().decode("latin-1")) for i in range(0, len(words), AT_ONCE)]
+        flat = np.concatenate([*ids, np.zeros(0, self.type)])
+        ends = np.flatnonzero(self.last[flat]) + 1
+        if len(ends) != len(words):
+            raise ValueError("chunks and word ends differ")
+        return flat, np.diff(ends, prepend=0)
+
+    def _mixed(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for other chunks of Latin-1."""
+        counts = np.array([len(PRE_TOKEN.findall(c.encode("latin-1"))) for c in chunks], np.int64)
+        flat = np.concatenate([*(self._ids(self.tok, " ".join(chunks[i : i + AT_ONCE])) for i in range(0, len(chunks), AT_ONCE)), np.zeros(0, self.type)])
+        ends, at = np.concatenate([[0], np.flatnonzero(self.last[flat]) + 1]), np.cumsum(counts)
+        if len(at) and len(ends) - 1 != at[-1]:
+            each = [self._ids(self.tok, c) for c in chunks]
+            return np.concatenate(each), np.array([len(x) for x in each])
+        return flat, np.diff(ends[at], prepend=0)
+
+    def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all chunks in some order; for each chunk where its ids start, and how many it has."""
+        at, data = _binary(chunks)
+        plain = np.add.reduceat(~LETTER[data], at[:-1]) == 1  # but for the space at its end
+        ids, n = self._letters(chunks.filter(pa.array(plain)))
+        others, m = self._mixed([c[:-1].decode("latin-1") for c in chunks.filter(pa.array(~plain)).to_pylist()])
+        sizes = np.empty(len(chunks), np.int32)
+        sizes[plain], sizes[~plain] = n, m
+        starts = np.empty(len(chunks), np.int32)
+        starts[plain], starts[~plain] = np.cumsum(n) - n, np.cumsum(m) - m + len(ids)
+        return np.concatenate([ids, others]), starts, sizes
+
+    def _latin(self, texts: list[bytes]) -> list[bytes]:
+        """Lower-cased Latin-1 texts, all at once."""
+        texts = [POINT.sub(rb" \g<0>", t) + b" " for t in texts]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        white = WHITE[data]
+        keep = ~white
+        keep[1:] |= keep[:-1].copy()  # the first white space after a chunk ends it, the rest goes
+        begins = np.cumsum([0, *(len(t) for t in texts[:-1])])
+        ends = np.cumsum(np.add.reduceat(keep.view(np.uint8), begins, dtype=np.int64))
+        del texts
+        data = data[keep]
+        cuts = np.flatnonzero(WHITE[data]).astype(np.int32) + np.int32(1)
+        del keep, white
+        if not len(cuts):
+            return [self.end] * len(ends)
+        at = np.concatenate([np.zeros(1, np.int32), cuts])
+        coded = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        flat, starts, sizes = self._distinct(coded.dictionary)
+        which = coded.indices.to_numpy()
+        del coded, data
+        n = sizes[which]
+        upto = np.concatenate([np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32)])
+        place = np.repeat(starts[which] - upto[:-1], n)
+        place += np.arange(len(place), dtype=np.int32)
+        raw = flat[place].tobytes()
+        del place
+        bounds = (upto[np.searchsorted(cuts, ends, side="right")] * self.width).tolist()
+        return [raw[a:b] + self.end for a, b in zip([0, *bounds], bounds, strict=False)]
+
+    def _other(self, texts: list[str]) -> list[bytes]:
+        split = [t.encode().split() for t in texts]
+        chunks = list(set().union(*split))
+        ids = {c: np.array(e.ids, self.type).tobytes() for c, e in zip(chunks, self.tok.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False), strict=True)}
+        return [b"".join([ids[c] for c in x]) + self.end for x in split]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        if not self.chunked:
+            return [np.array(e.ids, self.type).tobytes() + self.end for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        latin, other, out = [], [], [b""] * len(texts)
+        for i, t in enumerate(texts):
+            try:
+                if "<|" in t:
+                    raise ValueError
+                latin.append((i, t.lower().encode("latin-1")))
+            except ValueError:  # UnicodeEncodeError is one
+                other.append((i, t))
+        for rows, encode in ((latin, self._latin), (other, self._other)):
+            for (i, _), x in zip(rows, encode([x for _, x in rows]) if rows else [], strict=True):
+                out[i] = x
+        return out
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def batch(self, texts: list[bytes]) -> list[bytes]:
-        if not self.chunked:
-            return [x + self.end for x in self._raw([t.decode() for t in texts])]
-        split = [t.split() for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = list(set().union(*split).difference(memo))
-        fresh = dict(zip(new, self._raw([x.decode() for x in new]), strict=True))
-        memo.update((k, v) for k, v in fresh.items() if len(k) <= LONGEST)
-        if any(len(k) > LONGEST for k in new):
-            both = memo | fresh
-            return [b"".join([both[c] for c in x]) + self.end for x in split]
-        return [b"".join([memo[c] for c in x]) + self.end for x in split]
+def _binary(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets from 0, and bytes, of a binary array without nulls."""
+    if not len(x):
+        return np.zeros(1, np.int32), np.zeros(0, np.uint8)
+    _, at, data = x.buffers()
+    at = np.frombuffer(at, np.int32)[x.offset : x.offset + len(x) + 1]
+    return at - at[0], np.frombuffer(data, np.uint8)[at[0] : at[-1]]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, end_id: int, chunked: bool) -> Encoder:
-    return Encoder(path, end_id, chunked)
+def encoder(path: str, end_id: int) -> Encoder:
+    return Encoder(path, end_id)
 
 
 # --- writing and reading --------------------------------------------------------------------------------------------
@@ -210,15 +332,18 @@ def _read(uri: str) -> bytes:
         return f.read()
 
 
-def _write_shard(folder: str, path: str, end_id: int, chunked: bool):
+def _write_shard(folder: str, path: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, end_id, chunked)
-        ids, raw = [], []
+        enc = encoder(path, end_id)
+        ids, raw, held = [], [], []
         for b in batches:
             ids += b["doc_id"].to_pylist()
-            texts = utf8(b["text"])
-            for i in range(0, len(texts), 256):
-                raw += enc.batch(texts[i : i + 256])
+            texts = [x or "" for x in b["text"].to_pylist()]
+            if sum(map(len, held)) > BATCH_CHARS:
+                raw += enc.batch(held)
+                held = []
+            held += texts
+        raw += enc.batch(held)
         if not ids:
             return
         records = np.zeros(len(ids), RECORD)
@@ -238,17 +363,18 @@ def _write_shard(folder: str, path: str, end_id: int, chunked: bool):
     return write
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, chunked: bool = True, shard_bytes: int = 24 << 20) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, shard_bytes: int = 24 << 20) -> DataFrame:
     """Writes the shards; returns the manifest ``shard, path, n_docs, n_tokens, first`` (ids of all shards before).
 
     ``shard_bytes``: text of a shard on average; a task holds one shard's ids.
     """
+    small_batches(docs.sparkSession)
     folder = f"{shared_dir(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
     where, path = fs.FileSystem.from_uri(folder)
     where.create_dir(path, recursive=True)
     _, size = extent(docs, "text")
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(pieces(size, shard_bytes, 12), "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = written(rows.mapInArrow(_write_shard(folder, tokenizer_path, end_id, chunked), MANIFEST), "token-manifest")
+    manifest = written(rows.mapInArrow(_write_shard(folder, tokenizer_path, end_id), MANIFEST), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return manifest.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
