@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import pieces, utf8, written
+from .common import pieces, small_batches, utf8, written
 
 #: Words are runs of digits, letters a-z and all beyond ASCII, after A-Z are lower-cased: fixed by the contract.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -80,15 +80,17 @@ def _find(words: list[bytes], index: dict[bytes, list[tuple[int, int]]], windows
     return out
 
 
-def _pass(block):
-    """Adds a block's finds to each row: hit runs as (start, end) words, and items."""
+FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, spans array<long>, items array<string>"
+
+
+def _pass(block, last: bool):
+    """Adds a block's finds to each row: hit runs as start and end words in turn, and items; the last pass sums them up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, windows, items = block.value
         for b in batches:
-            names = b.schema.names
             spans, ids, counts = [], [], []
-            for x, old_spans, old_ids in zip(utf8(b["text"]), b["__spans"].to_pylist(), b["__items"].to_pylist(), strict=True):
+            for x, old_spans, old_ids in zip(utf8(b["text"]), b["spans"].to_pylist(), b["items"].to_pylist(), strict=True):
                 words = words_of(x)
                 found = _find(words, index, windows)
                 new = old_spans or []
@@ -101,8 +103,12 @@ def _pass(block):
                 spans.append(new)
                 ids.append(sorted({*(old_ids or []), *(i for _, k in found for i in items[k])}))
                 counts.append(len(words))
-            new = {"__spans": pa.array(spans, pa.list_(pa.int64())), "__items": pa.array(ids, pa.list_(pa.string())), "__words": pa.array(counts, pa.int64())}
-            yield pa.RecordBatch.from_arrays([new.get(c, b[c]) for c in names], names)
+            both = [pa.array(spans, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))]
+            if not last:
+                yield pa.RecordBatch.from_arrays([b["doc"], b["text"], *both], ["doc", "text", "spans", "items"])
+                continue
+            sums = [pa.array(counts, pa.int64()), pa.array([_hits(x) for x in spans], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], pa.string())]
+            yield pa.RecordBatch.from_arrays([b["doc"], *sums, *both], ["doc", "n_words", "n_hit", "n_items", "items_sha256", "spans", "items"])
 
     return run
 
@@ -116,27 +122,16 @@ def _hits(spans: list[int]) -> int:
     return total
 
 
-def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        items = b["__items"].to_pylist()
-        new = {
-            "__hit": pa.array([_hits(x or []) for x in b["__spans"].to_pylist()], pa.int64()),
-            "__n_items": pa.array([len(x) for x in items], pa.int64()),
-            "__items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]),
-        }
-        names = [*b.schema.names, *new]
-        yield pa.RecordBatch.from_arrays([new.get(c) if c in new else b[c] for c in names], names)
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 500_000) -> DataFrame:
     """``docs`` in ``doc`` (all columns), with ``n_words, n_hit, n_items, items_sha256, spans, items``.
 
     ``spans``: start and end words of hit runs, in turn; ``items``: the ids as sorted strings.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     total = benchmark.agg(F.coalesce(F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))), F.lit(0))).first()[0]
     n_blocks = pieces(total, block_words)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["text"].alias("text"), F.lit(None).cast("array<long>").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"), F.lit(0).cast("long").alias("__words"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["text"].alias("text"), F.lit(None).cast("array<long>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     for k in range(n_blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).select(F.col("item_id").cast("string").alias("i"), "text")
         owners: dict[tuple[bytes, ...], set[str]] = {}
@@ -146,13 +141,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         windows = list(owners)
         rarity = document_counts(docs, {x for w in windows for x in w})
         block = spark.sparkContext.broadcast((prefix_index(windows, rarity or {b"": 0}), windows, [sorted(owners[w]) for w in windows]))
-        rows = rows.mapInArrow(_pass(block), rows.schema)
-        if k + 1 < n_blocks:
+        last = k + 1 == n_blocks
+        rows = rows.mapInArrow(_pass(block, last), StructType([rows.schema["doc"], *StructType.fromDDL(FOUND).fields]) if last else rows.schema)
+        if not last:
             rows = written(rows, "decontaminate")  # a worker then holds one block at a time
-    out = "__hit long, __n_items long, __items_sha256 string"
-    final = rows.drop("text")
-    final = final.mapInArrow(_summary, StructType([*final.schema.fields, *StructType.fromDDL(out).fields]))
-    return final.select("doc", F.col("__words").alias("n_words"), F.col("__hit").alias("n_hit"), F.col("__n_items").alias("n_items"), F.col("__items_sha256").alias("items_sha256"), F.col("__spans").alias("spans"), F.col("__items").alias("items"))
+    return rows
 
 
 def digest(found: DataFrame) -> DataFrame:

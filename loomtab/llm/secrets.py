@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 #: Fixed patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -139,6 +139,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame, rate: float = 0.1) -> DataFrame:
     """``doc_id, base_sha256, found``: every span as (start, kind, end), kind an index of ``KINDS``, in order."""
+    small_batches(docs.sparkSession)
     columns = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base array<struct<start:long,kind:int,end:long>>, base_sha256 string, runs array<struct<start:long,end:long,class:string,p:double>>"
     rows = written(docs.select("doc_id", "text").mapInArrow(_scan, columns), "secret-candidates")
     each = rows.select(F.explode("runs").alias("r")).groupBy(F.col("r.class").alias("c"), F.least(F.floor(F.col("r.p") * BINS), F.lit(BINS - 1)).alias("b")).count().collect()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import extent, packed, pieces, utf8, word_offsets
+from .common import extent, packed, pieces, small_batches, utf8, word_offsets
 
 #: Difference covers, fixed values: period -> residues.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
@@ -217,6 +217,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, block_bytes: int
 
     ``block_bytes``: text of a block on average; it bounds what a task holds.
     """
+    small_batches(docs.sparkSession)
     n_rows, size = extent(docs, "text")
     n_blocks = pieces(size, block_bytes, min(max(n_rows, 1), 24))
     n_buckets = n_blocks

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import small_batches, utf8
 
 UNIT, WIDTH, PAGE_ROWS, STRIP_ROWS = 576, 576, 4096, 64
 
@@ -296,6 +296,7 @@ def feature(pages: list[Page]) -> str:
 
 def to_media(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, media``: each text as a TIFF file."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

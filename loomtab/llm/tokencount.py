@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import small_batches, utf8
 
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -149,6 +149,7 @@ def _cached(path: str, proof: Broadcast) -> WholeTokens | Pieces:
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of each document."""
+    small_batches(docs.sparkSession)
     proof = docs.sparkSession.sparkContext.broadcast(None if tokenizer_path.endswith(".model") else prove(tokenizer_path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import utf8
+from .common import small_batches, utf8
 from .decontaminate import WORD_BYTES
 
 SAMPLE, PRIOR, DRIFT, LIMIT = 20_000, 1.0, 0.05, 12.0
@@ -146,6 +146,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model; at most ``sample`` labelled documents are read for it, which bounds the vocabulary too."""
+    small_batches(docs.sparkSession)
     empty = Model({}, DRIFT, 1.0, 0.0, (0.0, 0.0, -1e9))
     ids = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "__id")
@@ -204,6 +205,7 @@ def _learn(model):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` in ``doc`` (all columns), with ``score`` and ``passages`` (start, end, score of the significant ones)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["text"].alias("text"))
 
