@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import loomtab as lt
 from loomtab import Table
+from loomtab.plans.shipping import ship
 from loomtab.streaming.windows import sessions, windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,7 @@ class Tables:
     """The tables of a folder, in their key order."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        ship(spark)
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> Table:

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..core import Table, col, fitted, resolve, spark_type
 from ..errors import ArgumentError, FieldSelectionError
+from ..plans.shipping import ship
 
 
 class Opaque(Exception):
@@ -137,6 +138,7 @@ class Record(tuple):
 def opaque(t: Table, f: Callable[[Record], Any], returns: str | T.DataType | None = None, errorvalue: Any = None, failonerror: bool = False) -> Column:
     """A callable of a record as an Arrow-batched function; its type is ``returns``, or that of a few rows."""
     names = tuple(t.columns)
+    ship(t.frame.sparkSession)
 
     def safe(*values: Any) -> Any:
         try:

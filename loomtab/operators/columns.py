@@ -13,6 +13,7 @@ from ..core import ORD, Table, as_table, col, from_rows, method, resolve, resolv
 from ..errors import ArgumentError
 from ..functions.expressions import Record, SymbolicRecord, record_column, traced, value_column
 from ..plans.numbering import numbered
+from ..plans.shipping import ship
 
 
 @method
@@ -113,6 +114,7 @@ def addfieldusingcontext(t: Table, field: str, query: Callable[[Any, Any, Any],
         if found is not None:
             return t.keep(*map(col, names), found.alias(field))
         raise ArgumentError("the query is not an expression of fields; pass recurrent=True")
+    ship(t.frame.sparkSession)
     schema = T.StructType([*t.df.schema.fields, T.StructField(field, T._parse_datatype_string(returns)), t.frame.schema[ORD]])
 
     def run(pdf):
@@ -261,6 +263,7 @@ def rowmapmany(t: Table, generator: Callable[[Record], Iterator[Any]], schema: s
     """Rows that a generator gives for each record, as ``schema`` (DDL); rows before an error stay."""
     t = as_table(t)
     to = T.StructType.fromDDL(schema)
+    ship(t.frame.sparkSession)
     return Table(t.df.mapInPandas(_mapper(tuple(t.columns), generator, to, failonerror), to))
 
 
@@ -275,6 +278,7 @@ def rowgroupmap(t: Table, key: Any, mapper: Callable[[Any, list[Record]], Iterat
     """Rows that ``mapper(key, rows)`` gives for each group, its rows in order."""
     t = as_table(t).ordered()
     keys, names, to = resolve_all(t, key), tuple(t.columns), T.StructType.fromDDL(schema)
+    ship(t.frame.sparkSession)
 
     def run(k, pdf):
         import pandas as pd

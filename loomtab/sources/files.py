@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from ..core import ORD, Table, as_table, col, from_rows, method, session, unique_names
 from ..errors import ArgumentError
 from ..functions.types import python_name
+from ..plans.shipping import ship
 from .registry import is_stream, read_bytes, source_of, write_bytes
 
 
@@ -72,6 +73,7 @@ def _csv(t: Any, source: Any, encoding: str | None, errors: str, write_header: b
         if write_header:
             f.write(_delimited([t.columns], csvargs).encode(encoding or "utf-8", errors))
         rows = t.frame.orderBy(ORD).drop(ORD) if t.has_order else t.df
+        ship(t.frame.sparkSession)
         for r in rows.mapInArrow(_chunks(csvargs), "chunk string").toLocalIterator(prefetchPartitions=True):
             f.write(r.chunk.encode(encoding or "utf-8", errors))
 
