@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shipping import ship
+
 #: Byte classes of the two word definitions, for ``bytes.translate`` and ``bytes.split``.
 ASCII_UPPER = bytes(range(65, 91))
 ASCII_LOWER = bytes(range(97, 123))
@@ -27,7 +29,8 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.ex
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what a worker holds of whole texts at once; a session's own setting stays."""
+    """Bounds what a worker holds of whole texts at once (a session's own setting stays), and gives workers the package."""
+    ship(spark)
     for key, value in BATCHES.items():
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)

@@ -396,5 +396,6 @@ def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of each document, from the files, through their indexes."""
+    small_batches(manifest.sparkSession)
     n = max(1, manifest.count())
     return manifest.select("path", "first").repartition(n).mapInArrow(_read_shards, "doc_id long, start long, n_tokens long, ids_crc32 long")
