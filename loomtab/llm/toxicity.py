@@ -14,7 +14,7 @@ sample's labels gives the score. Every word of every text counts; there are no p
 Learning takes only labels with ``crc32(doc_id) mod 5`` other than 0. Inputs of a score are words alone.
 
 Results: null text has no words; texts without significant passages, empty ones included, share one low score; several labels of a
-``doc_id`` count as toxic if one is; null labels and null ``doc_id`` are not learnt from (a null ``doc_id`` counts as held out);
+``doc_id`` count as toxic if one is, and of rows that share one the smallest text is learnt from; null labels and null ``doc_id`` are not learnt from (a null ``doc_id`` counts as held out);
 without labels of both classes every score is 0.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import small_batches, utf8
+from .common import small_batches, utf8, written
 from .decontaminate import WORD_BYTES
 
 SAMPLE, PRIOR, DRIFT, LIMIT = 20_000, 1.0, 0.05, 12.0
@@ -150,7 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     empty = Model({}, DRIFT, 1.0, 0.0, (0.0, 0.0, -1e9))
     ids = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "__id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "label")  # at most ``sample`` rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).groupBy("__id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    rows = written(rows.select("text", "label"), "toxicity-sample")  # at most ``sample`` rows: the corpus is read once for learning
     counts = rows.mapInArrow(_count, "word binary, clean long, toxic long, n long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "n")])
     totals = counts.where("word IS NULL").first()
     if totals is None or not totals.clean or not totals.toxic:
