@@ -46,17 +46,17 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed long) of each document."""
+def fingerprints(docs: DataFrame, shingle: int = 3, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` (the fingerprint as a signed long) of each document, and the long columns ``carried``."""
 
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x, shingle) for x in utf8(b["text"])], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps, pa.int64()), *[b[c] for c in carried]], ["doc_id", "fp", *carried])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *carried).mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in carried))
 
 
 def _masks(most: int) -> list[int]:
@@ -100,14 +100,36 @@ def links(distinct: DataFrame, most: int = 2, crowd: int = 32) -> DataFrame:
     return found.union(around.select(F.explode("near").alias("u"), F.array_min("near").alias("v")).where("u <> v"))
 
 
+def labelled(groups: DataFrame, most: int = 2, crowd: int = 32) -> DataFrame:
+    """``groups``, with a row per fingerprint ``fp``, and the ``label`` of each one's component (its smallest fingerprint)."""
+    joined = connected(links(groups.select("fp"), most, crowd))
+    return written(groups.join(joined.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp")).drop("component"), "labelled")
+
+
+def first_rows(docs: DataFrame) -> DataFrame:
+    """One row of each component: that of the smallest ``doc_id``, then of the smallest key; null ids come last.
+
+    Rows are told apart by 128 bits of hash over all columns and their nulls, not by ``doc_id``; rows that are equal throughout are one.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    values = [x for c in names for x in (c.isNull(), c)]
+    keys = {"__k1": F.xxhash64(*values), "__k2": F.xxhash64(F.lit(1), *values)}
+    fps = written(fingerprints(docs.withColumns(keys), carried=tuple(keys)), "fingerprints")
+    groups = written(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *keys)).alias("first")), "distinct-fingerprints")
+    chosen = written(labelled(groups).groupBy("label").agg(F.min("first").alias("first")).select(*[f"first.{k}" for k in keys]), "first-rows")
+    kept = docs.withColumns(keys).join(chosen, list(keys), "left_semi")
+    if fps.groupBy(*keys).count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(list(keys))
+    return kept.drop(*keys)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2, crowd: int = 32) -> DataFrame:
     """``doc_id, fp, component_id``: each document with the smallest ``doc_id`` that links reach from it."""
     fps = written(fingerprints(docs, shingle), "fingerprints")
     groups = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    joined = connected(links(groups.select("fp"), most, crowd))
-    labelled = written(groups.join(joined.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("label")), "labelled")
-    ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = written(labelled.join(ids, "label").select("fp", "component_id"), "named")
+    labels = labelled(groups, most, crowd)
+    ids = labels.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = written(labels.join(ids, "label").select("fp", "component_id"), "named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

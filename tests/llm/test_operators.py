@@ -502,3 +502,13 @@ def test_pipeline_of_repeated_and_null_rows(spark):
     assert len(set(ids)) <= 6
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, base.where("false"), SF).collect() == []
+
+
+def test_near_duplicates_keep_a_row_of_each_component_whatever_the_ids(spark):
+    t = [" ".join(words(3000 + k, 60)) for k in range(8)]
+    # null ids, one id of two texts, copies with and without an id, equal rows
+    d = frame(spark, [*t, t[0], t[5], t[6], t[6], t[7]], ids=[None, None, None, 4, 4, 5, 6, None, None, None, 3, 3, None])
+    got = corpus_pipeline.drop_near_duplicates(spark, d, SF)
+    assert got.columns == d.columns
+    expected = [(None, t[0]), (None, t[1]), (None, t[2]), (4, t[3]), (4, t[4]), (5, t[5]), (3, t[6]), (None, t[7])]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(expected, key=repr)
