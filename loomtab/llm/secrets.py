@@ -9,9 +9,10 @@ correlation. The smallest p-value counts, corrected for three tests (Tippett). W
 evenly.
 
 False-discovery control is by class of encoding and length (powers of two), as short runs say less: over all documents the
-p-values of a class are counted in bins, the number of random runs is estimated from the upper half, and the lowest threshold is taken above
-which at most ``rate`` of the runs are estimated to be not random. Runs above it are ``random`` spans. What goes to the driver is
-the bins' counts: a few hundred numbers for any corpus.
+p-values of a class's distinct runs are counted in bins (copies count once), the number of random runs is bounded from the upper half (its count and
+a standard error of it, so that a few runs don't condemn each other), and the lowest threshold is taken above
+which at most ``rate`` of the runs are surely not random. Runs above it are ``random`` spans. No threshold is below the first edge: evenly drawn
+strings are that uneven once in a thousand times. What goes to the driver is the bins' counts: a few hundred numbers for any corpus.
 
 Results: null text is empty; empty text has no spans; a run within a base span isn't a candidate. Offsets are code points, end
 exclusive.
@@ -22,12 +23,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import small_batches, written
 
@@ -52,7 +55,8 @@ ENCODINGS = (
     ("base64url", UPPER + LOWER + DIGITS + "-_", (DIGITS, UPPER, LOWER)),
 )
 _TABLES = [(name, frozenset(a), {c: i for i, c in enumerate(a)}, [frozenset(x) for x in need]) for name, a, need in ENCODINGS]
-BINS = 20
+#: Lower edges of the bins of p-values but the first, which is never kept; closer where thresholds of a clear class lie.
+EDGES = (0.001, 0.002, 0.005, 0.01, 0.02, *(k / 20 for k in range(1, 11)))
 
 
 def infer(run: str) -> tuple[str, list[int], int] | None:
@@ -107,27 +111,27 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
             continue
         if found := infer(run):
             name, values, size = found
-            out.append({"start": start, "end": end, "class": f"{name}/{len(run).bit_length()}", "p": battery(values, size)})
+            out.append({"start": start, "end": end, "class": f"{name}/{len(run).bit_length()}", "run": xxh64_intdigest(run.encode()) - (1 << 63), "bin": bisect_right(EDGES, battery(values, size))})
     return out
 
 
-def thresholds(bins: dict[tuple[str, int], int], rate: float) -> dict[str, float]:
-    """For each class the lowest p-value, a bin's edge, from which on at most ``rate`` of the runs aren't random."""
+def thresholds(bins: dict[tuple[str, int], int], rate: float) -> dict[str, int]:
+    """For each class the lowest bin from which on at most ``rate`` of the distinct runs surely aren't random; the last bin always is one."""
     out = {}
     for name in {c for c, _ in bins}:
-        counts = np.array([bins.get((name, b), 0) for b in range(BINS)], float)
-        even = counts[BINS // 2 :].sum() / (BINS - BINS // 2)  # random runs in a bin
-        for b in range(BINS // 2 + 1):
+        counts = np.array([bins.get((name, b), 0) for b in range(len(EDGES) + 1)], float)
+        even = (counts[-1] + 0.5 + math.sqrt(counts[-1] + 0.25)) / (1 - EDGES[-1])  # random runs for a width of 1, at most
+        for b, edge in enumerate(EDGES, 1):
             kept = counts[b:].sum()
-            if kept and max(0.0, kept - even * (BINS - b)) <= rate * kept:
-                out[name] = b / BINS
+            if kept - even * (1 - edge) <= rate * kept:
+                out[name] = b
                 break
     return out
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-    run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("class", pa.string()), ("p", pa.float64())]))
+    run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("class", pa.string()), ("run", pa.int64()), ("bin", pa.int32())]))
     for b in batches:
         base, runs = [], []
         for t in b["text"].to_pylist():
@@ -140,12 +144,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame, rate: float = 0.1) -> DataFrame:
     """``doc_id, base_sha256, found``: every span as (start, kind, end), kind an index of ``KINDS``, in order."""
     small_batches(docs.sparkSession)
-    columns = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base array<struct<start:long,kind:int,end:long>>, base_sha256 string, runs array<struct<start:long,end:long,class:string,p:double>>"
+    columns = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base array<struct<start:long,kind:int,end:long>>, base_sha256 string, runs array<struct<start:long,end:long,class:string,run:long,bin:int>>"
     rows = written(docs.select("doc_id", "text").mapInArrow(_scan, columns), "secret-candidates")
-    each = rows.select(F.explode("runs").alias("r")).groupBy(F.col("r.class").alias("c"), F.least(F.floor(F.col("r.p") * BINS), F.lit(BINS - 1)).alias("b")).count().collect()
-    lowest = thresholds({(r.c, r.b): r["count"] for r in each}, rate)
-    at_least = F.create_map(*[F.lit(x) for pair in sorted(lowest.items()) for x in pair]) if lowest else F.lit(None).cast("map<string,double>")
-    passed = F.filter("runs", lambda r: F.coalesce(r["p"] >= F.try_element_at(at_least, r["class"]), F.lit(False)))
+    distinct = rows.select(F.explode("runs").alias("r")).select("r.class", "r.run", "r.bin").distinct()
+    lowest = thresholds({(r["class"], r.bin): r["count"] for r in distinct.groupBy("class", "bin").count().collect()}, rate)
+    at_least = F.create_map(*[F.lit(x) for pair in sorted(lowest.items()) for x in pair]) if lowest else F.lit(None).cast("map<string,int>")
+    passed = F.filter("runs", lambda r: F.coalesce(r["bin"] >= F.try_element_at(at_least, r["class"]), F.lit(False)))
     more = F.transform(passed, lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("kind"), r["end"].alias("end")))
     return rows.select("doc_id", "base_sha256", F.array_sort(F.concat("base", more)).alias("found"))
 

@@ -215,6 +215,27 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert sum("random" in got[i] for i in range(200, 450)) < 20
 
 
+def random_key(r, n=40, alphabet="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
+    return "".join(r.choice(alphabet) for _ in range(n))
+
+
+def test_copies_and_sparse_classes_lose_no_secrets(spark):
+    r = random.Random(8)
+    keys = [random_key(r) for _ in range(200)]
+    bins = [secrets.candidates(k, [])[0]["bin"] for k in keys]
+    copied = keys[next(i for i, b in enumerate(bins) if 0.3 <= secrets.EDGES[b - 1] < 0.4)]
+    lone = next(k for k in (random_key(r, 24, "0123456789ABCDEF") for _ in range(1000)) if secrets.EDGES[secrets.candidates(k, [])[0]["bin"] - 1] == 0.3)
+    plain = [f"TheQuickBrownFoxJumps{k}OverTheLazyDogAgain" for k in range(200)]
+    got = {x.doc_id: x.spans for x in secrets.digest(secrets.scan(frame(spark, [*keys, lone, *[copied] * 3000]))).collect()}
+    assert sum(got[k] == "random:0:40" for k in range(200)) >= 195
+    assert got[200] == "random:0:24"
+    assert all(got[k] == "random:0:40" for k in range(201, len(got)))
+    # identifiers whose p-values lie among those of random strings raise the threshold, by what they are and not by their copies
+    few = {x.doc_id: x.spans for x in secrets.digest(secrets.scan(frame(spark, [*keys, *plain]))).collect()}
+    many = {x.doc_id: x.spans for x in secrets.digest(secrets.scan(frame(spark, [*keys, *plain, *plain * 5]))).collect()}
+    assert all(few[k] == many[k] for k in few)
+
+
 def test_battery_is_uniform_under_randomness():
     r = random.Random(1)
     p = [secrets.battery([r.randrange(64) for _ in range(64)], 64) for _ in range(400)]
