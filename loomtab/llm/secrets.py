@@ -2,7 +2,8 @@
 
 Base patterns have a fixed form: ``assign`` (a keyword set to a long value), ``access`` (an access-key id) and ``hex`` (a long hex run).
 
-Other candidates are runs of the characters that encodings use. The narrowest encoding that fits is inferred, the run becomes a
+Other candidates are runs of the characters that encodings use. Padding (``=``) isn't part
+of a run. The narrowest encoding that fits is inferred, the run becomes a
 sequence of symbol values, and three tests ask whether it looks drawn at random: chi-squared uniformity over the alphabet (binned so
 that each bin expects four symbols), Wald-Wolfowitz runs about the middle of the alphabet, and lag-1 serial
 correlation. The smallest p-value counts, corrected for three tests (Tippett). Words and identifiers give small ones; random strings spread
@@ -14,6 +15,11 @@ a standard error of it, so that a few runs don't condemn each other), and the lo
 which at most ``rate`` of the runs are surely not random. Runs above it are ``random`` spans. No threshold is below the first edge: evenly drawn
 strings are that uneven once in a thousand times. What goes to the driver is the bins' counts: a few hundred numbers for any corpus.
 
+A run with ``/``, ``-``, ``_`` or ``+`` may be a secret with words or path segments glued to it. Its parts are tested too: what is left without word-like
+segments at either end, the parts between slashes, those between slashes and hyphens, and those between any of the four. A part is a
+span where nothing around it in the same run is. Runs and parts have 16 characters at least, and a digit or both cases: letters of
+one case can't be told from words by these tests at such lengths.
+
 Results: null text is empty; empty text has no spans; a run within a base span isn't a candidate. Offsets are code points, end
 exclusive.
 """
@@ -40,7 +46,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Shorter runs have under four symbols for each of four bins, and no test has power.
+LEAST = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % LEAST)
+#: What glues words and path segments to a run, weakest bond first.
+GLUE = (re.compile(r"[^/]+"), re.compile(r"[^/-]+"), re.compile(r"[^/_+-]+"))
 
 #: Encodings, narrowest first: name, alphabet in order of value, and what a run has to contain.
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,6 +60,7 @@ ENCODINGS = (
     ("base32", UPPER + "234567", (DIGITS, UPPER)),
     ("base36", DIGITS + LOWER, (DIGITS, LOWER)),
     ("BASE36", DIGITS + UPPER, (DIGITS, UPPER)),
+    ("base52", UPPER + LOWER, (UPPER, LOWER)),
     ("base62", DIGITS + UPPER + LOWER, (DIGITS, UPPER, LOWER)),
     ("base64", UPPER + LOWER + DIGITS + "+/", (DIGITS, UPPER, LOWER)),
     ("base64url", UPPER + LOWER + DIGITS + "-_", (DIGITS, UPPER, LOWER)),
@@ -101,17 +112,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)])
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Runs of an encoding outside base spans, each with its class and p-value."""
+def parts(run: str) -> list[tuple[int, int]]:
+    """(start, end) of a run and of its parts, each before those within it; any two are nested or apart."""
+    out = {(0, len(run)): None}
+    segments = [m.span() for m in GLUE[0].finditer(run)]
+    odd = [(a, b) for a, b in segments if infer(run[a:b])]
+    if odd:
+        out[odd[0][0], odd[-1][1]] = None
+    for glue in GLUE:
+        out.update(dict.fromkeys(m.span() for m in glue.finditer(run)))
+    return [(a, b) for a, b in out if b - a >= LEAST]
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[list[dict]]:
+    """Runs of an encoding outside base spans, each a list of itself and its parts with their classes and bins of p-values."""
     out = []
     for m in CANDIDATE.finditer(text):
-        start, run = m.start(), m[0].rstrip("=")
-        end = start + len(run)
-        if len(run) < 20 or any(s < end and start < e for s, _, e in base):
-            continue
-        if found := infer(run):
-            name, values, size = found
-            out.append({"start": start, "end": end, "class": f"{name}/{len(run).bit_length()}", "run": xxh64_intdigest(run.encode()) - (1 << 63), "bin": bisect_right(EDGES, battery(values, size))})
+        found = []
+        for a, b in parts(m[0]):
+            start, end, run = m.start() + a, m.start() + b, m[0][a:b]
+            if any(s < end and start < e for s, _, e in base):
+                continue
+            if fits := infer(run):
+                name, values, size = fits
+                found.append({"start": start, "end": end, "class": f"{name}/{len(run).bit_length()}", "run": xxh64_intdigest(run.encode()) - (1 << 63), "bin": bisect_right(EDGES, battery(values, size))})
+        if found:
+            out.append(found)
     return out
 
 
@@ -131,7 +157,7 @@ def thresholds(bins: dict[tuple[str, int], int], rate: float) -> dict[str, int]:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-    run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("class", pa.string()), ("run", pa.int64()), ("bin", pa.int32())]))
+    run = pa.list_(pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("class", pa.string()), ("run", pa.int64()), ("bin", pa.int32())])))
     for b in batches:
         base, runs = [], []
         for t in b["text"].to_pylist():
@@ -144,12 +170,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame, rate: float = 0.1) -> DataFrame:
     """``doc_id, base_sha256, found``: every span as (start, kind, end), kind an index of ``KINDS``, in order."""
     small_batches(docs.sparkSession)
-    columns = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base array<struct<start:long,kind:int,end:long>>, base_sha256 string, runs array<struct<start:long,end:long,class:string,run:long,bin:int>>"
+    columns = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base array<struct<start:long,kind:int,end:long>>, base_sha256 string, runs array<array<struct<start:long,end:long,class:string,run:long,bin:int>>>"
     rows = written(docs.select("doc_id", "text").mapInArrow(_scan, columns), "secret-candidates")
-    distinct = rows.select(F.explode("runs").alias("r")).select("r.class", "r.run", "r.bin").distinct()
+    distinct = rows.select(F.explode(F.flatten("runs")).alias("r")).select("r.class", "r.run", "r.bin").distinct()
     lowest = thresholds({(r["class"], r.bin): r["count"] for r in distinct.groupBy("class", "bin").count().collect()}, rate)
     at_least = F.create_map(*[F.lit(x) for pair in sorted(lowest.items()) for x in pair]) if lowest else F.lit(None).cast("map<string,int>")
-    passed = F.filter("runs", lambda r: F.coalesce(r["bin"] >= F.try_element_at(at_least, r["class"]), F.lit(False)))
+
+    def outermost(run):
+        passed = F.filter(run, lambda r: F.coalesce(r["bin"] >= F.try_element_at(at_least, r["class"]), F.lit(False)))
+        return F.filter(passed, lambda x: ~F.exists(passed, lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])))
+
+    passed = F.flatten(F.transform("runs", outermost))
     more = F.transform(passed, lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("kind"), r["end"].alias("end")))
     return rows.select("doc_id", "base_sha256", F.array_sort(F.concat("base", more)).alias("found"))
 

@@ -222,9 +222,9 @@ def random_key(r, n=40, alphabet="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrst
 def test_copies_and_sparse_classes_lose_no_secrets(spark):
     r = random.Random(8)
     keys = [random_key(r) for _ in range(200)]
-    bins = [secrets.candidates(k, [])[0]["bin"] for k in keys]
+    bins = [secrets.candidates(k, [])[0][0]["bin"] for k in keys]
     copied = keys[next(i for i, b in enumerate(bins) if 0.3 <= secrets.EDGES[b - 1] < 0.4)]
-    lone = next(k for k in (random_key(r, 24, "0123456789ABCDEF") for _ in range(1000)) if secrets.EDGES[secrets.candidates(k, [])[0]["bin"] - 1] == 0.3)
+    lone = next(k for k in (random_key(r, 24, "0123456789ABCDEF") for _ in range(1000)) if secrets.EDGES[secrets.candidates(k, [])[0][0]["bin"] - 1] == 0.3)
     plain = [f"TheQuickBrownFoxJumps{k}OverTheLazyDogAgain" for k in range(200)]
     got = {x.doc_id: x.spans for x in secrets.digest(secrets.scan(frame(spark, [*keys, lone, *[copied] * 3000]))).collect()}
     assert sum(got[k] == "random:0:40" for k in range(200)) >= 195
@@ -236,6 +236,19 @@ def test_copies_and_sparse_classes_lose_no_secrets(spark):
     assert all(few[k] == many[k] for k in few)
 
 
+def test_glued_padded_and_short_secrets_are_found(spark):
+    r = random.Random(9)
+    forms = ["sig={}== end", "x ?session={}&b", "private_key={}", "https://hostname.test/directory/subdirectory/pages/and/more/of/the/words/{}", "just-a-long-line-of-hyphenated-words-of-one-case-and-then-{}"]
+    cases = [(f, random_key(r)) for f in forms for _ in range(40)] + [("sig={}=", random_key(r, 17)) for _ in range(40)]
+    cases += [("key {} end", random_key(r, 40, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")) for _ in range(40)]
+    cases += [("0123456789abcdef0/{}", random_key(r)) for _ in range(40)]
+    got = {x.doc_id: x.spans for x in secrets.digest(secrets.scan(frame(spark, [f.format(k) for f, k in cases]))).collect()}
+    hit = [any(s.startswith("random:") and int(s.split(":")[1]) <= (a := f.index("{")) and int(s.split(":")[2]) == a + len(k) for s in got[i].split(",")) for i, (f, k) in enumerate(cases)]
+    assert [sum(hit[i : i + 40]) >= 36 for i in range(0, len(hit), 40)] == [True] * 8
+    got = secrets.parts("path/words/Ab1-Cd2Ef3Gh4Ij5Kl6Mn7/and/more")
+    assert got == [(0, 42), (11, 33), (15, 33)]
+
+
 def test_battery_is_uniform_under_randomness():
     r = random.Random(1)
     p = [secrets.battery([r.randrange(64) for _ in range(64)], 64) for _ in range(400)]
