@@ -149,6 +149,19 @@ def spark_type(values: Iterable[Any]) -> T.DataType:
     return T.StringType()
 
 
+def exemplar(value: Any) -> Any:
+    """A small value that stands for all of its kind in ``spark_type``; ``...`` for kinds that it has no type for."""
+    kind = type(value)
+    if kind in (list, tuple, set, frozenset, dict):
+        inner = {repr(x): x for x in map(exemplar, value.values() if kind is dict else value)}
+        found = [inner[k] for k in sorted(inner)]
+        return dict(enumerate(found)) if kind is dict else found
+    for x in (None, False, 0, 0.0, decimal.Decimal(0), "", b"", datetime.datetime(1970, 1, 1), datetime.date(1970, 1, 1), datetime.time()):
+        if kind is type(x):
+            return x
+    return ...
+
+
 def fitted(value: Any, to: T.DataType) -> Any:
     """A Python value as its column's type has it."""
     if value is None:
@@ -158,6 +171,8 @@ def fitted(value: Any, to: T.DataType) -> Any:
     if isinstance(to, T.DoubleType):
         return float(value)
     if isinstance(to, T.LongType):
+        if isinstance(value, (float, decimal.Decimal)) and value != int(value):
+            raise ValueError(f"{value!r} is no integer")
         return int(value)
     if isinstance(to, T.DecimalType):
         return decimal.Decimal(str(value))

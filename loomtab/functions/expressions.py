@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import operator
+import pickle
 import re
 from collections.abc import Callable
 from typing import Any
@@ -17,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import Table, col, fitted, resolve, spark_type
+from ..core import Table, col, exemplar, fitted, resolve, spark_type
 from ..errors import ArgumentError, FieldSelectionError
 from ..plans.shipping import ship
 
@@ -136,7 +137,10 @@ class Record(tuple):
 
 
 def opaque(t: Table, f: Callable[[Record], Any], returns: str | T.DataType | None = None, errorvalue: Any = None, failonerror: bool = False) -> Column:
-    """A callable of a record as an Arrow-batched function; its type is ``returns``, or that of a few rows."""
+    """A callable of a record as an Arrow-batched function; its type is ``returns``, or fits what all rows give, found by a pass over them.
+
+    A value that isn't of the type ``returns`` is an error of the callable.
+    """
     names = tuple(t.columns)
     ship(t.frame.sparkSession)
 
@@ -148,10 +152,21 @@ def opaque(t: Table, f: Callable[[Record], Any], returns: str | T.DataType | Non
                 raise
             return errorvalue
 
+    columns = [col(n) for n in names]
     if returns is None:
-        returns = spark_type([safe(*r) for r in t.df.limit(20).collect()])
+        kind = F.udf(lambda *v: pickle.dumps(exemplar(safe(*v))), "binary", useArrow=True)
+        returns = spark_type([pickle.loads(r[0]) for r in t.df.select(kind(*columns)).distinct().collect()])
     to = T._parse_datatype_string(returns) if isinstance(returns, str) else returns
-    return F.udf(lambda *v: fitted(safe(*v), to), to, useArrow=True)(*[col(n) for n in names])
+
+    def typed(*values: Any) -> Any:
+        try:
+            return fitted(f(Record(values, names)), to)
+        except Exception:
+            if failonerror:
+                raise
+            return fitted(errorvalue, to)
+
+    return F.udf(typed, to, useArrow=True)(*columns)
 
 
 def record_column(t: Table, what: Any, returns: str | T.DataType | None = None, **policy: Any) -> Column:

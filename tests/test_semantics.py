@@ -311,3 +311,22 @@ def test_plans_push_down_and_stay_in_codegen(spark, tmp_path):
     j = lt.join(t, t, key="b").df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in j
     assert F is not None
+
+
+def test_types_of_opaque_callables_come_from_all_rows():
+    t = [("n",), *((k,) for k in range(200))]
+    seen = {"late": [0, 1, 2.5], "text": [0, 1, "x"], "nested": [[0], [1], [2.5]]}
+    for name, values in seen.items():
+        got = lt.addfield(t, name, lambda r, v=values: v[0 if r["n"] < 100 else 1 if r["n"] < 199 else 2] if int(r["n"]) >= 0 else None)
+        first, last, kind = {"late": (0.0, 2.5, "double"), "text": ("0", "x", "string"), "nested": ([0.0], [2.5], "array<double>")}[name]
+        assert dict(got.df.dtypes)[name] == kind
+        assert {r.n: r[name] for r in got.df.collect() if r.n in (0, 199)} == {0: first, 199: last}
+    late = lt.convert(t, "n", lambda v: int(v) if int(v) < 100 else float(v) + 0.5)
+    assert dict(late.df.dtypes)["n"] == "double"
+    assert late.df.agg(F.max("n")).first()[0] == 199.5
+
+
+def test_results_that_do_not_fit_returns_are_errors_of_the_callable():
+    t = [("n",), (1,), (2,), (3,)]
+    opaque = lambda r: {1: 4.0, 2: 3.7, 3: "x"}[int(r["n"])]
+    same(lt.addfield(t, "m", opaque, returns="bigint"), [("n", "m"), (1, 4), (2, None), (3, None)])
