@@ -167,8 +167,14 @@ def compress(data: bytes, compression: int) -> bytes:
 # --- directories ----------------------------------------------------------------------------------------------------
 
 
-def _fields(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]:
-    """A directory's fields, and where the next directory is."""
+def _following(data: bytes, at: int, order: str) -> int:
+    """Where the directory after the one at ``at`` is; 0 after the last."""
+    (n,) = struct.unpack_from(order + "H", data, at)
+    return struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+
+
+def _fields(data: bytes, at: int, order: str) -> dict[int, tuple]:
+    """A directory's fields."""
     (n,) = struct.unpack_from(order + "H", data, at)
     fields = {}
     for i in range(n):
@@ -180,16 +186,16 @@ def _fields(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]:
         if size * count > 4:
             (where,) = struct.unpack_from(order + "I", data, where)
         fields[tag] = struct.unpack_from(order + (f"{count}s" if kind == 2 else code * count if len(code) > 1 else f"{count}{code}"), data, where)
-    return fields, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+    return fields
 
 
 def _page(data: bytes, f: dict[int, tuple], order: str) -> Page:
     one = lambda name, default=None: f.get(TAG[name], (default,))[0]
     width, height, samples = one("width"), one("height"), one("samples", 1)
     bits, compression, predictor, planar = one("bits", 1), one("compression", RAW), one("predictor", 1), one("planar", 1)
-    if not width or not height or bits not in (8, 16) or predictor not in (1, 2):
+    if not width or not height or bits not in (1, 2, 4, 8, 16, 32) or predictor not in (1, 2) or (predictor == 2 and bits < 8):
         raise ValueError(f"{width} x {height}, {bits} bit, predictor {predictor}")
-    kind = np.dtype(f"{order}u{bits // 8}")
+    kind = np.dtype(f"{order}u{max(bits, 8) // 8}")
     if tiled := TAG["tiles"] in f:
         w, h, where, sizes = one("tile_width"), one("tile_height"), f[TAG["tiles"]], f[TAG["tile_sizes"]]
     else:
@@ -201,10 +207,15 @@ def _page(data: bytes, f: dict[int, tuple], order: str) -> Page:
         plane, k = divmod(k, across * down)
         y, x = k // across * h, k % across * w
         rows = h if tiled else min(h, height - y)
-        raw = _expand(data[start : start + size], compression, rows * w * deep * kind.itemsize)
-        if plane >= planes or len(raw) < rows * w * deep * kind.itemsize:
+        line = -(-w * deep * bits // 8)  # rows begin at whole bytes
+        raw = _expand(data[start : start + size], compression, rows * line)
+        if plane >= planes or len(raw) < rows * line:
             raise ValueError("a strip or tile is too short")
-        part = np.frombuffer(raw, kind, rows * w * deep).reshape(rows, w, deep)
+        if bits < 8:
+            each = np.unpackbits(np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line), axis=1)[:, : w * deep * bits]
+            part = np.packbits(each.reshape(rows, w, deep, bits), axis=3)[..., 0] >> (8 - bits)
+        else:
+            part = np.frombuffer(raw, kind, rows * w * deep).reshape(rows, w, deep)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=out.dtype)
         part = part[: height - y, : width - x]
@@ -212,21 +223,33 @@ def _page(data: bytes, f: dict[int, tuple], order: str) -> Page:
     return Page(width, height, compression, predictor, out)
 
 
-def decode(data: bytes) -> list[Page]:
-    """All pages of a file."""
+def directories(data: bytes) -> Iterator[Page | ValueError]:
+    """The page of each directory, or its error; directories after one that can't be passed are out of reach."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
-    pages, (at,), seen = [], struct.unpack_from(order + "I", data, 4), set()
-    try:
-        while at:
+    (at,), seen = struct.unpack_from(order + "I", data, 4), set()
+    if not at:
+        yield ValueError("no pages")
+    while at:
+        try:
             if at in seen:
                 raise ValueError("directories form a loop")
             seen.add(at)
-            fields, at = _fields(data, at, order)
-            pages.append(_page(data, fields, order))
-    except (struct.error, KeyError) as e:
-        raise ValueError(str(e)) from e
+            here, at = at, 0
+            at = _following(data, here, order)
+            yield _page(data, _fields(data, here, order), order)
+        except (ValueError, struct.error, KeyError, TypeError, ArithmeticError, MemoryError) as e:
+            yield ValueError(str(e) or type(e).__name__)
+
+
+def decode(data: bytes) -> list[Page]:
+    """All pages of a file; the first error is raised."""
+    pages = []
+    for p in directories(data):
+        if isinstance(p, ValueError):
+            raise p
+        pages.append(p)
     return pages
 
 
@@ -309,15 +332,15 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def pages(media: DataFrame) -> DataFrame:
-    """One row per page: ``doc_id, page, width, height, samples, compression, predictor, data, error``."""
+    """One row per directory, a page or its error, and one per file that is no TIFF file: ``doc_id, page, width, height, samples, compression, predictor, data, error``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for d, m in zip(b["doc_id"].to_pylist(), b["media"].to_pylist(), strict=True):
                 try:
-                    rows = [(d, k, p.width, p.height, p.samples.shape[2], p.compression, p.predictor, p.samples.tobytes(), None) for k, p in enumerate(decode(m or b""))]
+                    rows = [(d, k, *[None] * 6, str(p)) if isinstance(p, ValueError) else (d, k, p.width, p.height, p.samples.shape[2], p.compression, p.predictor, p.samples.tobytes(), None) for k, p in enumerate(directories(m or b""))]
                 except ValueError as e:
-                    rows = [(d, None, None, None, None, None, None, None, str(e))]
+                    rows = [(d, *[None] * 7, str(e))]
                 kinds = [b.schema.field("doc_id").type, *[pa.int32()] * 6, pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], PAGE_NAMES)
 

@@ -424,6 +424,18 @@ def test_media_of_documents(spark, docs, empty):
     assert (rows[3].width, rows[3].error) == (576, None)
 
 
+def test_tiff_pages_beside_damaged_ones_and_narrow_samples(spark):
+    payload = tiff.padded(random.Random(2).randbytes(576 * 3))
+    media = bytearray(tiff.encode(payload, page_rows=1, compression=tiff.DEFLATE))
+    media[len(tiff.encode(payload[:576], page_rows=1, compression=tiff.DEFLATE))] ^= 0xFF  # the header of the second page's strip
+    rows = sorted(tiff.pages(spark.createDataFrame([(1, media), (2, bytearray(b"II*\0\0\0\0\0"))], "doc_id long, media binary")).collect(), key=lambda r: (r.doc_id, r.page))
+    assert [(r.page, r.error is None) for r in rows] == [(0, True), (1, False), (2, True), (0, False)]
+    assert [rows[k].data for k in (0, 2)] == [payload[576 * k : 576 * k + 576] for k in (0, 2)]
+    for bits, width, raw, expected in ((1, 10, b"\xa0\x40\xff\xc0", [1, 0, 1, *[0] * 6, 1, *[1] * 10]), (4, 3, b"\x12\x30\xab\xc0", [1, 2, 3, 10, 11, 12]), (32, 1, b"\1\0\0\0\2\0\0\1", [1, 0x1000002])):
+        fields = {"width": (width,), "height": (2,), "bits": (bits,), "strips": (0,), "strip_sizes": (len(raw),), "rows": (2,)}
+        assert tiff._page(raw, {tiff.TAG[k]: v for k, v in fields.items()}, "<").samples.ravel().tolist() == expected
+
+
 # --- 9: SimHash -----------------------------------------------------------------------------------------------------
 
 
