@@ -31,32 +31,37 @@ from .common import LOWER, small_batches, utf8, word_offsets, written
 from .components import connected
 
 
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, in order, repeats included; fewer words than a shingle are one."""
+    if len(words) <= shingle:
+        return np.array([xxh64_intdigest(b" ".join(words), 42)], "<u8")
+    joined, at = word_offsets(words)
+    return np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(at[:-shingle].tolist(), (at[shingle:] - 1).tolist(), strict=True)], "<u8")
+
+
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """The unsigned 64-bit fingerprint of a UTF-8 text."""
     words = text.translate(LOWER).split()
     if not words:
         return 0
-    if len(words) <= shingle:
-        return xxh64_intdigest(b" ".join(words), 42)
-    joined, at = word_offsets(words)
-    h = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(at[:-shingle].tolist(), (at[shingle:] - 1).tolist(), strict=True)], "<u8")
+    h = shingle_hashes(words, shingle)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 15):
         ones += np.unpackbits(h[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint16 if len(h) < 1 << 16 else np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, carried: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed long) of each document, and the long columns ``carried``."""
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """``doc_id, fp`` (the fingerprint as a signed long) of each document."""
 
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x, shingle) for x in utf8(b["text"])], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps, pa.int64()), *[b[c] for c in carried]], ["doc_id", "fp", *carried])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", *carried).mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in carried))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def _masks(most: int) -> list[int]:
@@ -106,23 +111,6 @@ def labelled(groups: DataFrame, most: int = 2, crowd: int = 32) -> DataFrame:
     return written(groups.join(joined.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp")).drop("component"), "labelled")
 
 
-def first_rows(docs: DataFrame) -> DataFrame:
-    """One row of each component: that of the smallest ``doc_id``, then of the smallest key; null ids come last.
-
-    Rows are told apart by 128 bits of hash over all columns and their nulls, not by ``doc_id``; rows that are equal throughout are one.
-    """
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    values = [x for c in names for x in (c.isNull(), c)]
-    keys = {"__k1": F.xxhash64(*values), "__k2": F.xxhash64(F.lit(1), *values)}
-    fps = written(fingerprints(docs.withColumns(keys), carried=tuple(keys)), "fingerprints")
-    groups = written(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *keys)).alias("first")), "distinct-fingerprints")
-    chosen = written(labelled(groups).groupBy("label").agg(F.min("first").alias("first")).select(*[f"first.{k}" for k in keys]), "first-rows")
-    kept = docs.withColumns(keys).join(chosen, list(keys), "left_semi")
-    if fps.groupBy(*keys).count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(list(keys))
-    return kept.drop(*keys)
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2, crowd: int = 32) -> DataFrame:
     """``doc_id, fp, component_id``: each document with the smallest ``doc_id`` that links reach from it."""
     fps = written(fingerprints(docs, shingle), "fingerprints")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loomtab.llm import components, decontaminate, mixing, queries, secrets, simhash, substring, tiff, tokencount, tokenfiles, toxicity, urls
+from loomtab.llm import components, decontaminate, mixing, queries, secrets, simhash, similar, substring, tiff, tokencount, tokenfiles, toxicity, urls
 
 from ..helpers import SF, matches
 
@@ -477,6 +477,49 @@ def test_simhash_edges(spark, empty):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, 5), (5, 5), (8, 8), (9, 8)]
 
 
+def edited(r, base, n, tag):
+    out = list(base)
+    for _ in range(n):
+        out[r.randrange(len(out))] = f"{tag}{r.randrange(50)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("few", [2, 64])
+def test_similar_matches_brute_force(spark, monkeypatch, few):
+    """Groups about the similarity, a hub of copies that differ from one another, a passage of many texts, and edges."""
+    monkeypatch.setattr(similar, "FEW", few)
+    monkeypatch.setattr(similar, "CENTRES", 4 if few == 2 else 32)
+    r, cases = random.Random(11), [None, "", "  ", "one", "One", "two words", "a b c d e", "A b c d  e"]
+    for k in range(8):
+        base = words(4000 + k, r.choice([12, 40, 100, 300]))
+        cases += [edited(r, base, r.randrange(0, max(2, len(base) // 40)), "edit") for _ in range(r.randrange(1, 6))]
+    hub, passage = words(4100, 120), " ".join(words(4200, 60))
+    cases += [edited(r, hub, 1 + k % 3, f"copy{k}") for k in range(40)]
+    cases += [f"{' '.join(words(4300 + k, r.choice([3, 10, 30, 80])))} {passage}" for k in range(20)]
+    first = similar.brute_force(cases)
+    got = sorted(x.doc_id for x in similar.first_rows(frame(spark, cases)).collect())
+    assert len(set(first)) < len(cases) * 0.7
+    assert got == sorted(set(first))
+
+
+def test_ring_prunes_what_differs_and_keeps_what_is_similar():
+    r, base = random.Random(12), words(4400, 200)
+    ring = lambda x: similar.sketch(np.unique(simhash.shingle_hashes([w.encode() for w in x], 5)))
+    own, near, far = ring(base), [], []
+    for k in range(300):
+        x, n = list(base), r.choice([1, 2, 3, 4])
+        for i in r.sample(range(200), n if k % 2 else 25):
+            x[i] = f"edit{k}"
+        both = {tuple(base[i : i + 5]) for i in range(196)} & {tuple(x[i : i + 5]) for i in range(196)}
+        j = len(both) / (392 - len(both))
+        (near if j >= 0.8 else far if j < 0.4 else []).append(ring(x))
+    most = similar.budget(0.8)
+    assert len(near) > 100
+    assert len(far) > 100
+    assert similar.on_the_ring(np.array(near), own[None], most).all()
+    assert not similar.on_the_ring(np.array(far), own[None], most).any()
+
+
 # --- 10: decontamination --------------------------------------------------------------------------------------------
 
 
@@ -524,16 +567,17 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
     counts = {}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         if name == "near_duplicates":
-            exact = simhash.brute_force([(r.doc_id, r.text) for r in docs.collect()])
+            rows = sorted((r.doc_id, r.text) for r in docs.collect())
+            exact = [rows[k][0] for k, first in enumerate(similar.brute_force([t for _, t in rows])) if k == first]
         docs = stage(spark, docs, SF).persist()
         counts[name] = docs.count()
         if k + 1 < len(corpus_pipeline.STAGES):
             assert docs.columns == names
         if name == "near_duplicates":
-            assert sorted(r.doc_id for r in docs.collect()) == sorted(d for d, (_, c) in exact.items() if c == d)
+            assert sorted(r.doc_id for r in docs.collect()) == exact
         if name == "decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-            assert not any(v[4] for v in contamination([(r.doc_id, r.text) for r in docs.limit(60).collect()], items).values())
+            assert not any(v[4] for v in contamination([(r.doc_id, r.text) for r in docs.collect()], items).values())
     assert before >= counts["toxicity"] > counts["near_duplicates"] > counts["decontamination"] > 0
     assert counts["token_files"] == counts["mixing"]
     assert corpus_pipeline.run(spark, SF).count() == counts["token_files"]
