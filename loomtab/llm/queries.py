@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, mixing, secrets, simhash, substring, tiff, tokencount, tokenfiles, toxicity, urls
-from .common import table
+from .common import pieces, table
 
 WINDOW, END_ID = 20, 2
 
@@ -18,7 +18,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.digest(mixing.mix_sources(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    return mixing.digest(mixing.mix_sources(docs), pieces(docs.count(), 1 << 20, 12))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,11 +109,11 @@ def test_mixing_takes_near_target_and_orders_by_schedule(spark):
     sources = [r.choice(["hot"] * 5 + ["b", None, ""]) for _ in range(300)]
     d = frame(spark, [" ".join(words(k, r.randrange(1, 60))) for k in range(300)], sources=sources)
     mixed = mixing.mix_sources(d)
-    rows = mixing.digest(mixed).withColumn("source", F.col("target")).collect()
+    rows = mixing.digest(mixed, 3).withColumn("source", F.col("target")).collect()
     for target in {x.target for x in rows}:
         assert abs(sum(x.taken for x in rows if x.target == target) - target) <= 1
     assert all(x.taken <= 2 * x["size"] for x in rows)
-    assert sorted(map(tuple, mixing.digest(mixing.mix_sources(d.repartition(7))).collect())) == sorted(map(tuple, mixing.digest(mixed).collect()))
+    assert sorted(map(tuple, mixing.digest(mixing.mix_sources(d.repartition(7)), 3).collect()), key=repr) == sorted(map(tuple, mixing.digest(mixed, 3).collect()), key=repr)
     order = mixing.training_order(mixed, 3).collect()
     assert [x.position for x in order] == sorted(x.position for x in order)
     assert all(0 <= x.position <= 1 for x in order)
@@ -126,9 +126,35 @@ def test_mixing_takes_near_target_and_orders_by_schedule(spark):
 
 
 def test_mixing_edges(spark, docs, empty):
-    assert mixing.digest(mixing.mix_sources(empty)).collect() == []
-    assert mixing.digest(mixing.mix_sources(frame(spark, [None, ""], sources=[None, "a"]))).agg(F.sum("taken")).first()[0] == 0
-    assert mixing.digest(mixing.mix_sources(frame(spark, ["a b", "a b", "c"], ids=[1, 1, None]))).count() == 3
+    assert mixing.digest(mixing.mix_sources(empty), 3).collect() == []
+    assert mixing.digest(mixing.mix_sources(frame(spark, [None, ""], sources=[None, "a"])), 3).agg(F.sum("taken")).first()[0] == 0
+    assert mixing.digest(mixing.mix_sources(frame(spark, ["a b", "a b", "c"], ids=[1, 1, None])), 3).count() == 3
+
+
+def test_mixing_results_come_through_the_schedules(spark, docs):
+    """Other schedules change when documents are due, and a schedule's own demand says where its words lie."""
+    r = random.Random(13)
+    d = frame(spark, [" ".join(words(k, r.randrange(1, 60))) for k in range(400)], sources=["a"] * 400)
+
+    def due(knots):
+        return sorted((x.first_position, x.taken) for x in mixing.digest(mixing.mix_sources(d, schedules=(knots,)), 3).collect())
+
+    level, early, late = due(((0.0, 1.0), (1.0, 1.0))), due(((0.0, 1.0), (0.5, 0.0), (1.0, 0.0))), due(((0.0, 0.0), (1.0, 1.0)))
+    assert sum(t for _, t in level) == sum(t for _, t in early) == sum(t for _, t in late)
+    assert [max(p for p, _ in x) < 0.5 for x in (level, early, late)] == [False, True, False]
+    middle = [p for p, _ in level]
+    for (p, _), t in zip(late, middle, strict=True):  # a demand of t ** 2 reaches at sqrt(t) what an even one reaches at t
+        assert p == pytest.approx(t**0.5, abs=1e-8)
+    query = queries.op2_source_mixing(spark, SF)
+    assert "rangepartitioning(first_position" in query._jdf.queryExecution().executedPlan().toString()
+    parts = [[x.first_position if x.first_position is not None else 2.0 for x in p] for p in query.rdd.glom().collect()]
+    assert [x for p in parts for x in p] == sorted(x for p in parts for x in p)
+
+
+def test_rows_of_no_id_are_spread(spark):
+    d = frame(spark, [" ".join(words(k, 20)) for k in range(2000)], ids=[None] * 2000)
+    mixed = mixing.mix_sources(d)
+    assert mixed.select("copies.position").distinct().count() > 1990
 
 
 # --- 3: token files -------------------------------------------------------------------------------------------------
