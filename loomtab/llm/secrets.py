@@ -4,16 +4,18 @@ Base patterns have a fixed form: ``assign`` (a keyword set to a long value), ``a
 
 Other candidates are runs of the characters that encodings use. Padding (``=``) isn't part
 of a run. The narrowest encoding that fits is inferred, the run becomes a
-sequence of symbol values, and three tests ask whether it looks drawn at random: chi-squared uniformity over the alphabet (binned so
-that each bin expects four symbols), Wald-Wolfowitz runs about the middle of the alphabet, and lag-1 serial
-correlation. The smallest p-value counts, corrected for three tests (Tippett). Words and identifiers give small ones; random strings spread
+sequence of symbol values, and four tests ask whether it looks drawn at random: chi-squared uniformity over the alphabet (binned in its
+order so that each bin expects four symbols, and binned by the kinds of symbols that words have many or few of: vowels, common and rare
+consonants, capitals, others), Wald-Wolfowitz runs about the middle of the alphabet, and lag-1 serial
+correlation. The smallest p-value counts, corrected for the number of tests (Tippett). Words and identifiers give small ones; random strings spread
 evenly.
 
 False-discovery control is by class of encoding and length (powers of two), as short runs say less: over all documents the
 p-values of a class's distinct runs are counted in bins (copies count once), the number of random runs is bounded from the upper half (its count and
 a standard error of it, so that a few runs don't condemn each other), and the lowest threshold is taken above
 which at most ``rate`` of the runs are surely not random. Runs above it are ``random`` spans. No threshold is below the first edge: evenly drawn
-strings are that uneven once in a thousand times. What goes to the driver is the bins' counts: a few hundred numbers for any corpus.
+strings are that uneven once in a thousand times. None is above ``CEILING``: it is the share of random strings that a threshold loses, so nine in ten
+are found in any class, however many identifiers it has. What goes to the driver is the bins' counts: a few hundred numbers for any corpus.
 
 A run with ``/``, ``-``, ``_`` or ``+`` may be a secret with words or path segments glued to it. Its parts are tested too: what is left without word-like
 segments at either end, the parts between slashes, those between slashes and hyphens, and those between any of the four. A part is a
@@ -29,8 +31,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +68,18 @@ ENCODINGS = (
     ("base64", UPPER + LOWER + DIGITS + "+/", (DIGITS, UPPER, LOWER)),
     ("base64url", UPPER + LOWER + DIGITS + "-_", (DIGITS, UPPER, LOWER)),
 )
+#: Consonants that words have many of, fixed values.
+VOWELS, COMMON = "aeiou", "tnsrhldcm"
+CEILING = 0.1
+
+
+def _kinds(alphabet: str) -> np.ndarray:
+    """The kind of each symbol of an alphabet: other, capital (where there are small letters too), vowel, common or rare consonant."""
+    both = any(c.islower() for c in alphabet) and any(c.isupper() for c in alphabet)
+    return np.array([0 if not c.isalpha() else 1 if both and c.isupper() else 2 if c.lower() in VOWELS else 3 if c.lower() in COMMON else 4 for c in alphabet])
+
+
+KIND_OF = {name: _kinds(a) for name, a, _ in ENCODINGS}
 _TABLES = [(name, frozenset(a), {c: i for i, c in enumerate(a)}, [frozenset(x) for x in need]) for name, a, need in ENCODINGS]
 #: Lower edges of the bins of p-values but the first, which is never kept; closer where thresholds of a clear class lie.
 EDGES = (0.001, 0.002, 0.005, 0.01, 0.02, *(k / 20 for k in range(1, 11)))
@@ -85,24 +100,33 @@ def _chi_tail(x: float, k: int) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def battery(values: list[int], size: int) -> float:
-    """Joint p-value of the three tests for ``values`` being drawn evenly from 0..size-1."""
+def _uniformity(v: np.ndarray, bin_of: np.ndarray) -> float:
+    """p-value of the chi-squared test for symbols ``v`` drawn evenly, counted by the bin of each."""
+    share = np.bincount(bin_of) / len(bin_of)
+    counts = np.bincount(bin_of[v], minlength=len(share))
+    have = share > 0
+    expected = len(v) * share[have]
+    return _chi_tail(float(((counts[have] - expected) ** 2 / expected).sum()), len(expected) - 1)
+
+
+def battery(values: list[int], size: int, kinds: np.ndarray | None = None) -> float:
+    """Joint p-value of the tests for ``values`` being drawn evenly from 0..size-1; ``kinds``: each symbol's."""
     v, n = np.array(values), len(values)
     bins = max(2, min(size, n // 4))
-    share = np.bincount(np.arange(size) * bins // size, minlength=bins) / size
-    counts = np.bincount(v * bins // size, minlength=bins)
-    p1 = _chi_tail(float(((counts - n * share) ** 2 / (n * share)).sum()), bins - 1)
+    p = [_uniformity(v, np.arange(size) * bins // size)]
+    if kinds is not None:
+        p.append(_uniformity(v, kinds))
     high = v * 2 >= size
     a, b = int(high.sum()), int((~high).sum())
     if a and b and n > 2:
         runs, mean = 1 + int((high[1:] != high[:-1]).sum()), 1 + 2 * a * b / n
         spread = math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))
-        p2 = math.erfc(abs(runs - mean) / spread / math.sqrt(2))
+        p.append(math.erfc(abs(runs - mean) / spread / math.sqrt(2)))
     else:
-        p2 = 2.0 ** (1 - n)
+        p.append(2.0 ** (1 - n))
     d = v - v.mean()
-    p3 = math.erfc(abs(float((d[1:] * d[:-1]).sum() / (d * d).sum())) * math.sqrt(n) / math.sqrt(2)) if d.any() else 2.0 ** (1 - n)
-    return -math.expm1(3 * math.log1p(-min(p1, p2, p3, 1 - 1e-16)))
+    p.append(math.erfc(abs(float((d[1:] * d[:-1]).sum() / (d * d).sum())) * math.sqrt(n) / math.sqrt(2)) if d.any() else 2.0 ** (1 - n))
+    return -math.expm1(len(p) * math.log1p(-min(*p, 1 - 1e-16)))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -126,30 +150,31 @@ def parts(run: str) -> list[tuple[int, int]]:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[list[dict]]:
     """Runs of an encoding outside base spans, each a list of itself and its parts with their classes and bins of p-values."""
-    out = []
+    out, starts, ends = [], [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     for m in CANDIDATE.finditer(text):
         found = []
         for a, b in parts(m[0]):
             start, end, run = m.start() + a, m.start() + b, m[0][a:b]
-            if any(s < end and start < e for s, _, e in base):
+            before = bisect_left(starts, end)
+            if before and ends[before - 1] > start:
                 continue
             if fits := infer(run):
                 name, values, size = fits
-                found.append({"start": start, "end": end, "class": f"{name}/{len(run).bit_length()}", "run": xxh64_intdigest(run.encode()) - (1 << 63), "bin": bisect_right(EDGES, battery(values, size))})
+                found.append({"start": start, "end": end, "class": f"{name}/{len(run).bit_length()}", "run": xxh64_intdigest(run.encode()) - (1 << 63), "bin": bisect_right(EDGES, battery(values, size, KIND_OF[name]))})
         if found:
             out.append(found)
     return out
 
 
 def thresholds(bins: dict[tuple[str, int], int], rate: float) -> dict[str, int]:
-    """For each class the lowest bin from which on at most ``rate`` of the distinct runs surely aren't random; the last bin always is one."""
+    """For each class the lowest bin from which on at most ``rate`` of the distinct runs surely aren't random, or that of ``CEILING``."""
     out = {}
     for name in {c for c, _ in bins}:
         counts = np.array([bins.get((name, b), 0) for b in range(len(EDGES) + 1)], float)
         even = (counts[-1] + 0.5 + math.sqrt(counts[-1] + 0.25)) / (1 - EDGES[-1])  # random runs for a width of 1, at most
         for b, edge in enumerate(EDGES, 1):
             kept = counts[b:].sum()
-            if kept - even * (1 - edge) <= rate * kept:
+            if kept - even * (1 - edge) <= rate * kept or edge >= CEILING:
                 out[name] = b
                 break
     return out
