@@ -1,12 +1,15 @@
 """TIFF columns: texts or other bytes stored as pages, and any TIFF walked and decoded.
 
-``encode`` writes 8-bit grey pages of ``width`` samples a row, deflate strips with horizontal differencing, the fewest pages that
-hold the payload. ``decode`` follows the chain of image directories in either byte order and takes strips and tiles, uncompressed,
-PackBits, LZW or deflate, with no predictor or horizontal differencing, 8 or 16 bit samples, any number of samples a pixel, and
-chunky or separate planes; each page is one row.
+``encode`` writes 8-bit grey pages of ``width`` samples a row in either byte order: strips or tiles, raw, PackBits, LZW or deflate, with
+horizontal differencing or without. ``to_media`` chooses among these by a hash of the payload, so a corpus holds all of them.
+``directories`` follows the chain of image directories and takes strips and tiles, uncompressed, PackBits, LZW or deflate,
+with no predictor or horizontal differencing, samples of 1 to 32 bits, any number of samples a pixel, and chunky or separate planes.
+``pages`` gives one row per page; ``media_digest`` puts payloads together again from these rows, which come in order within a partition.
 
-Results: null text is empty; an empty payload is padded like any other. Equal texts give equal bytes. A damaged file raises
-``ValueError`` in ``decode``; ``pages`` gives one row with the error instead.
+A strip or tile is expanded to the size that its directory says and no further, and only if its stored bytes can hold that much.
+
+Results: null text is empty; an empty payload is padded like any other. Equal texts give equal bytes. Damaged directories give
+rows with the error, whatever the damage, and intact ones beside them their pages; ``decode`` and ``media_digest`` raise ``ValueError``.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, utf8
 
 UNIT, WIDTH, PAGE_ROWS, STRIP_ROWS = 576, 576, 4096, 64
+#: A file's choices, by bits of its payload's hash.
+PAGES_OF, TILES = (2, 4, 16, 64), (None, None, (16, 32), (32, 192))
 
 #: Field types of the TIFF 6.0 specification, fixed values: type -> (struct code, bytes).
 TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 7: ("B", 1), 8: ("h", 2), 9: ("i", 4), 10: ("ii", 8), 11: ("f", 4), 12: ("d", 8)}
@@ -32,6 +37,9 @@ TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("
 #: Tags, fixed values.
 TAG = {"width": 256, "height": 257, "bits": 258, "compression": 259, "photometric": 262, "strips": 273, "samples": 277, "rows": 278, "strip_sizes": 279, "planar": 284, "predictor": 317, "tile_width": 322, "tile_height": 323, "tiles": 324, "tile_sizes": 325}
 RAW, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
+CODECS = (DEFLATE, DEFLATE, DEFLATE, DEFLATE, DEFLATE, PACKBITS, LZW, RAW)
+#: The most bytes that one stored byte expands to, above what each format allows (deflate 1032, LZW 4096 / 1.125, PackBits 64).
+GROWTH = {RAW: 1, DEFLATE: 1033, DEFLATE_OLD: 1033, LZW: 3700, PACKBITS: 128}
 
 
 class Page(NamedTuple):
@@ -150,7 +158,7 @@ def _expand(data: bytes, compression: int, size: int) -> bytes:
         return data
     if compression in (DEFLATE, DEFLATE_OLD):
         try:
-            return zlib.decompress(data)
+            return zlib.decompressobj().decompress(data, size)
         except zlib.error as e:
             raise ValueError(str(e)) from e
     if compression == LZW:
@@ -185,6 +193,8 @@ def _fields(data: bytes, at: int, order: str) -> dict[int, tuple]:
         where = at + 10 + 12 * i
         if size * count > 4:
             (where,) = struct.unpack_from(order + "I", data, where)
+        if where + size * count > len(data):
+            raise ValueError(f"tag {tag} lies beyond the file")
         fields[tag] = struct.unpack_from(order + (f"{count}s" if kind == 2 else code * count if len(code) > 1 else f"{count}{code}"), data, where)
     return fields
 
@@ -202,14 +212,18 @@ def _page(data: bytes, f: dict[int, tuple], order: str) -> Page:
         w, h, where, sizes = width, min(one("rows", height), height), f[TAG["strips"]], f[TAG["strip_sizes"]]
     planes, deep = (samples, 1) if planar == 2 else (1, samples)
     across, down = -(-width // w), -(-height // h)
+    if min(w, h, samples) < 1 or len(where) != planes * across * down:
+        raise ValueError(f"{len(where)} strips or tiles of {w} x {h} for {width} x {height}")
+    line = -(-w * deep * bits // 8)  # rows begin at whole bytes
+    if any(start + size > len(data) for start, size in zip(where, sizes, strict=True)) or height * line > sum(sizes) * GROWTH.get(compression, 1):
+        raise ValueError("a strip or tile is too short")
     out = np.zeros((height, width, samples), kind.newbyteorder("="))
     for k, (start, size) in enumerate(zip(where, sizes, strict=True)):
         plane, k = divmod(k, across * down)
         y, x = k // across * h, k % across * w
         rows = h if tiled else min(h, height - y)
-        line = -(-w * deep * bits // 8)  # rows begin at whole bytes
         raw = _expand(data[start : start + size], compression, rows * line)
-        if plane >= planes or len(raw) < rows * line:
+        if len(raw) < rows * line:
             raise ValueError("a strip or tile is too short")
         if bits < 8:
             each = np.unpackbits(np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line), axis=1)[:, : w * deep * bits]
@@ -239,7 +253,7 @@ def directories(data: bytes) -> Iterator[Page | ValueError]:
             here, at = at, 0
             at = _following(data, here, order)
             yield _page(data, _fields(data, here, order), order)
-        except (ValueError, struct.error, KeyError, TypeError, ArithmeticError, MemoryError) as e:
+        except (ValueError, struct.error, LookupError, TypeError, ArithmeticError, MemoryError) as e:
             yield ValueError(str(e) or type(e).__name__)
 
 
@@ -306,15 +320,28 @@ def padded(text: bytes) -> bytes:
     return text + b"\xff" * (-len(text) % UNIT if text else UNIT)
 
 
-def feature(pages: list[Page]) -> str:
+class Feature:
     """Pages, rows, mean and deviation of all samples, share of padding, and mean step between neighbours, rounded."""
-    rows = np.concatenate([p.samples.reshape(p.height, -1) for p in pages])
-    counts = np.bincount(rows.ravel(), minlength=256)
-    n, levels = rows.size, np.arange(256)
-    mean = float((counts * levels).sum() / n)
-    deviation = float(np.sqrt((counts * (levels - mean) ** 2).sum() / n))
-    step = float(np.abs(np.diff(rows.astype(np.int16), axis=1)).mean())
-    return f"pages={len(pages)};rows={len(rows)};mean={mean:.4f};sd={deviation:.4f};pad={counts[255] / n:.4f};step={step:.4f}"
+
+    def __init__(self):
+        self.pages, self.rows, self.steps, self.n_steps, self.counts = 0, 0, 0, 0, np.zeros(256, np.int64)
+
+    def add(self, rows: np.ndarray) -> None:
+        steps = np.abs(np.diff(rows.astype(np.int16), axis=1))
+        self.pages, self.rows, self.steps, self.n_steps = self.pages + 1, self.rows + len(rows), self.steps + int(steps.sum()), self.n_steps + steps.size
+        self.counts += np.bincount(rows.ravel(), minlength=256)
+
+    def __str__(self) -> str:
+        n, levels = int(self.counts.sum()), np.arange(256)
+        mean = float((self.counts * levels).sum() / n)
+        deviation = float(np.sqrt((self.counts * (levels - mean) ** 2).sum() / n))
+        return f"pages={self.pages};rows={self.rows};mean={mean:.4f};sd={deviation:.4f};pad={self.counts[255] / n:.4f};step={self.steps / max(1, self.n_steps):.4f}"
+
+
+def chosen(payload: bytes) -> bytes:
+    """The payload's file, of the codec, layout, page size, predictor and byte order that its hash says."""
+    h = zlib.crc32(payload)
+    return encode(payload, WIDTH, PAGES_OF[h >> 3 & 3], CODECS[h & 7], 1 + (h >> 5 & 1), "<>"[h >> 6 & 1], TILES[h >> 7 & 3])
 
 
 def to_media(docs: DataFrame) -> DataFrame:
@@ -326,48 +353,92 @@ def to_media(docs: DataFrame) -> DataFrame:
             texts = utf8(b["text"])
             for i in range(0, len(texts), 512):
                 part = texts[i : i + 512]
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, len(part)), pa.array([len(x) for x in part], pa.int64()), pa.array([encode(padded(x)) for x in part], pa.binary())], ["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, len(part)), pa.array([len(x) for x in part], pa.int64()), pa.array([chosen(padded(x)) for x in part], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-def pages(media: DataFrame) -> DataFrame:
-    """One row per directory, a page or its error, and one per file that is no TIFF file: ``doc_id, page, width, height, samples, compression, predictor, data, error``."""
+def pages(media: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """One row per directory, a page or its error, and one per file that is no TIFF file.
+
+    ``doc_id``, the columns ``carried``, ``page, width, height, samples, compression, predictor, data, error``, and of the file
+    ``media_bytes, media_sha256``. A file's rows follow one another, page 0 first (null for no TIFF file).
+    """
+    own = ["doc_id", *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for d, m in zip(b["doc_id"].to_pylist(), b["media"].to_pylist(), strict=True):
+            held, of, size = [], [], 0
+            for i, m in enumerate(b["media"].to_pylist()):
+                m = m or b""
+                whole = (len(m), hashlib.sha256(m).hexdigest())
                 try:
-                    rows = [(d, k, *[None] * 6, str(p)) if isinstance(p, ValueError) else (d, k, p.width, p.height, p.samples.shape[2], p.compression, p.predictor, p.samples.tobytes(), None) for k, p in enumerate(directories(m or b""))]
+                    for k, p in enumerate(directories(m)):
+                        held.append((k, *[None] * 6, str(p), *whole) if isinstance(p, ValueError) else (k, p.width, p.height, p.samples.shape[2], p.compression, p.predictor, p.samples.tobytes(), None, *whole))
+                        of.append(i)
+                        size += len(held[-1][6] or b"")
+                        if size > PAGE_BATCH:
+                            yield _page_rows(b, own, of, held)
+                            held, of, size = [], [], 0
                 except ValueError as e:
-                    rows = [(d, *[None] * 7, str(e))]
-                kinds = [b.schema.field("doc_id").type, *[pa.int32()] * 6, pa.binary(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], PAGE_NAMES)
+                    held.append((*[None] * 7, str(e), *whole))
+                    of.append(i)
+            if held:
+                yield _page_rows(b, own, of, held)
 
-    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, page int, width int, height int, samples int, compression int, predictor int, data binary, error string")
+    kinds = ", ".join(f"{c} {media.schema[c].dataType.simpleString()}" for c in own)
+    return media.select(*own, "media").mapInArrow(run, f"{kinds}, {PAGE_COLUMNS}")
 
 
-PAGE_NAMES = ["doc_id", "page", "width", "height", "samples", "compression", "predictor", "data", "error"]
+PAGE_COLUMNS = "page int, width int, height int, samples int, compression int, predictor int, data binary, error string, media_bytes long, media_sha256 string"
+PAGE_BATCH = 4 << 20
 
 
-def media_digest(media: DataFrame) -> DataFrame:
-    """Per file, what its decoded pages hold: the payload's size and hashes, the file's, and the feature string."""
+def _page_rows(b: pa.RecordBatch, own: list[str], of: list[int], held: list[tuple]) -> pa.RecordBatch:
+    kinds = [*[pa.int32()] * 6, pa.binary(), pa.string(), pa.int64(), pa.string()]
+    columns = [pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([*(b[c].take(pa.array(of)) for c in own), *columns], [*own, *(x.split()[0] for x in PAGE_COLUMNS.split(", "))])
+
+
+def media_digest(found: DataFrame) -> DataFrame:
+    """Per file, from its page rows: the payload's size and hashes, the file's, and the feature string. Rows have to come as ``pages`` gives them."""
     columns = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    kinds = [found.schema["doc_id"].dataType.simpleString(), "long"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for m in b["media"].to_pylist():
-                found = decode(m)
-                payload = b"".join(p.samples.tobytes() for p in found)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(found)))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["n_bytes"], *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", *(x.split()[0] for x in columns.split(", "))])
+        done, open_ = [], None
 
-    return media.mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, {columns}")
+        def close() -> None:
+            d, n, whole, size, sha, tail, seen = open_
+            done.append((d, n, size, sha.hexdigest(), zlib.crc32(tail), *whole, str(seen)))
+
+        def batch(t: pa.DataType) -> pa.RecordBatch:
+            types = [t, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), types, strict=True)], ["doc_id", "n_bytes", *(x.split()[0] for x in columns.split(", "))])
+
+        for b in batches:
+            kind = b.schema.field("doc_id").type
+            for r in b.to_pylist():
+                if r["error"] is not None:
+                    raise ValueError(r["error"])
+                if r["page"] == 0:
+                    if open_:
+                        close()
+                    open_ = [r["doc_id"], r["n_bytes"], (r["media_bytes"], r["media_sha256"]), 0, hashlib.sha256(), b"", Feature()]
+                open_[3] += len(r["data"])
+                open_[4].update(r["data"])
+                open_[5] = (open_[5] + r["data"])[-32:]
+                open_[6].add(np.frombuffer(r["data"], np.uint8).reshape(r["height"], -1))
+            if done:
+                yield batch(kind)
+                done = []
+        if open_:
+            close()
+            yield batch(kind)
+
+    return found.mapInArrow(run, f"doc_id {kinds[0]}, n_bytes {kinds[1]}, {columns}")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """Texts to files, and the files read back."""
-    return media_digest(to_media(docs)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("feature"))
+    return media_digest(pages(to_media(docs), ["n_bytes"])).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("feature"))

@@ -500,6 +500,51 @@ def test_tiff_pages_beside_damaged_ones_and_narrow_samples(spark):
         assert tiff._page(raw, {tiff.TAG[k]: v for k, v in fields.items()}, "<").samples.ravel().tolist() == expected
 
 
+def test_media_are_of_all_codecs_and_layouts_and_come_back_by_pages(spark, docs):
+    d = frame(spark, [" ".join(words(k, 20 + 60 * (k % 8))) for k in range(300)])
+    media = tiff.to_media(d)
+    rows = tiff.pages(media, ["n_bytes"])
+    found = rows.collect()
+    assert {r.compression for r in found} == {tiff.RAW, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS}
+    assert {r.predictor for r in found} == {1, 2}
+    assert max(r.page for r in found) > 0
+    headers = {m.media[:2] for m in media.collect()}
+    assert headers == {b"II", b"MM"}
+    layouts = {tiff.TAG["tiles"] in tiff._fields(m.media, struct.unpack_from({b"II": "<", b"MM": ">"}[bytes(m.media[:2])] + "I", m.media, 4)[0], {b"II": "<", b"MM": ">"}[bytes(m.media[:2])]) for m in media.collect()}
+    assert layouts == {True, False}
+    payloads = {}
+    for r in sorted(found, key=lambda r: (r.doc_id, r.page)):
+        payloads[r.doc_id] = payloads.get(r.doc_id, b"") + bytes(r.data)
+    assert payloads == {r.doc_id: tiff.padded(r.text.encode()) for r in d.collect()}
+
+
+def test_no_damage_of_any_tag_raises():
+    """Every field of every directory changed in type, count and value, and bytes changed at random: each gives pages or errors."""
+    r, payload = random.Random(7), tiff.padded(random.Random(2).randbytes(576 * 5))
+    for compression in (tiff.RAW, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS):
+        for tile in (None, (16, 32)):
+            media = tiff.encode(payload, page_rows=3, compression=compression, tile=tile)
+            (at,) = struct.unpack_from("<I", media, 4)
+            (n,) = struct.unpack_from("<H", media, at)
+            cases = []
+            for i in range(n):
+                for offset, kind, values in ((2, "H", (0, 2, 5, 11, 12, 99)), (4, "I", (0, 1, 2, 1 << 20, (1 << 32) - 1)), (8, "I", (0, 1, 3, 1 << 16, 1 << 31, (1 << 32) - 1))):
+                    for v in values:
+                        x = bytearray(media)
+                        struct.pack_into("<" + kind, x, at + 2 + 12 * i + offset, v)
+                        cases.append(bytes(x))
+            for _ in range(150):
+                x = bytearray(media)
+                for _ in range(r.randrange(1, 6)):
+                    x[r.randrange(4, len(x))] = r.randrange(256)
+                cases.append(bytes(x))
+            for x in cases:
+                try:
+                    assert all(isinstance(p, tiff.Page | ValueError) for p in tiff.directories(x))
+                except ValueError:
+                    pass
+
+
 # --- 9: SimHash -----------------------------------------------------------------------------------------------------
 
 
