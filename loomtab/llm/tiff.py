@@ -68,89 +68,97 @@ def unpack_bits(data: bytes, size: int) -> bytes:
 
 
 def pack_bits(data: bytes) -> bytes:
-    out, i = bytearray(), 0
-    while i < len(data):
-        run = 1
-        while run < 128 and i + run < len(data) and data[i + run] == data[i]:
-            run += 1
-        if run > 1:
-            out += bytes([257 - run, data[i]])
-            i += run
-            continue
-        j = i + 1
-        while j < len(data) and j - i < 128 and not (j + 1 < len(data) and data[j] == data[j + 1]):
-            j += 1
-        out += bytes([j - i - 1]) + data[i:j]
-        i = j
+    """Runs of three or more as runs, all else as literals."""
+    v = np.frombuffer(data, np.uint8)
+    edges = np.concatenate([[0], np.flatnonzero(v[1:] != v[:-1]) + 1, [len(v)]]) if len(v) else np.zeros(1, np.int64)
+    long_ = np.flatnonzero(np.diff(edges) >= 3)
+    out, last = bytearray(), 0
+
+    def literals(upto: int) -> None:
+        for i in range(last, upto, 128):
+            part = data[i : min(i + 128, upto)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for start, end in zip(edges[long_].tolist(), edges[long_ + 1].tolist(), strict=True):
+        literals(start)
+        for i in range(start, end, 128):
+            n = min(128, end - i)
+            out += bytes([257 - n if n > 1 else 0, data[i]])
+        last = end
+    literals(len(data))
     return bytes(out)
 
 
+#: Width of the j-th code after a clear code: 9 to 12 bits, grown one code early, as TIFF has it.
+LZW_LAST = 4093 - 258
+LZW_WIDTHS = np.array([9 + (k > 511) + (k > 1023) + (k > 2047) for k in range(258, 258 + LZW_LAST + 2)], np.int64)
+LZW_FROM = np.concatenate([[0], np.cumsum(LZW_WIDTHS)])
+FRESH = [bytes([i]) for i in range(256)] + [b"", b""]
+
+
 def unpack_lzw(data: bytes, size: int) -> bytes:
-    """Codes of 9 to 12 bits, high bit first; the width grows one code early, as TIFF has it."""
-    fresh = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, width, bits, held, out, last = list(fresh), 9, 0, 0, bytearray(), b""
-    for byte in data:
-        held, bits = held << 8 | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code, held = held >> bits, held & ((1 << bits) - 1)
-        if code == 256:
-            table, width, last = list(fresh), 9, b""
-            continue
-        if code == 257 or len(out) >= size:
+    """Codes of 9 to 12 bits, high bit first. Where each code after a clear code begins is known beforehand."""
+    wide = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.int64)
+    at, end, done, out = 0, len(data) * 8, 0, []
+    while at + 9 <= end and done < size:
+        n = int(np.searchsorted(LZW_FROM[1:], end - at, side="right"))  # codes that fit; a longer table is no code's
+        begins, widths = at + LZW_FROM[:n], LZW_WIDTHS[:n]
+        i = begins >> 3
+        codes = ((wide[i] << 24 | wide[i + 1] << 16 | wide[i + 2] << 8 | wide[i + 3]) >> (32 - (begins & 7) - widths)) & ((1 << widths) - 1)
+        stops = np.flatnonzero((codes == 256) | (codes == 257))
+        stop = int(stops[0]) if len(stops) else n
+        table, last = list(FRESH), b""
+        for code in codes[:stop].tolist():
+            if code < len(table):
+                entry = table[code]
+            elif last and code == len(table):
+                entry = last + last[:1]
+            else:
+                raise ValueError("LZW code out of range")
+            out.append(entry)
+            done += len(entry)
+            if done >= size:
+                return b"".join(out)
+            if last:
+                table.append(last + entry[:1])
+            last = entry
+        if stop == n or codes[stop] == 257:
             break
-        if code < len(table):
-            entry = table[code]
-        elif last and code == len(table):
-            entry = last + last[:1]
-        else:
-            raise ValueError("LZW code out of range")
-        out += entry
-        if last:
-            table.append(last + entry[:1])
-        last = entry
-        width = 12 if len(table) >= 2047 else 11 if len(table) >= 1023 else 10 if len(table) >= 511 else 9
-    return bytes(out)
+        at = int(begins[stop] + widths[stop])
+    return b"".join(out)
 
 
 def pack_lzw(data: bytes) -> bytes:
-    held = bits = 0
-    out = bytearray()
-
-    def put(code: int, width: int) -> None:
-        nonlocal held, bits
-        held, bits = held << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits)
-            held &= (1 << bits) - 1
-
-    codes: dict[bytes, int] = {}
-    width, following, word = 9, 258, b""
-    put(256, 9)
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if len(longer) == 1 or longer in codes:
+    out, breaks = [256], [0]  # a clear code starts a series of widths anew
+    codes: dict[int, int] = {}
+    following, word = 258, -1
+    for byte in data:
+        if word < 0:
+            word = byte
+            continue
+        key = word << 8 | byte
+        longer = codes.get(key)
+        if longer is not None:
             word = longer
             continue
-        put(codes[word] if len(word) > 1 else word[0], width)
-        codes[longer] = following
+        out.append(word)
+        codes[key] = following
         following += 1
+        word = byte
         if following > 4093:
-            put(256, width)
-            codes, width, following = {}, 9, 258
-        else:
-            width = 12 if following > 2047 else 11 if following > 1023 else 10 if following > 511 else 9
-        word = data[i : i + 1]
-    if word:
-        put(codes[word] if len(word) > 1 else word[0], width)
-        following += 1
-        width = 12 if following > 2047 else 11 if following > 1023 else 10 if following > 511 else 9
-    put(257, width)
-    if bits:
-        out.append(held << (8 - bits) & 255)
-    return bytes(out)
+            breaks.append(len(out))
+            out.append(256)
+            codes, following = {}, 258
+    if word >= 0:
+        out.append(word)
+    out.append(257)
+    v = np.array(out, np.int64)
+    since = np.arange(len(v)) - np.repeat(breaks, np.diff([*breaks, len(v)])) - 1
+    widths = LZW_WIDTHS[since]
+    widths[breaks[0]], widths[breaks[1:]] = 9, 12
+    bits = np.unpackbits(v.astype(">u2").view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) >= 16 - widths[:, None]]).tobytes()
 
 
 def _expand(data: bytes, compression: int, size: int) -> bytes:
@@ -275,11 +283,15 @@ def _one_page(image: np.ndarray, base: int, compression: int, predictor: int, or
     for y in range(0, height, h):
         for x in range(0, width, w):
             part = image[y : y + h, x : x + w]
-            if tile:
-                part = np.pad(part, ((0, h - part.shape[0]), (0, w - part.shape[1])))
+            if tile and part.shape != tile:
+                whole = np.zeros(tile, np.uint8)
+                whole[: part.shape[0], : part.shape[1]] = part
+                part = whole
             if predictor == 2:
-                part = np.diff(part, axis=1, prepend=np.uint8(0))
-            parts.append(compress(np.ascontiguousarray(part).tobytes(), compression))
+                steps = part.copy()
+                steps[:, 1:] -= part[:, :-1]
+                part = steps
+            parts.append(compress(part.tobytes(), compression))
     sizes = [len(p) for p in parts]
     body = b"".join(parts)
     body += b"\0" * (len(body) % 2)
@@ -341,7 +353,8 @@ class Feature:
 def chosen(payload: bytes) -> bytes:
     """The payload's file, of the codec, layout, page size, predictor and byte order that its hash says."""
     h = zlib.crc32(payload)
-    return encode(payload, WIDTH, PAGES_OF[h >> 3 & 3], CODECS[h & 7], 1 + (h >> 5 & 1), "<>"[h >> 6 & 1], TILES[h >> 7 & 3])
+    tile = TILES[h >> 7 & 3]
+    return encode(payload, WIDTH, max(PAGES_OF[h >> 3 & 3], tile[0] if tile else 1), CODECS[h & 7], 1 + (h >> 5 & 1), "<>"[h >> 6 & 1], tile)
 
 
 def to_media(docs: DataFrame) -> DataFrame:
