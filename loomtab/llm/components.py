@@ -5,23 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    """Each larger neighbour of ``u`` goes to the smallest vertex in reach of ``u``.
+    """Each larger neighbour of ``u`` goes to the smallest vertex in reach of ``u``; a written table.
 
     The smallest vertices are a table first: a join of two plain exchanges is one that adaptive execution splits at a hub.
     """
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "star")
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "links")
+    released(least)
+    return out
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    """Each smaller neighbour of ``u``, and ``u``, go to the smallest of them. Links lead from larger to smaller here."""
+    """Each smaller neighbour of ``u``, and ``u``, go to the smallest of them; a written table. Links lead from larger to smaller here."""
     least = written(links.groupBy("u").agg(F.min("v").alias("m")), "star")
-    return links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+    found = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+    out = written(found.where("u <> v").distinct(), "links")
+    released(least)
+    return out
 
 
 def _state(links: DataFrame) -> tuple:
@@ -37,7 +42,9 @@ def connected(links: DataFrame) -> DataFrame:
     links = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     state = _state(links)
     while state[0]:
-        links = written(_small_star(written(_large_star(links), "links")).where("u <> v").distinct(), "links")
+        large, old = _large_star(links), links
+        links = _small_star(large)
+        released(large, old)
         before, state = state, _state(links)
         if state == before:
             break
