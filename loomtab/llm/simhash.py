@@ -8,7 +8,11 @@ a start segment from which, for every length l, the first l segments differ in a
 For l = 1 that is no bit: the start segment is equal, and is the join key. The longer chains prune what the key brings
 together, before the full Hamming check.
 
-A key that more than ``crowd`` different fingerprints share (a large group of near copies) isn't paired. Its fingerprints are
+A key that more than ``crowd`` different fingerprints share is split by a second ring over the other bits: two of its linked
+fingerprints are equal in a segment of that too, so (segment, second segment) is the key, of 35 bits and more. With billions of fingerprints
+the first ring's keys of 21 bits are all shared by chance, the second's are not.
+
+A key of both rings that more than ``crowd`` share is a large group of near copies. It isn't paired, but
 resolved exactly without pairs: two fingerprints within two bits have a common point within one bit of both,
 so each gives the 65 points around it, and those that give the same point, 65 at most, are joined in a star. That way
 is for ``most = 2``; for other values there is no crowd and keys are paired.
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, small_batches, utf8, word_offsets, written
+from .common import LOWER, released, small_batches, utf8, word_offsets, written
 from .components import connected
 
 
@@ -83,13 +87,27 @@ def _chain(start: int, most: int, diff: Column) -> Column:
     return ok
 
 
+def _second_masks(taken: int, most: int) -> list[int]:
+    """The bits outside a segment in ``most + 1`` parts."""
+    bits = [b for b in range(64) if not taken >> b & 1]
+    edges = [len(bits) * i // (most + 1) for i in range(most + 2)]
+    return [sum(1 << b for b in bits[a:z]) for a, z in zip(edges, edges[1:], strict=False)]
+
+
+def _shared(keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key another row has, with ``n`` of the key; a written table."""
+    shared = written(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "segments")
+    out = written(keyed.join(shared, keys), "shared-segments")
+    released(shared)
+    return out
+
+
 def links(distinct: DataFrame, most: int = 2, crowd: int = 32) -> DataFrame:
     """``u, v``: links that join the fingerprints of ``distinct (fp)`` as all links would."""
     n = most + 1
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("start"), F.col("fp").bitwiseAND(_long(m)).alias("part")) for i, m in enumerate(_masks(most))]))
     keyed = distinct.select("fp", keys.alias("key")).select("fp", "key.start", "key.part")
-    shared = written(keyed.groupBy("start", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "segments")
-    keyed = written(keyed.join(shared, ["start", "part"]), "shared-segments")
+    keyed = _shared(keyed, ["start", "part"])
     few = keyed.where(F.col("n") <= crowd) if most == 2 else keyed
     a, b = few.select("start", "part", F.col("fp").alias("u")), few.select("start", "part", F.col("fp").alias("v"))
     diff = F.col("u").bitwiseXOR(F.col("v"))
@@ -99,7 +117,15 @@ def links(distinct: DataFrame, most: int = 2, crowd: int = 32) -> DataFrame:
     found = a.join(b, ["start", "part"]).where((F.col("u") > F.col("v")) & fits).select("u", "v")
     if most != 2:
         return found
-    crowded = keyed.where(F.col("n") > crowd).select("fp").distinct()
+    second = F.when(F.lit(False), F.array(F.struct(F.lit(0).alias("sub"), F.col("fp").alias("rest"))))
+    for i, m in enumerate(_masks(most)):
+        second = second.when(F.col("start") == i, F.array(*[F.struct(F.lit(j).alias("sub"), F.col("fp").bitwiseAND(_long(x)).alias("rest")) for j, x in enumerate(_second_masks(m, most))]))
+    keys = ["start", "part", "sub", "rest"]
+    inner = _shared(keyed.where(F.col("n") > crowd).select("fp", "start", "part", F.explode(second).alias("k")).select("fp", "start", "part", "k.*"), keys)
+    few = inner.where(F.col("n") <= crowd)
+    pairs = few.select(*keys, F.col("fp").alias("u")).join(few.select(*keys, F.col("fp").alias("v")), keys)
+    found = found.union(pairs.where((F.col("u") > F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= most)).select("u", "v"))
+    crowded = inner.where(F.col("n") > crowd).select("fp").distinct()
     points = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))))
     around = crowded.select("fp", F.explode(points).alias("point")).groupBy("point").agg(F.collect_set("fp").alias("near")).where(F.size("near") > 1)  # 65 at most
     return found.union(around.select(F.explode("near").alias("u"), F.array_min("near").alias("v")).where("u <> v"))
