@@ -300,7 +300,7 @@ query("recast", "SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name, CAS
 query("recast_reducers", "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS F, max(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS O FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1")(
     lambda d: lt.recast(lt.selectin(lt.cut(d.orders, "o_custkey", "o_orderstatus", "o_totalprice"), "o_orderstatus", ["F", "O"]), "o_custkey", "o_orderstatus", "o_totalprice", {"F": len, "O": max}).df.select("o_custkey", F.coalesce("F", F.lit(0)).alias("F"), "O")
 )
-query("pivot", "PIVOT (SELECT event_type, user_id, value FROM events) ON event_type USING round(sum(value), 4) GROUP BY user_id")(lambda d: lt.pivot(lt.cut(d.events, "user_id", "event_type", "value"), "user_id", "event_type", "value", F.round(F.sum("value"), 4)))
+query("pivot", "SELECT user_id, round(sum(value) FILTER (WHERE event_type = 'click'), 4) AS click, round(sum(value) FILTER (WHERE event_type = 'error'), 4) AS error, round(sum(value) FILTER (WHERE event_type = 'purchase'), 4) AS purchase, round(sum(value) FILTER (WHERE event_type = 'signup'), 4) AS signup, round(sum(value) FILTER (WHERE event_type = 'view'), 4) AS view FROM events GROUP BY user_id")(lambda d: lt.pivot(lt.cut(d.events, "user_id", "event_type", "value"), "user_id", "event_type", "value", F.round(F.sum("value"), 4)))
 query("transpose", "SELECT 'r_name' AS r_regionkey, max(r_name) FILTER (WHERE r_regionkey = 0) AS \"0\", max(r_name) FILTER (WHERE r_regionkey = 1) AS \"1\", max(r_name) FILTER (WHERE r_regionkey = 2) AS \"2\", max(r_name) FILTER (WHERE r_regionkey = 3) AS \"3\", max(r_name) FILTER (WHERE r_regionkey = 4) AS \"4\" FROM region")(lambda d: lt.transpose(d.region))
 query("flatten", "SELECT CAST(n_nationkey AS VARCHAR) AS value FROM nation UNION ALL SELECT n_name FROM nation UNION ALL SELECT CAST(n_regionkey AS VARCHAR) FROM nation")(lambda d: lt.flatten(d.nation))
 query("unflatten", "SELECT max(o_orderkey) FILTER (WHERE i % 3 = 0) AS f0, max(o_orderkey) FILTER (WHERE i % 3 = 1) AS f1, max(o_orderkey) FILTER (WHERE i % 3 = 2) AS f2 FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) GROUP BY i // 3")(lambda d: lt.unflatten(d.orders, "o_orderkey", 3))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime
 import decimal
+import functools
 from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
@@ -197,7 +198,21 @@ def from_rows(rows: Iterable[Sequence[Any]], header: Sequence[Any] | None = None
     return Table(df.withColumn(ORD, F.struct(F.col("__n"))).drop("__n"))
 
 
+#: Keywords of operators that sort, for tables in memory or in buffers: accepted, without effect on what Spark plans.
+SORTING = frozenset({"presorted", "buffersize", "tempdir", "cache"})
+
+
 def method(f: Callable) -> Callable:
     """Registers an operator as a method of ``Table``."""
     setattr(Table, f.__name__, f)
     return f
+
+
+def sorting(f: Callable) -> Callable:
+    """An operator that takes the keywords of ``SORTING`` too."""
+
+    @functools.wraps(f)
+    def run(*args: Any, **kwargs: Any) -> Any:
+        return f(*args, **{k: v for k, v in kwargs.items() if k not in SORTING})
+
+    return run

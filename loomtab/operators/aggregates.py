@@ -12,7 +12,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import ORD, Table, as_table, col, method, resolve, resolve_all
+from ..core import ORD, Table, as_table, col, method, resolve, resolve_all, sorting
 from ..errors import ArgumentError
 from ..functions.expressions import Opaque, Record, Symbol, _column, record_column
 from ..functions.types import python_name
@@ -95,6 +95,7 @@ def _definition(t: Table, f: Any, value: Any) -> tuple[Any, Any]:
 
 
 @method
+@sorting
 def aggregate(t: Table, key: Any, aggregation: Any = None, value: Any = None, field: str = "value", returns: str | None = None) -> Table:
     """Groups reduced by one aggregation, or by several ``{out: f | (source, f) | (sources, f)}``.
 
@@ -112,6 +113,7 @@ def aggregate(t: Table, key: Any, aggregation: Any = None, value: Any = None, fi
 
 
 @method
+@sorting
 def rowreduce(t: Table, key: Any, reducer: Callable[[Any, list[Record]], Sequence[Any]], schema: str) -> Table:
     """One row, as ``schema`` (DDL), that ``reducer(key, rows)`` gives for each group."""
     from .columns import rowgroupmap
@@ -120,6 +122,7 @@ def rowreduce(t: Table, key: Any, reducer: Callable[[Any, list[Record]], Sequenc
 
 
 @method
+@sorting
 def fold(t: Table, key: Any, f: Callable[[Any, Any], Any], value: Any = None, returns: str | None = None) -> Table:
     """``reduce(f, values)`` of each group in row order; fields ``key`` and ``value``."""
     t = as_table(t).ordered()
@@ -142,6 +145,7 @@ def fold(t: Table, key: Any, f: Callable[[Any, Any], Any], value: Any = None, re
 
 
 @method
+@sorting
 def groupcountdistinctvalues(t: Table, key: Any, value: str | int) -> Table:
     """Distinct values of each group; null is a value."""
     t = as_table(t)
@@ -151,6 +155,7 @@ def groupcountdistinctvalues(t: Table, key: Any, value: str | int) -> Table:
 
 
 @method
+@sorting
 def groupselectfirst(t: Table, key: Any) -> Table:
     """The first row of each group."""
     t = as_table(t)
@@ -158,6 +163,7 @@ def groupselectfirst(t: Table, key: Any) -> Table:
 
 
 @method
+@sorting
 def groupselectlast(t: Table, key: Any) -> Table:
     t = as_table(t)
     return first_rows(t, resolve_all(t, key), last=True)
@@ -176,18 +182,21 @@ def _extreme(t: Any, key: Any, value: str | int, largest: bool) -> Table:
 
 
 @method
+@sorting
 def groupselectmin(t: Table, key: Any, value: str | int) -> Table:
     """The row with the smallest value of each group; null is the smallest, of ties the first row."""
     return _extreme(t, key, value, False)
 
 
 @method
+@sorting
 def groupselectmax(t: Table, key: Any, value: str | int) -> Table:
     """The row with the largest value of each group; of ties the first row."""
     return _extreme(t, key, value, True)
 
 
 @method
+@sorting
 def mergeduplicates(t: Table, key: Any, missing: Any = None, conflicts: str = "columns") -> Table:
     """One row for each key: of each field the one value that isn't missing.
 
@@ -207,6 +216,7 @@ def mergeduplicates(t: Table, key: Any, missing: Any = None, conflicts: str = "c
 
 
 @method
+@sorting
 def merge(*tables: Table, key: Any, missing: Any = None, conflicts: str = "columns") -> Table:
     """Tables of any headers united, then one row for each key."""
     from .setops import cat

@@ -9,10 +9,10 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import ORD, Table, as_table, col, from_rows, method, resolve, resolve_all, unique_names
+from ..core import ORD, Table, as_table, col, from_rows, method, resolve, resolve_all, unique_names, sorting
 from ..errors import ArgumentError
 from ..functions.expressions import Record, SymbolicRecord, record_column, traced, value_column
-from ..plans.numbering import numbered
+from ..plans.numbering import numbered, with_neighbours
 from ..plans.shipping import ship
 
 
@@ -108,11 +108,11 @@ def addfieldusingcontext(t: Table, field: str, query: Callable[[Any, Any, Any],
     t = as_table(t).ordered()
     names, keys = t.columns, resolve_all(t, by) if by is not None else []
     if not recurrent:
-        w = Window.partitionBy(*map(col, keys)).orderBy(ORD)
+        frame, w = (t.frame.withColumn("__own", F.lit(True)), Window.partitionBy(*map(col, keys)).orderBy(ORD)) if keys else with_neighbours(t)
         near = [SymbolicRecord(t, lambda n: F.lag(col(n)).over(w)), SymbolicRecord(t), SymbolicRecord(t, lambda n: F.lead(col(n)).over(w))]
         found = traced(query, *near)
         if found is not None:
-            return t.keep(*map(col, names), found.alias(field))
+            return Table(frame.withColumn("__found", found).where("__own").select(*map(col, names), F.col("__found").alias(field), ORD))
         raise ArgumentError("the query is not an expression of fields; pass recurrent=True")
     ship(t.frame.sparkSession)
     schema = T.StructType([*t.df.schema.fields, T.StructField(field, T._parse_datatype_string(returns)), t.frame.schema[ORD]])
@@ -274,6 +274,7 @@ def rowmap(t: Table, mapper: Callable[[Record], Sequence[Any]], schema: str, fai
 
 
 @method
+@sorting
 def rowgroupmap(t: Table, key: Any, mapper: Callable[[Any, list[Record]], Iterator[Any]], schema: str) -> Table:
     """Rows that ``mapper(key, rows)`` gives for each group, its rows in order."""
     t = as_table(t).ordered()

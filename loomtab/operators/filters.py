@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..core import ORD, Table, as_table, col, method, resolve, resolve_all
 from ..errors import ArgumentError
 from ..functions.expressions import SymbolicRecord, record_column, traced, truthy, value_column
+from ..plans.numbering import with_neighbours
 
 #: Comparisons under which null is the lowest value.
 OPS: dict[str, Callable[[Column, Any], Column]] = {
@@ -147,14 +148,14 @@ def rowlenselect(t: Table, n: int, complement: bool = False) -> Table:
 
 @method
 def selectusingcontext(t: Table, query: Callable[[Any, Any, Any], Any], by: Any = None) -> Table:
-    """Rows for which ``query(previous, current, next)`` is true, within groups of ``by`` where given."""
+    """Rows for which ``query(previous, current, next)`` is true, within groups of ``by`` where given; all rows are in blocks otherwise."""
     t = as_table(t).ordered()
-    w = Window.partitionBy(*map(col, resolve_all(t, by) if by is not None else [])).orderBy(ORD)
+    frame, w = (t.frame.withColumn("__own", F.lit(True)), Window.partitionBy(*map(col, resolve_all(t, by))).orderBy(ORD)) if by is not None else with_neighbours(t)
     near = [SymbolicRecord(t, lambda n: F.lag(col(n)).over(w)), SymbolicRecord(t), SymbolicRecord(t, lambda n: F.lead(col(n)).over(w))]
     test = traced(query, *near)
     if test is None:
         raise ArgumentError("the query is not an expression of fields")
-    return Table(t.frame.withColumn("__keep", test).where("__keep").drop("__keep"))
+    return Table(frame.withColumn("__keep", test).where("__keep AND __own").select(*map(col, t.columns), ORD))
 
 
 @method

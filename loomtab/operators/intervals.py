@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..core import ORD, Table, as_table, col, method, resolve, resolve_all, unique_names
 from ..errors import DuplicateKeyError
+from ..plans.numbering import BLOCK, numbered
 from .joins import _sided
 
 BINS_A_ROW = 64
@@ -117,6 +118,8 @@ def collapsedintervals(t: Table, start: str = "start", stop: str = "stop", key:
     """Overlapping and touching intervals merged, within each key."""
     t = as_table(t)
     keys, s, e = resolve_all(t, key) if key is not None else [], resolve(t, start), resolve(t, stop)
+    if not keys:
+        return _collapsed(t, s, e)
     w = Window.partitionBy(*map(col, keys)).orderBy(col(s), col(e))
     before = F.max(col(e)).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = t.df.withColumn("__new", F.when(before.isNull() | (col(s) > before), 1).otherwise(0)).withColumn("__group", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -124,6 +127,20 @@ def collapsedintervals(t: Table, start: str = "start", stop: str = "stop", key:
     return Table(out, order=[*keys, s])
 
 
+def _collapsed(t: Table, s: str, e: str) -> Table:
+    """The same over a whole table: within blocks in order of start, with the last stop and the last group of the blocks before."""
+    df = numbered(Table(t.df, order=[s, e]), "__row").frame.withColumn("__block", F.floor(F.col("__row") / BLOCK))
+    here, blocks = Window.partitionBy("__block").orderBy("__row"), Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    stops = df.groupBy("__block").agg(F.max(col(e)).alias("__stop"))
+    carried = stops.select("__block", F.max("__stop").over(blocks).alias("__stop"))
+    before = F.greatest(F.max(col(e)).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.col("__stop"))
+    marked = df.join(carried, "__block").withColumn("__first", F.when(before.isNull() | (col(s) > before), F.col("__row")))
+    firsts = marked.groupBy("__block").agg(F.max("__first").alias("__last")).select("__block", F.max("__last").over(blocks).alias("__last"))
+    group = F.coalesce(F.max("__first").over(here.rowsBetween(Window.unboundedPreceding, 0)), F.col("__last"))
+    out = marked.join(firsts, "__block").withColumn("__group", group).groupBy("__group").agg(F.min(col(s)).alias(s), F.max(col(e)).alias(e)).drop("__group")
+    return Table(out, order=[s])
+
+
 @method
 def intervalsubtract(left: Table, right: Table, lstart: str = "start", lstop: str = "stop", rstart: str = "start", rstop: str = "stop", lkey: Any = None, rkey: Any = None, include_stop: bool = False) -> Table:
     """What is left of each left interval outside all right ones, a row per remainder."""

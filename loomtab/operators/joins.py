@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import ORD, Table, as_table, col, method, resolve_all, unique_names
+from ..core import ORD, Table, as_table, col, method, resolve_all, unique_names, sorting
 from ..errors import ArgumentError
 from ..plans.numbering import numbered
 
@@ -66,22 +66,26 @@ def shape_join(left: Any, right: Any, how: str, key: Any = None, lkey: Any = Non
 
 
 @method
+@sorting
 def join(left: Table, right: Table, key: Any = None, lkey: Any = None, rkey: Any = None, lprefix: str | None = None, rprefix: str | None = None) -> Table:
     """Inner join."""
     return shape_join(left, right, "inner", key, lkey, rkey, None, lprefix, rprefix)
 
 
 @method
+@sorting
 def leftjoin(left: Table, right: Table, key: Any = None, lkey: Any = None, rkey: Any = None, missing: Any = None, lprefix: str | None = None, rprefix: str | None = None) -> Table:
     return shape_join(left, right, "left", key, lkey, rkey, missing, lprefix, rprefix)
 
 
 @method
+@sorting
 def rightjoin(left: Table, right: Table, key: Any = None, lkey: Any = None, rkey: Any = None, missing: Any = None, lprefix: str | None = None, rprefix: str | None = None) -> Table:
     return shape_join(left, right, "right", key, lkey, rkey, missing, lprefix, rprefix)
 
 
 @method
+@sorting
 def outerjoin(left: Table, right: Table, key: Any = None, lkey: Any = None, rkey: Any = None, missing: Any = None, lprefix: str | None = None, rprefix: str | None = None) -> Table:
     return shape_join(left, right, "full", key, lkey, rkey, missing, lprefix, rprefix)
 
@@ -112,6 +116,7 @@ def _anti(left: Any, right: Any, key: Any, lkey: Any, rkey: Any, hint: str | Non
 
 
 @method
+@sorting
 def antijoin(left: Table, right: Table, key: Any = None, lkey: Any = None, rkey: Any = None) -> Table:
     """Left rows without a match."""
     return _anti(left, right, key, lkey, rkey, None)
@@ -131,6 +136,7 @@ def first_rows(t: Table, keys: list[str], last: bool = False) -> Table:
 
 
 @method
+@sorting
 def lookupjoin(left: Table, right: Table, key: Any = None, lkey: Any = None, rkey: Any = None, missing: Any = None, lprefix: str | None = None, rprefix: str | None = None) -> Table:
     """Left join to the first right row of each key."""
     left, right = as_table(left), as_table(right)
@@ -158,6 +164,7 @@ def crossjoin(*tables: Table, prefix: bool = False) -> Table:
 
 
 @method
+@sorting
 def unjoin(t: Table, value: str | int, key: Any = None, autoincrement: tuple[int, int] = (1, 1)) -> tuple[Table, Table]:
     """A table as facts and a dimension: by a key that is there, or by ids given to the sorted distinct values."""
     t = as_table(t)

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import ORD, Table, as_table, col, method, resolve, resolve_all, unique_names
+from ..core import ORD, Table, as_table, col, method, resolve, resolve_all, unique_names, sorting
 from ..plans.numbering import numbered
 from .aggregates import aggregate_column
 
@@ -41,6 +41,7 @@ def _names(df, column: str) -> list[Any]:
 
 
 @method
+@sorting
 def recast(t: Table, key: Any = None, variablefield: str = "variable", valuefield: str = "value", reducers: dict[str, Any] | None = None, missing: Any = None) -> Table:
     """Long to wide; variables are found over all rows; several values of a cell become an array or are reduced."""
     t = as_table(t).ordered()
@@ -62,6 +63,7 @@ def recast(t: Table, key: Any = None, variablefield: str = "variable", valuefiel
 
 
 @method
+@sorting
 def pivot(t: Table, f1: str | int, f2: str | int, f3: str | int, aggfun: Any, missing: Any = None) -> Table:
     """A crosstab: rows by ``f1``, columns by sorted values of ``f2``, cells the aggregation of ``f3``."""
     t = as_table(t)

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from ..core import ORD, Table, as_table, col, method, resolve, resolve_all
+from ..core import ORD, Table, as_table, col, method, resolve, resolve_all, sorting
 from .joins import first_rows
 
 
@@ -55,6 +55,7 @@ def _matched(a: Table, b: Table, strict: bool, keep: bool) -> Table:
 
 
 @method
+@sorting
 def complement(a: Table, b: Table, strict: bool = False) -> Table:
     """Rows of ``a`` less those of ``b``, as multisets; ``strict`` removes every copy."""
     a, b = as_table(a), as_table(b)
@@ -64,6 +65,7 @@ def complement(a: Table, b: Table, strict: bool = False) -> Table:
 
 
 @method
+@sorting
 def recordcomplement(a: Table, b: Table, strict: bool = False) -> Table:
     """As ``complement``, fields paired by name."""
     from .columns import cut
@@ -73,17 +75,20 @@ def recordcomplement(a: Table, b: Table, strict: bool = False) -> Table:
 
 
 @method
+@sorting
 def diff(a: Table, b: Table, strict: bool = False) -> tuple[Table, Table]:
     """Rows added and rows removed."""
     return complement(b, a, strict), complement(a, b, strict)
 
 
 @method
+@sorting
 def recorddiff(a: Table, b: Table, strict: bool = False) -> tuple[Table, Table]:
     return recordcomplement(b, a, strict), recordcomplement(a, b, strict)
 
 
 @method
+@sorting
 def intersection(a: Table, b: Table) -> Table:
     """Rows in both, as often as in the one that has fewer."""
     a, b = as_table(a), as_table(b)
@@ -110,18 +115,21 @@ def _by_count(t: Any, key: Any, test: str) -> Table:
 
 
 @method
+@sorting
 def duplicates(t: Table, key: Any = None) -> Table:
     """Rows whose key comes more than once."""
     return _by_count(t, key, "__n > 1")
 
 
 @method
+@sorting
 def unique(t: Table, key: Any = None) -> Table:
     """Rows whose key comes once."""
     return _by_count(t, key, "__n = 1")
 
 
 @method
+@sorting
 def distinct(t: Table, key: Any = None, count: str | None = None) -> Table:
     """The first row of each key, or of equal rows; ``count`` names a field for how many there are."""
     t = as_table(t)
@@ -139,6 +147,7 @@ def distinct(t: Table, key: Any = None, count: str | None = None) -> Table:
 
 
 @method
+@sorting
 def conflicts(t: Table, key: Any, missing: Any = None, include: Any = None, exclude: Any = None) -> Table:
     """Rows of one key that differ from their neighbour in a field that both have.
 

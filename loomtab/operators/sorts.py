@@ -7,11 +7,12 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import ORD, Table, as_table, col, method, resolve_all
+from ..core import ORD, Table, as_table, col, method, resolve_all, sorting
 from ..plans.numbering import numbered
 
 
 @method
+@sorting
 def sort(t: Table, key: Any = None, reverse: bool = False) -> Table:
     """Rows by key, null first (last with ``reverse``); rows of equal keys keep their order."""
     t = as_table(t)
@@ -25,6 +26,7 @@ def sort(t: Table, key: Any = None, reverse: bool = False) -> Table:
 
 
 @method
+@sorting
 def mergesort(*tables: Table, key: Any = None, reverse: bool = False) -> Table:
     """Tables of any headers united and sorted."""
     from .setops import cat

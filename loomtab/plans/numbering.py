@@ -26,3 +26,15 @@ def numbered(t: Table, field: str) -> Table:
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     out = placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")  # a row per partition
     return Table(out.withColumn(field, within + F.col("__before")).drop("__part", "__before", "__at"))
+
+
+#: Rows of a block for windows over a whole table.
+BLOCK = 100_000
+
+
+def with_neighbours(t: Table):
+    """The rows in blocks by order, each with the rows before and after it: a frame with ``__own`` for the block's own rows, and a window."""
+    n = numbered(t, "__row").frame
+    block = lambda k: F.floor((F.col("__row") + k) / BLOCK)
+    blocks = F.explode(F.array_distinct(F.array(block(0), block(-1), block(1))))
+    return n.withColumn("__block", blocks).withColumn("__own", F.col("__block") == block(0)), Window.partitionBy("__block").orderBy("__row")

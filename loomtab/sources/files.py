@@ -42,17 +42,18 @@ def _in_order(t: Table) -> Iterator[Any]:
 # --- delimited text -------------------------------------------------------------------------------------------------
 
 
-def fromcsv(source: Any = None, encoding: str | None = None, errors: str = "strict", header: Sequence[str] | None = None, delimiter: str = ",", quotechar: str = '"', ragged: bool = False, **csvargs: Any) -> Table:
+def fromcsv(source: Any = None, encoding: str | None = None, errors: str = "strict", header: Sequence[str] | None = None, delimiter: str = ",", quotechar: str = '"', ragged: bool = False, multiline: bool = True, **csvargs: Any) -> Table:
     """Delimited text; all values are text, empty ones are ``''``.
 
     ``header`` names the fields of a file without a header row. ``ragged=True`` keeps the extra values of long rows as fields
     (the width is found over all rows) and leaves absent values of short rows null; otherwise long rows are trimmed and absent values are ``''``.
+    ``multiline=False`` says that no value holds a line break: then large files are split between tasks.
     """
     if is_stream(source) or source is None or ragged:
         text = read_bytes(source).decode(encoding or "utf-8", errors)
         rows = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, quotechar=quotechar, **csvargs)
         return from_rows(rows, header)
-    reader = session().read.option("sep", delimiter).option("quote", quotechar).option("escape", quotechar).option("multiLine", True).option("inferSchema", False).option("encoding", encoding or "UTF-8").option("mode", "PERMISSIVE")
+    reader = session().read.option("sep", delimiter).option("quote", quotechar).option("escape", quotechar).option("multiLine", multiline).option("inferSchema", False).option("encoding", encoding or "UTF-8").option("mode", "PERMISSIVE")
     if header is not None:
         return Table(reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in unique_names(header)])).csv(source).na.fill(""))
     df = reader.option("header", True).csv(source)

@@ -330,3 +330,45 @@ def test_results_that_do_not_fit_returns_are_errors_of_the_callable():
     t = [("n",), (1,), (2,), (3,)]
     opaque = lambda r: {1: 4.0, 2: 3.7, 3: "x"}[int(r["n"])]
     same(lt.addfield(t, "m", opaque, returns="bigint"), [("n", "m"), (1, 4), (2, None), (3, None)])
+
+
+def test_sort_keywords_are_accepted():
+    t, u = [("a", "b"), (2, "x"), (1, "y"), (1, "y")], [("a", "c"), (1, 3)]
+    extra = {"presorted": False, "buffersize": 10, "tempdir": "/tmp", "cache": True}
+    same(lt.join(t, u, key="a", **extra), [("a", "b", "c"), (1, "y", 3), (1, "y", 3)])
+    same(lt.sort(t, "a", **extra), [("a", "b"), (1, "y"), (1, "y"), (2, "x")], ordered=True)
+    same(lt.distinct(t, **extra), [("a", "b"), (1, "y"), (2, "x")])
+    same(lt.wrap(t).aggregate("a", len, presorted=True), [("a", "value"), (1, 2), (2, 1)])
+    for f in (lt.leftjoin, lt.rightjoin, lt.outerjoin, lt.antijoin, lt.lookupjoin):
+        assert f(t, u, key="a", **extra).columns[0] == "a"
+    with pytest.raises(TypeError):
+        lt.join(t, u, key="a", nonsense=1)
+
+
+def test_whole_table_windows_run_in_blocks(monkeypatch):
+    """No window without a partition, and the same results whatever the blocks are."""
+    import random
+
+    from loomtab.operators import intervals
+    from loomtab.plans import numbering
+
+    r = random.Random(1)
+    ranges = sorted((s := r.randrange(500), s + r.randrange(6)) for _ in range(150))
+    merged = []
+    for s, e in ranges:
+        if merged and s <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([s, e])
+    values = [r.randrange(9) for _ in range(60)]
+    for block in (1, 7, 100_000):
+        monkeypatch.setattr(numbering, "BLOCK", block)
+        monkeypatch.setattr(intervals, "BLOCK", block)
+        same(lt.collapsedintervals([("start", "stop"), *ranges]), [("start", "stop"), *map(tuple, merged)], ordered=True)
+        t = lt.wrap([("i", "v"), *enumerate(values)])
+        same(lt.selectusingcontext(t, lambda p, c, n: c.v > p.v), [("i", "v"), *((i, v) for i, v in enumerate(values) if i and v > values[i - 1])], ordered=True)
+        added = lt.addfieldusingcontext(t, "d", lambda p, c, n: n.v - c.v)
+        same(added, [("i", "v", "d"), *((i, v, values[i + 1] - v if i + 1 < 60 else None) for i, v in enumerate(values))], ordered=True)
+    plan = lt.collapsedintervals([("start", "stop"), *ranges]).df._jdf.queryExecution().executedPlan().toString()
+    assert "Window [" in plan
+    assert "__row" in plan
