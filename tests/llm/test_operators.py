@@ -597,7 +597,8 @@ def edited(r, base, n, tag):
 def test_similar_matches_brute_force(spark, monkeypatch, few):
     """Groups about the similarity, a hub of copies that differ from one another, a passage of many texts, and edges."""
     monkeypatch.setattr(similar, "FEW", few)
-    monkeypatch.setattr(similar, "CENTRES", 4 if few == 2 else 32)
+    monkeypatch.setattr(similar, "FIRST", 2 if few == 2 else 16)
+    monkeypatch.setattr(similar, "MEMBERS", 5 if few == 2 else 4096)
     r, cases = random.Random(11), [None, "", "  ", "one", "One", "two words", "a b c d e", "A b c d  e"]
     for k in range(8):
         base = words(4000 + k, r.choice([12, 40, 100, 300]))
