@@ -67,7 +67,7 @@ def invert_demand(pieces: Column, share: Column) -> Column:
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: int = 2, schedules: Sequence[Knots] = DEFAULT_SCHEDULES, clip: bool = True) -> DataFrame:
-    """One row per document: ``doc`` (its columns), ``size, source_size, target, copies``.
+    """One row per document: ``doc`` (its columns), ``doc_id, size, source_size, target, copies``.
 
     ``copies``: array of (epoch, taken, position) of the copies that the mix takes, positions from 0 to 1.
     ``clip``: the copy at a target's edge gives only the words up to there; otherwise it is taken whole if its middle is
@@ -77,7 +77,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     n = docs.count()
     digits = max(1, math.ceil(math.log(max(n / max(200, math.isqrt(n)), 1), 16)))
     source = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
-    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), source.alias("src"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))).cast("binary")).alias("at")).withColumn("bucket", F.substring("at", 1, digits))
+    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("tie"), source.alias("src"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))).cast("binary")).alias("at")).withColumn("bucket", F.substring("at", 1, digits))
     totals = written(base.groupBy("src", "bucket").agg(F.sum("size").alias("total")), "mix-totals")
     found = sorted((r.none, r.name, r.size) for r in totals.groupBy("src").agg(F.sum("total").alias("size")).select("src.none", "src.name", "size").collect())
     each = [float(weights[i % len(weights)]) for i in range(len(found))]
@@ -88,7 +88,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     )
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("src", "bucket", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset")).join(plan, "src")
-    inside = Window.partitionBy("src", "bucket").orderBy("at", F.xxhash64("doc")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("src", "bucket").orderBy("at", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = base.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["src", "bucket"])
     start, size, quota = F.col("start") + F.col("offset"), F.col("size"), F.floor(F.col("target") + 0.5)
 
@@ -99,7 +99,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
         return F.struct(epoch.cast("int").alias("epoch"), F.when(position.isNotNull(), edge).otherwise(0).cast("long").alias("taken"), position.alias("position"))
 
     copies = F.filter(F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), copy), lambda x: x["taken"] > 0)
-    return placed.select("doc", "size", "source_size", "target", copies.alias("copies"))
+    return placed.select("doc", "doc.doc_id", "size", "source_size", "target", copies.alias("copies"))
 
 
 def training_order(mixed: DataFrame, partitions: int) -> DataFrame:
@@ -111,7 +111,7 @@ def training_order(mixed: DataFrame, partitions: int) -> DataFrame:
 def digest(mixed: DataFrame, partitions: int) -> DataFrame:
     """Per document what the mix takes and when its first copy is due, range-sorted by that; documents that aren't taken come last."""
     sums = mixed.select(
-        "doc.doc_id", "size", "source_size", "target",
+        "doc_id", "size", "source_size", "target",
         F.aggregate("copies", F.lit(0).cast("long"), lambda s, x: s + x["taken"]).alias("taken"),
         F.size("copies").alias("n_copies"), F.round(F.try_element_at("copies", F.lit(1))["position"], 9).alias("first_position"),
     )
