@@ -6,8 +6,9 @@ can't hold the window. Rarity is the number of documents with the word, counted
 the benchmark. The prefix words are the join keys; a match gives an alignment, which has to lie within the document (the length and
 positional bounds), and is then compared word by word.
 
-The benchmark is taken in blocks of at most about ``block_words`` words: only such a block is broadcast, and documents are passed by one
-block after the other, whole, with the finds so far in their row. So nothing is shuffled and any size of benchmark is exact.
+The benchmark is taken in blocks of about ``block_words`` words: only such a block is broadcast. A pass over the texts for each block but the last
+writes what it finds, once for equal texts, by a 128-bit hash of the text: texts without finds leave nothing. The last block's pass joins these
+and gives the rows. So no text is ever written, a benchmark of one block shuffles nothing, and any size is exact.
 One item has to fit into memory, as one document has.
 
 Results: null text has no words; items without words match nothing; equal windows of several items count for each;
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -81,47 +83,62 @@ def _find(words: list[bytes], index: dict[bytes, list[tuple[int, int]]], windows
 
 
 FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, spans array<long>, items array<string>"
+FINDS = "__k1 long, __k2 long, spans array<long>, items array<string>"
 
 
-def _pass(block, last: bool):
-    """Adds a block's finds to each row: hit runs as start and end words in turn, and items; the last pass sums them up."""
+def _runs(spans: list[int]) -> list[int]:
+    """Spans as start and end words in turn, in order and joined where they meet."""
+    out: list[int] = []
+    for s, e in sorted(zip(spans[::2], spans[1::2], strict=True)):
+        if out and s <= out[-1]:
+            out[-1] = max(out[-1], e)
+        else:
+            out += [s, e]
+    return out
+
+
+def _in_block(words: list[bytes], block) -> tuple[list[int], set[str]]:
+    """Runs of words hit by a block's windows, and the items of these."""
+    index, windows, items = block
+    found = _find(words, index, windows)
+    return _runs([x for s, k in found for x in (s, s + len(windows[k]))]), {i for _, k in found for i in items[k]}
+
+
+def _search(block):
+    """The texts that hold any of a block's windows, by key, and what they hold; a batch gives equal texts once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {}
+            for k1, k2, x in zip(b["__k1"].to_pylist(), b["__k2"].to_pylist(), utf8(b["text"]), strict=True):
+                if (k1, k2) not in found:
+                    found[k1, k2] = _in_block(words_of(x), block.value)
+            rows = [(*k, spans, sorted(items)) for k, (spans, items) in found.items() if spans]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["__k1", "__k2", "spans", "items"])
+
+    return run
+
+
+def _summed(block):
+    """Adds the last block's finds to those of the others, and sums them up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, windows, items = block.value
         for b in batches:
             spans, ids, counts = [], [], []
             for x, old_spans, old_ids in zip(utf8(b["text"]), b["spans"].to_pylist(), b["items"].to_pylist(), strict=True):
                 words = words_of(x)
-                found = _find(words, index, windows)
-                new = old_spans or []
-                for s, k in sorted(found):
-                    e = s + len(windows[k])
-                    if new and new[-2] <= s <= new[-1]:
-                        new[-1] = max(new[-1], e)
-                    else:
-                        new += [s, e]
-                spans.append(new)
-                ids.append(sorted({*(old_ids or []), *(i for _, k in found for i in items[k])}))
+                new, items = _in_block(words, block.value)
+                spans.append(_runs(old_spans + new) if old_spans else new)
+                ids.append(sorted(items.union(old_ids or [])))
                 counts.append(len(words))
-            both = [pa.array(spans, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))]
-            if not last:
-                yield pa.RecordBatch.from_arrays([b["doc"], b["text"], *both], ["doc", "text", "spans", "items"])
-                continue
-            sums = [pa.array(counts, pa.int64()), pa.array([_hits(x) for x in spans], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], pa.string())]
-            yield pa.RecordBatch.from_arrays([b["doc"], *sums, *both], ["doc", "n_words", "n_hit", "n_items", "items_sha256", "spans", "items"])
+            hits = [sum(x[1::2]) - sum(x[::2]) for x in spans]
+            sums = [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], pa.string())]
+            yield pa.RecordBatch.from_arrays([b["doc"], *sums, pa.array(spans, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))], ["doc", *[x.split()[0] for x in FOUND.split(", ")]])
 
     return run
 
 
-def _hits(spans: list[int]) -> int:
-    """Words within any of the spans, which may overlap between blocks."""
-    total = end = 0
-    for s, e in sorted(zip(spans[::2], spans[1::2], strict=True)):
-        total += max(0, e - max(s, end))
-        end = max(end, e)
-    return total
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 500_000) -> DataFrame:
     """``docs`` in ``doc`` (all columns), with ``n_words, n_hit, n_items, items_sha256, spans, items``.
 
@@ -131,7 +148,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     small_batches(spark)
     total = benchmark.agg(F.coalesce(F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))), F.lit(0))).first()[0]
     n_blocks = pieces(total, block_words)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["text"].alias("text"), F.lit(None).cast("array<long>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    key = {"__k1": F.xxhash64("text"), "__k2": F.xxhash64(F.lit(1), "text")}
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["text"].alias("text"))
+    earlier = []
     for k in range(n_blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).select(F.col("item_id").cast("string").alias("i"), "text")
         owners: dict[tuple[bytes, ...], set[str]] = {}
@@ -141,11 +160,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         windows = list(owners)
         rarity = document_counts(docs, {x for w in windows for x in w})
         block = spark.sparkContext.broadcast((prefix_index(windows, rarity or {b"": 0}), windows, [sorted(owners[w]) for w in windows]))
-        last = k + 1 == n_blocks
-        rows = rows.mapInArrow(_pass(block, last), StructType([rows.schema["doc"], *StructType.fromDDL(FOUND).fields]) if last else rows.schema)
-        if not last:
-            rows = written(rows, "decontaminate")  # a worker then holds one block at a time
-    return rows
+        if k + 1 < n_blocks:
+            once = docs.select("text").withColumns(key).mapInArrow(_search(block), FINDS).groupBy("__k1", "__k2").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
+            earlier.append(written(once, "decontaminate"))  # a worker then holds one block at a time
+    if earlier:
+        finds = reduce(DataFrame.union, earlier).groupBy("__k1", "__k2").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items")])  # a row per block
+        rows = rows.withColumns(key).join(finds, list(key), "left").drop(*key)
+    else:
+        rows = rows.withColumns({"spans": F.lit(None).cast("array<long>"), "items": F.lit(None).cast("array<string>")})
+    return rows.mapInArrow(_summed(block), StructType([rows.schema["doc"], *StructType.fromDDL(FOUND).fields]))
 
 
 def digest(found: DataFrame) -> DataFrame:
