@@ -6,7 +6,7 @@ modulo ``v``. So it is enough to hash short windows ("anchors") at cover positio
 ``window`` words shares an aligned anchor of ``window - v + 1`` words. With 20 words, ``v = 13`` and four residues,
 31 % of the positions are hashed.
 
-1. Documents are dealt into blocks by ``doc_id``. Each block sends the anchors it has, each once, to buckets by hash.
+1. Documents are dealt into blocks by ``doc_id`` and text, so rows that share an id are spread. Each block sends the anchors it has, each once, to buckets by hash.
 2. A bucket tells each block which of its anchors other blocks have too.
 3. Around these the block extends: each full window that holds a repeated anchor is a candidate, hashed to 96 bits.
    A block sends its earliest occurrence of each to buckets.
@@ -221,7 +221,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, block_bytes: int
     n_rows, size = extent(docs, "text")
     n_blocks = pieces(size, block_bytes, min(max(n_rows, 1), 24))
     n_buckets = n_blocks
-    docs = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block"))
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"))
     by_block = docs.groupBy("block")
     shared = by_block.applyInArrow(_send_anchors(window, n_buckets), "bucket int, block int, h binary").groupBy("bucket").applyInArrow(_shared_anchors, "block int, h binary")
     late = by_block.cogroup(shared.groupBy("block")).applyInArrow(_send_windows(window, n_buckets), "bucket int, block int, w binary, gone binary").groupBy("bucket").applyInArrow(_late_windows, "block int, gone binary")
