@@ -2,8 +2,9 @@
 
 Learning. Over a bounded sample of labelled documents (``sample`` of them, those with the smallest hash of ``doc_id``), each
 word gets the log-odds of its document frequencies in the two classes, with a Dirichlet prior in proportion to the word's
-frequency in both. Words whose likelihood ratio isn't significant for the size of the vocabulary score as any other word:
-a small negative drift, so that the expected score of clean text is negative.
+frequency in both, shrunk by ``r / (r + c)``: r is the word's likelihood ratio, c what is significant for the size of the vocabulary. So rare
+words count a little, and all of them count. Words that come to next to nothing score as unknown ones: a small negative drift, so that the expected
+score of clean text is negative.
 
 Scoring. A linear-time scan finds every maximal scoring segment of a document: the passages whose score no extension or cut raises.
 The maximum over clean text of n words follows an extreme-value law with rate ``lambda`` (the root of E[exp(lambda * s)] = 1 over clean
@@ -13,7 +14,7 @@ sample's labels gives the score. Every word of every text counts; there are no p
 
 Learning takes only labels with ``crc32(doc_id) mod 5`` other than 0. Inputs of a score are words alone.
 
-Results: null text has no words; texts without significant passages, empty ones included, share one low score; several labels of a
+Results: null text has no words; texts without any passage, empty ones included, are scored by their length alone, never above the location; several labels of a
 ``doc_id`` count as toxic if one is, and of rows that share one the smallest text is learnt from; null labels and null ``doc_id`` are not learnt from (a null ``doc_id`` counts as held out);
 without labels of both classes every score is 0.
 """
@@ -34,7 +35,7 @@ from pyspark.sql.types import StructType
 from .common import small_batches, utf8, written
 from .decontaminate import WORD_BYTES
 
-SAMPLE, PRIOR, DRIFT, LIMIT = 20_000, 1.0, 0.05, 12.0
+SAMPLE, PRIOR, DRIFT = 20_000, 1.0, 0.05
 
 
 class Model(NamedTuple):
@@ -94,12 +95,12 @@ def passages(words: list[bytes], model: Model) -> list[tuple[int, int, float]]:
 
 
 def features(words: list[bytes], model: Model) -> tuple[float, float, list[tuple[int, int, float]]]:
-    """Excess of the best passage over the extreme-value location, log of the number of significant passages, and those."""
+    """Excess of the best passage over the extreme-value location, on a scale that is linear at 0 and logarithmic far from it; log of the number of significant passages, and those."""
     found = passages(words, model)
-    location = model.location + math.log(len(words) + 1)
+    location = max(0.0, model.location + math.log(len(words) + 1))  # so no text without passages is above it
     significant = [p for p in found if model.rate * p[2] > location]
     best = max((p[2] for p in found), default=0.0)
-    return max(-LIMIT, min(LIMIT, model.rate * best - location)) if best else -LIMIT, math.log1p(len(significant)), significant
+    return math.asinh(model.rate * best - location), math.log1p(len(significant)), significant
 
 
 def _rate(steps: np.ndarray, probabilities: np.ndarray) -> float:
@@ -167,11 +168,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     ratio = 2 * (term(F.col("toxic"), F.lit(share)) + term(F.col("clean"), F.lit(1 - share)))
     vocabulary = counts.where("word IS NOT NULL").count()
-    known = counts.where(F.col("word").isNotNull() & (ratio > 2 * math.log(max(vocabulary, 2)) + 4)).select("word", odds.alias("s"), "n").collect()
-    words = {bytes(r.word): r.s for r in known if abs(r.s) > DRIFT}
+    known = counts.where(F.col("word").isNotNull()).select("word", (odds * ratio / (ratio + 2 * math.log(max(vocabulary, 2)) + 4)).alias("s"), "n").where(F.abs("s") > DRIFT).collect()
+    words = {bytes(r.word): r.s for r in known}
     if not any(s > 0 for s in words.values()):
         return empty
-    p = np.array([max(r.n, 0.5) / max(n, 1) for r in known if abs(r.s) > DRIFT])
+    p = np.array([max(r.n, 0.5) / max(n, 1) for r in known])
     steps = np.array([*words.values(), -DRIFT])
     p = np.append(p, max(1 - p.sum(), 1e-6))
     if float((steps * p).sum()) >= 0:  # the drift has to outweigh known words in clean text
