@@ -6,19 +6,22 @@ order. Texts of similarity ``s`` have an equal segment with a chance of about ``
 
 1. Buckets: texts with an equal key segment (the first twelve of the ring).
 2. Round by round, some texts of each bucket are compared with all its members of other components, and leave it: up to ``FIRST`` in
-   the first round, and up to ``FEW`` of those outside the largest component in the others. So a bucket gives a bounded number of pairs
-   per member, whatever its size. It ends when the members left are of one component. A bucket with up to ``FEW`` members outside
-   its largest component goes on until all are compared; what is left of another goes on in finer buckets, equal in one key segment
-   more: what is alike has been joined by centres, what isn't is parted by keys.
-3. Pigeonring: two texts within ``budget`` differing bits over all ``n`` segments have a start from which, for each length l, the
+   the first round, and up to ``FEW`` of those outside the largest component in the others. It goes on until the members left are of one
+   component, so no bucket is left before all its pairs are compared or joined.
+3. After the first round a bucket with more than ``FEW`` members outside its largest component is resolved another way, which loses no
+   pair of it: by the shingles of its members' prefixes, rarest first (prefix filter). Two texts of the similarity share a shingle of both
+   prefixes, so each such shingle is a bucket, and goes on by the rounds of 2 until all its pairs are compared or joined, whatever its size. Pairs
+   of these buckets are pruned by bounds that are exact.
+4. Pigeonring: two texts within ``budget`` differing bits over all ``n`` segments have a start from which, for each length l, the
    chain of l segments differs by ``l * budget / n`` bits at most. Pairs without such a start go. The budget is four
    deviations above what the similarity makes likely.
    In later rounds the 512 smallest shingle hashes of both are compared too.
-4. What is left is compared exactly, by the shingle sets of both texts. A centre's text goes to each chunk of its members, whose texts
+5. What is left is compared exactly, by the shingle sets of both texts. A centre's text goes to each chunk of its members, whose texts
    stream past it: a task holds two texts at a time.
 
 A link between texts of the similarity or more is missed where none of the twelve key segments is equal: two times in ten
-thousand at 0.8, and less above; and where in all buckets that both are in over ``FEW`` members stay apart, down to the finest. No pair is linked without the exact comparison.
+thousand at 0.8, and less above (of texts of under ten shingles, up to two in a thousand); and where a pair is beyond the four deviations of 4. No size of a
+bucket loses a link, and no pair is linked without the exact comparison.
 
 Results: texts of equal words are one; null text has no words; texts without words are alike; fewer words than a shingle are one shingle.
 """
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, released, small_batches, utf8, written
@@ -41,7 +44,8 @@ from .simhash import shingle_hashes
 
 SEGMENTS, KEYS, SMALLEST, CHUNK, FIRST, FEW, MEMBERS = 48, 12, 3, 256, 16, 1024, 4096
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, SEGMENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-FULL = (1 << KEYS) - 1
+#: The ``part`` of buckets by a prefix's shingle; those below are key segments.
+EXACT = KEYS
 CHAINS = (1, 2, 4, 8, 16)
 
 
@@ -96,12 +100,46 @@ def _sketched(shingle: int, carried: list[str]):
     return run
 
 
-def _keyed(members: DataFrame) -> DataFrame:
-    """``mask, key, vertex``: each of ``mask, key, vertex, ring`` for every key segment not in its mask; members of the finest buckets stay."""
-    part = lambda i: F.xxhash64(F.lit(i), F.substring("ring", 8 * i + 1, 8))
-    more = [F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) == 0, F.struct(F.col("mask").bitwiseOR(F.lit(1 << i)).alias("mask"), F.col("key").bitwiseXOR(part(i)).alias("key"))) for i in range(KEYS)]
-    finer = F.explode(F.when(F.col("mask") == FULL, F.array(F.struct("mask", "key"))).otherwise(F.filter(F.array(*more), lambda x: x.isNotNull())))
-    return members.select("vertex", finer.alias("k")).select("k.mask", "k.key", "vertex")
+def _keyed(rings: DataFrame) -> DataFrame:
+    """``part, key, vertex``: each of ``vertex, ring`` for every key segment."""
+    parts = [F.struct(F.lit(i).alias("part"), F.xxhash64(F.lit(i), F.substring("ring", 8 * i + 1, 8)).alias("key")) for i in range(KEYS)]
+    return rings.select("vertex", F.explode(F.array(*parts)).alias("k")).select("k.part", "k.key", "vertex")
+
+
+def _shingled(shingle: int):
+    """A row for each different shingle of each text, with their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, of, rows = [], [], 0
+            for i, x in enumerate(utf8(b["text"])):
+                found.append(np.unique(shingle_hashes(words_of(x), shingle)))
+                of.append(i)
+                rows += len(found[-1])
+                if rows >= 1 << 16 or i + 1 == len(b):
+                    sizes = np.array([len(y) for y in found], np.int32)
+                    names = b["vertex"].take(pa.array(np.repeat(of, sizes)))
+                    yield pa.RecordBatch.from_arrays([names, pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(found).view(np.int64))], ["vertex", "size", "key"])
+                    found, of, rows = [], [], 0
+
+    return run
+
+
+def _prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``part, key, vertex``: the shingles of each text's prefix that other texts have; a written table.
+
+    Shingles are in the order of how many of the ``texts`` have them, then of their hash. Texts of the similarity share ``similarity * size`` of either one's shingles
+    at least, so the first shared one is among the first ``size - ceil(similarity * size) + 1`` of both. Those that no other text has
+    come first, so they only shorten what is left of the prefix.
+    """
+    each = written(texts.mapInArrow(_shingled(shingle), "vertex string, size int, key long"), "similar-shingles")
+    shared = written(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "similar-shared")
+    own = Window.partitionBy("vertex")
+    ranked = each.join(shared, "key").withColumns({"rank": F.row_number().over(own.orderBy("n", "key")), "others": F.count(F.lit(1)).over(own)})
+    prefix = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1
+    out = written(ranked.where(F.col("size") - F.col("others") + F.col("rank") <= prefix).select(F.lit(EXACT).alias("part"), "key", "vertex"), "similar-prefixes")
+    released(each, shared)
+    return out
 
 
 def _pruned(most: float):
@@ -162,51 +200,59 @@ def similar(docs: DataFrame, keys: list[str], shingle: int, similarity: float) -
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keys)
     rows = written(docs.select("text", *keys).mapInArrow(_sketched(shingle, keys), "vertex string, ring binary" + kinds), "similar-rows")
     rings = written(rows.groupBy("vertex").agg(F.first("ring").alias("ring"), F.min(F.struct(*keys)).alias("row")), "similar-rings")
-    members = _keyed(rings.select("vertex", "ring", F.lit(0).alias("mask"), F.lit(0).cast("long").alias("key"))).withColumn("may", F.lit(True))
+    members = _keyed(rings).withColumn("may", F.lit(True))
     texts = tried = label = last = None
     while True:
-        shared = members.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        at = members.join(shared, ["mask", "key"]).join(rings.select("vertex", "ring"), "vertex")
-        at = at.withColumn("component", F.lit(None).cast("string")) if label is None else at.join(label, "vertex", "left")
-        at = written(at.withColumn("component", F.coalesce("component", "vertex")), "similar-members")
+        shared = members.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        at = members.join(shared, ["part", "key"]).join(rings.select("vertex", "ring"), "vertex")
+        at = written(_placed(at, label), "similar-members")
         if not at.limit(1).count():
             break
         if texts is None:  # of all that will ever be compared: later buckets are parts of these
             some = at.select("vertex").distinct().join(rings, "vertex").select("vertex", "row.*")
             texts = written(docs.select("text", *keys).join(some, keys).select("vertex", "text").dropDuplicates(["vertex"]), "similar-texts")
         slot = F.pmod(F.xxhash64("vertex"), F.lit(FIRST if label is None else FEW))
-        least = written(at.where("may").groupBy("mask", "key", slot.alias("slot")).agg(F.min(F.struct("vertex", "component", "ring")).alias("c")).select("mask", "key", "slot", "c.*"), "similar-centres")
+        least = written(at.where("may").groupBy("part", "key", slot.alias("slot")).agg(F.min(F.struct("vertex", "component", "ring")).alias("c")).select("part", "key", "slot", "c.*"), "similar-centres")
         near = (_beside(at, least, similarity) if label is None else _streamed(at, least, texts, shingle, similarity)).distinct()
         near = written(near if tried is None else near.join(tried, ["u", "v"], "left_anti"), "similar-tried")
         tried = near if tried is None else tried.union(near)
         label, old = _joined(label, _exact(near, texts, shingle, similarity)), label
-        left = at.join(least, ["mask", "key", "vertex"], "left_anti").select("mask", "key", "vertex", "ring")
-        open_ = written(_apart(left.join(label, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))), "similar-open")
+        left = at.join(least, ["part", "key", "vertex"], "left_anti").select("part", "key", "vertex")
+        open_ = written(_apart(_placed(left, label)), "similar-open")
         released(at, least, old, last)
-        last = open_
-        finer = _keyed(open_.where(F.col("apart") > FEW)).distinct().withColumn("may", F.lit(True))
-        members = open_.where(F.col("apart") <= FEW).select("mask", "key", "vertex", "may").union(finer).groupBy("mask", "key", "vertex").agg(F.max("may").alias("may"))
+        members, last = open_.select("part", "key", "vertex", "may"), open_
+        if old is None:  # members only leave and components only grow, so no bucket gets crowded later
+            crowded = written(open_.where(F.col("apart") > FEW).select("vertex").distinct(), "similar-crowded")
+            if crowded.limit(1).count():
+                prefixes = _prefixes(texts.join(crowded, "vertex", "left_semi"), shingle, similarity)
+                members = open_.where(F.col("apart") <= FEW).union(_apart(_placed(prefixes, label))).select("part", "key", "vertex", "may")
     if label is None:
         return rows.select("vertex", F.col("vertex").alias("label"), *keys)
     return rows.select("vertex", *keys).join(label, "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("label"), *keys)
 
 
+def _placed(members: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Members with their ``component``: themselves where they have no link."""
+    at = members.withColumn("component", F.lit(None).cast("string")) if label is None else members.join(label, "vertex", "left")
+    return at.withColumn("component", F.coalesce("component", "vertex"))
+
+
 def _beside(at: DataFrame, least: DataFrame, similarity: float) -> DataFrame:
     """Pairs of a bucket's few centres and its members that the pigeonring lets pass; a member's row has all of the centres' rings."""
-    few = least.groupBy("mask", "key").agg(F.collect_list(F.struct("vertex", "component", "ring")).alias("c"))  # FIRST at most
-    few = few.select("mask", "key", F.col("c.vertex").alias("names"), F.col("c.component").alias("components"), F.aggregate("c.ring", F.lit(b""), lambda a, x: F.concat(a, x)).alias("rings"))
-    beside = at.join(few, ["mask", "key"]).select("vertex", "component", "ring", "names", "components", "rings")
+    few = least.groupBy("part", "key").agg(F.collect_list(F.struct("vertex", "component", "ring")).alias("c"))  # FIRST at most
+    few = few.select("part", "key", F.col("c.vertex").alias("names"), F.col("c.component").alias("components"), F.aggregate("c.ring", F.lit(b""), lambda a, x: F.concat(a, x)).alias("rings"))
+    beside = at.join(few, ["part", "key"]).select("vertex", "component", "ring", "names", "components", "rings")
     return beside.mapInArrow(_pruned(budget(similarity)), "u string, v string")
 
 
 def _streamed(at: DataFrame, least: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The same for up to ``FEW`` centres: members, in chunks, stream past a task that holds the centres' rings and smallest shingles."""
     low = at.select("vertex").distinct().join(texts, "vertex").mapInArrow(_smallest(shingle), "vertex string, low binary, size int")
-    names = ["mask", "key", "chunk", "centre", "vertex", "component", "ring"]
-    sizes = at.groupBy("mask", "key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("chunks"))
-    members = at.join(sizes, ["mask", "key"]).withColumns({"chunk": F.pmod(F.xxhash64("vertex"), F.col("chunks")).cast("int"), "centre": F.lit(False)}).select(*names)
-    centres = least.join(sizes, ["mask", "key"]).withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "centre": F.lit(True)}).select(*names)
-    rows = centres.union(members).join(low, "vertex").repartition("mask", "key", "chunk").sortWithinPartitions("mask", "key", "chunk", F.desc("centre"))
+    names = ["part", "key", "chunk", "centre", "vertex", "component", "ring"]
+    sizes = at.groupBy("part", "key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("chunks"))
+    members = at.join(sizes, ["part", "key"]).withColumns({"chunk": F.pmod(F.xxhash64("vertex"), F.col("chunks")).cast("int"), "centre": F.lit(False)}).select(*names)
+    centres = least.join(sizes, ["part", "key"]).withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "centre": F.lit(True)}).select(*names)
+    rows = centres.union(members).join(low, "vertex").repartition("part", "key", "chunk").sortWithinPartitions("part", "key", "chunk", F.desc("centre"))
     return rows.select(*names, "low", "size").mapInArrow(_past(similarity), "u string, v string")
 
 
@@ -233,6 +279,31 @@ def _close(a: np.ndarray, b: np.ndarray, whole: bool, similarity: float) -> bool
     return np.searchsorted(shared, both[-1], side="right") >= (similarity - 4 * math.sqrt(similarity * (1 - similarity) / LOW)) * len(both)
 
 
+class _Index:
+    """Centres of a bucket by prefix shingles, by their smallest hashes."""
+
+    def __init__(self, lows: list[np.ndarray], sizes: list[int], similarity: float):
+        flat = np.concatenate(lows)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], np.repeat(np.arange(len(lows)), [len(x) for x in lows])[order]
+        self.sizes, self.ends, self.similarity = np.array(sizes), np.array([self.end(x, n) for x, n in zip(lows, sizes, strict=True)]), similarity
+
+    @staticmethod
+    def end(low: np.ndarray, size: int) -> np.uint64:
+        """Up to where the smallest hashes are all of the text's."""
+        return low[-1] if size > LOW else np.uint64(2**64 - 1)
+
+    def possible(self, low: np.ndarray, size: int) -> np.ndarray:
+        """Which centres can be of the similarity: no more is shared than among the smallest, and all the rest of the text whose smallest end first."""
+        a, b = np.searchsorted(self.flat, low), np.searchsorted(self.flat, low, side="right")
+        n = b - a
+        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(self.owner[at], minlength=len(self.sizes))
+        rest = np.where(self.ends <= self.end(low, size), self.sizes, size) - LOW
+        both = np.minimum(shared + np.maximum(rest, 0), np.minimum(self.sizes, size))
+        return both >= self.similarity * (self.sizes + size - both) - 1e-9
+
+
 def _past(similarity: float):
     most = budget(similarity)
 
@@ -242,8 +313,8 @@ def _past(similarity: float):
             found = []
             for r in b.to_pylist():
                 ring, low = np.frombuffer(r["ring"], "<u8"), np.frombuffer(r["low"], "<u8")
-                if (r["mask"], r["key"], r["chunk"]) != group:
-                    group, names, parts, rings, lows, sizes, ready = (r["mask"], r["key"], r["chunk"]), [], [], [], [], [], None
+                if (r["part"], r["key"], r["chunk"]) != group:
+                    group, names, parts, rings, lows, sizes, ready = (r["part"], r["key"], r["chunk"]), [], [], [], [], [], None
                 if r["centre"]:
                     names.append(r["vertex"])
                     parts.append(r["component"])
@@ -252,10 +323,13 @@ def _past(similarity: float):
                     sizes.append(r["size"])
                     continue
                 if ready is None and parts:
-                    ready = np.array(parts), np.array(rings)
+                    ready = np.array(parts), _Index(lows, sizes, similarity) if r["part"] == EXACT else np.array(rings)
                 other = np.flatnonzero(ready[0] != r["component"]) if parts else []
-                for i in other[on_the_ring(ready[1][other], ring[None], most)].tolist() if len(other) else []:
-                    if _close(lows[i], low, max(sizes[i], r["size"]) <= LOW, similarity):
+                if not len(other):
+                    continue
+                fits = ready[1].possible(low, r["size"])[other] if r["part"] == EXACT else on_the_ring(ready[1][other], ring[None], most)
+                for i in other[fits].tolist():
+                    if r["part"] == EXACT or _close(lows[i], low, max(sizes[i], r["size"]) <= LOW, similarity):
                         found.append((min(names[i], r["vertex"]), max(names[i], r["vertex"])))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], ["u", "v"])
 
@@ -264,9 +338,9 @@ def _past(similarity: float):
 
 def _apart(left: DataFrame) -> DataFrame:
     """Members of buckets of several components: how many are ``apart`` from the largest, and whether this one ``may`` be a centre."""
-    parts = left.groupBy("mask", "key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("mask", "key").agg((F.sum("n") - F.max("n")).alias("apart"), F.max(F.struct("n", "component")).alias("big"))
-    found = left.join(parts.where("apart > 0"), ["mask", "key"])
-    return found.select("mask", "key", "vertex", "ring", "component", "apart", (F.col("component") != F.col("big.component")).alias("may"))
+    parts = left.groupBy("part", "key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("part", "key").agg((F.sum("n") - F.max("n")).alias("apart"), F.max(F.struct("n", "component")).alias("big"))
+    found = left.join(parts.where("apart > 0"), ["part", "key"])
+    return found.select("part", "key", "vertex", "component", "apart", (F.col("component") != F.col("big.component")).alias("may"))
 
 
 def _joined(label: DataFrame | None, links: DataFrame) -> DataFrame:

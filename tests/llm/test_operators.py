@@ -612,6 +612,52 @@ def test_similar_matches_brute_force(spark, monkeypatch, few):
     assert got == sorted(set(first))
 
 
+def common_and_own(seed):
+    """A text of a passage and 16 words of its own, and one that has eight of those: 0.85 alike; texts of two seeds are 0.71."""
+    r = random.Random(seed)
+    a = [f"c{k}" for k in range(84)] + [f"w{r.randrange(10**6)}" for _ in range(16)]
+    return " ".join(a), " ".join(a[:-8] + [f"w{r.randrange(10**6)}" for _ in range(8)])
+
+
+def test_similar_links_pairs_whose_only_buckets_are_crowded(spark, monkeypatch):
+    """Pairs that share one or two key segments, in which tens of texts of no link are equal too."""
+    monkeypatch.setattr(similar, "FEW", 20)
+    monkeypatch.setattr(similar, "FIRST", 1)
+    others, pairs = [common_and_own(k)[0] for k in range(60)], [common_and_own(k) for k in (163, 185, 683, 1398, 3317, 5335, 9424)]
+    ring = lambda x: similar.sketch(np.unique(simhash.shingle_hashes(x.encode().split(), 5)))[: similar.KEYS]
+    rings = np.array([ring(x) for x in others])
+    for a, b in pairs:
+        same = ring(a) == ring(b)
+        assert 1 <= same.sum() <= 2
+        assert (rings[:, same] == ring(a)[same]).all(1).sum() > similar.FEW
+    cases = others + [x for p in pairs for x in p]
+    first = similar.brute_force(cases)
+    assert len(set(first)) == len(cases) - len(pairs)
+    assert sorted(x.doc_id for x in similar.first_rows(frame(spark, cases)).collect()) == sorted(set(first))
+
+
+def test_bounds_of_prefix_buckets_keep_what_is_similar():
+    """Sets of all sizes about the number of smallest hashes, in which nothing similar goes and what is unlike does."""
+    r, full = np.random.default_rng(13), np.iinfo(np.int64).max
+    sets = []
+    for n in [1, 2, 5, 9, 400, 511, 512, 513, 600, 640, 1500, 4000]:
+        base = r.integers(0, full, n, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([base[: n - k], r.integers(0, full, more, dtype=np.uint64)])) for k in {0, n // 20, n // 9, n // 5} for more in {0, n // 9, n // 4}]
+    sets = [x for x in sets if len(x)]
+    index = similar._Index([x[: similar.LOW] for x in sets], [len(x) for x in sets], 0.8)
+    alike = passed = 0
+    for x in sets:
+        fits = index.possible(x[: similar.LOW], len(x))
+        for y, fit in zip(sets, fits, strict=True):
+            both = len(np.intersect1d(x, y))
+            j = both / (len(x) + len(y) - both)
+            assert fit or j < 0.8
+            assert not fit or j >= 0.8 or max(len(x), len(y)) > similar.LOW
+            assert not fit or both
+            alike, passed = alike + (j >= 0.8), passed + fit
+    assert len(sets) < alike <= passed < len(sets) ** 2 / 4
+
+
 def test_ring_prunes_what_differs_and_keeps_what_is_similar():
     r, base = random.Random(12), words(4400, 200)
     ring = lambda x: similar.sketch(np.unique(simhash.shingle_hashes([w.encode() for w in x], 5)))
