@@ -9,7 +9,8 @@ Documents are range-sorted by ``doc_id`` into shards. A shard is two files in th
 A lookup hashes the key, walks at most a few levels, and checks the fingerprint: constant time, and a key that is not there
 is refused but for one in 2^32. A key is (doc_id, occurrence), so repeated ids have an entry each.
 
-A task writes under a name of its own and reports it; only reported names are in the manifest, a table in the shared
+A task encodes ``BATCH_CHARS`` characters at a time and appends their ids to the file, so its memory grows by the index alone, not by the shard's
+text. It writes under a name of its own and reports it; only reported names are in the manifest, a table in the shared
 folder, so retries and speculative copies leave files that nobody reads.
 
 Encoding takes the distinct chunks between ASCII white space of a batch of texts, and puts each through the library once. That is exact for
@@ -26,8 +27,9 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ from .common import extent, pieces, shared_dir, small_batches, written
 
 MAGIC = b"LTIX0001"
 MIX = np.uint64(0x9E3779B97F4A7C15)
-BATCH_CHARS = 16 << 20
+BATCH_CHARS = 4 << 20
 
 
 # --- minimal perfect hash -------------------------------------------------------------------------------------------
@@ -320,10 +322,11 @@ def encoder(path: str, end_id: int) -> Encoder:
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 
 
-def _put(uri: str, data: bytes) -> None:
+def _put(uri: str, parts: Iterable[bytes]) -> None:
     where, path = fs.FileSystem.from_uri(uri)
     with where.open_output_stream(path) as out:
-        out.write(data)
+        for x in parts:
+            out.write(x)
 
 
 def _read(uri: str) -> bytes:
@@ -332,32 +335,47 @@ def _read(uri: str) -> bytes:
         return f.read()
 
 
+def _groups(batches: Iterator[pa.RecordBatch], ids: list[int | None]) -> Iterator[list[str]]:
+    """The texts in runs of ``BATCH_CHARS`` characters or one text more; their ids go to ``ids``. A batch is decoded text by text."""
+    held, chars = [], 0
+    for b in batches:
+        ids += b["doc_id"].to_pylist()
+        for x in b["text"]:
+            held.append(x.as_py() or "")
+            chars += len(held[-1])
+            if chars > BATCH_CHARS:
+                yield held
+                held, chars = [], 0
+    if held:
+        yield held
+
+
 def _write_shard(folder: str, path: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, end_id)
-        ids, raw, held = [], [], []
-        for b in batches:
-            ids += b["doc_id"].to_pylist()
-            texts = [x or "" for x in b["text"].to_pylist()]
-            if sum(map(len, held)) > BATCH_CHARS:
-                raw += enc.batch(held)
-                held = []
-            held += texts
-        raw += enc.batch(held)
-        if not ids:
+        ids, counts = [], []
+
+        def encoded(texts: list[str]) -> bytes:
+            raw = enc.batch(texts)
+            counts.extend([len(x) // enc.width for x in raw])
+            return b"".join(raw)
+
+        parts = map(encoded, _groups(batches, ids))
+        first = next(parts, None)
+        if first is None:
             return
+        name = f"{folder}/shard-{uuid.uuid4().hex}"
+        _put(f"{name}.bin", chain([first], parts))
         records = np.zeros(len(ids), RECORD)
         records["doc_id"], records["null"], records["record"] = [d or 0 for d in ids], [d is None for d in ids], np.arange(len(ids))
         again = np.zeros(len(ids), bool)
         again[1:] = (records["doc_id"][1:] == records["doc_id"][:-1]) & (records["null"][1:] == records["null"][:-1])
         records["occurrence"] = np.arange(len(ids)) - np.maximum.accumulate(np.where(again, 0, np.arange(len(ids))))
-        records["count"] = [len(x) // enc.width for x in raw]
+        records["count"] = counts
         records["start"][1:] = np.cumsum(records["count"][:-1], dtype=np.int64)
         hashes = key_hash(records["doc_id"], records["null"], records["occurrence"])
         records["print"] = hashes >> np.uint64(32)
-        name = f"{folder}/shard-{uuid.uuid4().hex}"
-        _put(f"{name}.bin", b"".join(raw))
-        _put(f"{name}.idx", index_bytes(hashes, records, enc.width))
+        _put(f"{name}.idx", [index_bytes(hashes, records, enc.width)])
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([len(ids)], pa.int64()), pa.array([int(records["count"].sum())], pa.int64())], ["shard", "path", "n_docs", "n_tokens"])
 
     return write
@@ -366,7 +384,7 @@ def _write_shard(folder: str, path: str, end_id: int):
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, shard_bytes: int = 24 << 20) -> DataFrame:
     """Writes the shards; returns the manifest ``shard, path, n_docs, n_tokens, first`` (ids of all shards before).
 
-    ``shard_bytes``: text of a shard on average; a task holds one shard's ids.
+    ``shard_bytes``: text of a shard on average; a task that writes holds ``BATCH_CHARS`` of it, one that reads holds its ids.
     """
     small_batches(docs.sparkSession)
     folder = f"{shared_dir(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"

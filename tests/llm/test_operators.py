@@ -3,11 +3,14 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -192,6 +195,22 @@ def test_token_files_round_trip(spark):
     assert shard.get(10**9) is None
 
 
+def test_token_shard_takes_bounded_memory(tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    text, n, each = " ".join(words(1, 800)), 7000, 1000
+    batches = (pa.RecordBatch.from_pydict({"doc_id": pa.array(range(i, i + each), pa.int64()), "text": [text] * each}) for i in range(0, n, each))
+    tokenfiles.encoder(WORDS, 2)
+    tracemalloc.start()
+    (out,) = tokenfiles._write_shard(f"file://{tmp_path}", WORDS, 2)(batches)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n * len(text) > 24e6 and peak < 120e6  # a shard of the default size
+    ids = np.array([*Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids, 2], "<u2").tobytes()
+    (name,) = out["path"].to_pylist()
+    assert tokenfiles._read(f"{name}.bin") == ids * n and out["n_tokens"].to_pylist() == [len(ids) // 2 * n]
+    assert tokenfiles.Shard(ids * n, tokenfiles._read(f"{name}.idx")).get(n - 1).tobytes() == ids
+
+
 def test_token_files_of_nothing_and_null_ids(spark, empty):
     assert tokenfiles.read_token_files(tokenfiles.write_token_files(empty, WORDS, 2)).collect() == []
     got = tokenfiles.read_token_files(tokenfiles.write_token_files(frame(spark, ["a", "b", "c"], ids=[None, 1, None]), WORDS, 2)).collect()
