@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, secrets, simhash, substring, tiff, tokencount, tokenfiles, toxicity, urls
+from . import alignment, decontaminate, lexical, mixing, quality, secrets, simhash, substring, tiff, tokencount, tokenfiles, toxicity, urls
 from .common import pieces, table
 
 WINDOW, END_ID = 20, 2
@@ -55,10 +55,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    return lexical.search(lexical.index(table(spark, sf_dir, "documents"), lexical.item_terms(items)), items)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_substring_dedup, op2_source_mixing, op3_token_files, op4_secret_scan, op5_url_filter, op6_toxicity, op7_token_count, op8_tiff_pages, op9_simhash, op10_decontaminate]
+    own = [op1_substring_dedup, op2_source_mixing, op3_token_files, op4_secret_scan, op5_url_filter, op6_toxicity, op7_token_count, op8_tiff_pages, op9_simhash, op10_decontaminate, op11_quality_rules, op12_lexical_search, op13_tokenizer_alignment]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring.ORACLE, "op2_source_mixing": mixing.ORACLE, "op5_url_filter": urls.oracle(), "op10_decontaminate": decontaminate.ORACLE}
+    return {"op1_substring_dedup": substring.ORACLE, "op2_source_mixing": mixing.ORACLE, "op5_url_filter": urls.oracle(), "op10_decontaminate": decontaminate.ORACLE, "op12_lexical_search": lexical.ORACLE}
