@@ -273,6 +273,40 @@ def thirds(d: Tables) -> Table:
     return lt.cut(lt.select(d.orders, lambda r: r.o_orderkey % 3 == 0), "o_orderstatus", "o_orderpriority")
 
 
+
+
+def split_keys(d: Tables, name: str, key: str, *others: str) -> Table:
+    """A table whose key holds numbers in even rows and their text in odd ones."""
+    t = getattr(d, name)
+    even, odd = (lt.cut(lt.rename(lt.select(t, F.expr(f"{key} % 2 = {k}")), {key: "k"}), "k", *others) for k in (0, 1))
+    return lt.cat(even, lt.convert(odd, "k", str))
+
+
+def shown(t: Table, *fields: str) -> Table:
+    """Fields of unlike types as their types and texts."""
+    for f in fields:
+        t = lt.addfield(t, f"{f}_type", F.when(F.expr(f"schema_of_variant({f}) = 'STRING'"), "str").when(F.col(f).isNotNull(), "number"))
+        t = lt.convert(t, f, str)
+    return t
+
+
+#: The same in SQL: keys with their types.
+MIXED_ORDERS = "(SELECT CAST(o_custkey AS VARCHAR) AS k, CASE WHEN o_custkey % 2 = 0 THEN 'number' ELSE 'str' END AS k_type, o_orderkey FROM orders)"
+query("cat_mixed", f"SELECT k, k_type, o_orderkey FROM {MIXED_ORDERS}")(lambda d: shown(split_keys(d, "orders", "o_custkey", "o_orderkey"), "k"))
+query("stack_mixed", "SELECT CAST(o_custkey AS VARCHAR) AS k, 'number' AS k_type FROM orders UNION ALL SELECT c_name, 'str' FROM customer")(lambda d: shown(lt.stack(lt.rename(lt.cut(d.orders, "o_custkey"), {"o_custkey": "k"}), lt.cut(d.customer, "c_name")), "k"))
+query("sort_mixed", "SELECT row_number() OVER (ORDER BY r, n, t) AS row, coalesce(t, CAST(n AS VARCHAR)) AS k FROM (SELECT 0 AS r, CAST(p_partkey + 0.5 AS DOUBLE) AS n, NULL AS t FROM part UNION ALL SELECT 1, 0, c_name FROM customer UNION ALL SELECT 1, 0, CAST(o_orderkey AS VARCHAR) FROM orders)")(
+    lambda d: lt.convert(lt.addrownumbers(lt.sort(lt.cat(lt.rename(lt.cut(d.customer, "c_name"), {"c_name": "k"}), lt.cut(lt.addfield(d.part, "k", lambda r: r.p_partkey + 0.5), "k"), lt.cut(lt.addfield(d.orders, "k", F.expr("cast(o_orderkey as string)")), "k")), "k")), "k", str)
+)
+query("join_mixed", "SELECT CAST(o_custkey AS VARCHAR) AS k, o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey % 2 = 0")(lambda d: lt.convert(lt.join(split_keys(d, "orders", "o_custkey", "o_orderkey"), lt.cut(lt.rename(d.customer, {"c_custkey": "k"}), "k", "c_name"), key="k"), "k", str))
+query("leftjoin_mixed", "SELECT CAST(c_custkey AS VARCHAR) AS k, c_name, CASE WHEN c_custkey % 2 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE 'none' END AS o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND c_custkey % 2 = 0")(
+    lambda d: lt.convert(lt.leftjoin(lt.cut(lt.rename(d.customer, {"c_custkey": "k"}), "k", "c_name"), split_keys(d, "orders", "o_custkey", "o_orderkey"), key="k", missing="none"), ("k", "o_orderkey"), str)
+)
+query("antijoin_mixed", "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey % 2 = 1 OR o_custkey NOT IN (SELECT c_custkey FROM customer)")(lambda d: lt.antijoin(lt.cut(d.orders, "o_custkey", "o_orderkey"), split_keys(d, "customer", "c_custkey"), lkey="o_custkey", rkey="k"))
+query("complement_mixed", f"SELECT k, k_type FROM {MIXED_ORDERS} EXCEPT ALL SELECT CAST(c_custkey AS VARCHAR), 'number' FROM customer")(lambda d: shown(lt.complement(split_keys(d, "orders", "o_custkey"), lt.cut(d.customer, "c_custkey")), "k"))
+query("intersection_mixed", f"SELECT k, k_type FROM {MIXED_ORDERS} INTERSECT ALL SELECT CAST(c_custkey AS VARCHAR), 'number' FROM customer")(lambda d: shown(lt.intersection(split_keys(d, "orders", "o_custkey"), lt.cut(d.customer, "c_custkey")), "k"))
+query("distinct_mixed", f"SELECT k, k_type, count(*) AS n FROM {MIXED_ORDERS} GROUP BY 1, 2")(lambda d: shown(lt.distinct(split_keys(d, "orders", "o_custkey"), count="n"), "k"))
+query("typecounts_mixed", "SELECT CASE WHEN o_custkey % 2 = 0 THEN 'int' ELSE 'str' END AS type, count(*) AS count, count(*) / (SELECT count(*) FROM orders) AS frequency FROM orders GROUP BY 1")(lambda d: lt.typecounts(split_keys(d, "orders", "o_custkey"), "k"))
+query("selectgt_mixed", f"SELECT k, k_type, o_orderkey FROM {MIXED_ORDERS} WHERE k_type = 'str' OR CAST(k AS BIGINT) > 700")(lambda d: shown(lt.selectgt(split_keys(d, "orders", "o_custkey", "o_orderkey"), "k", 700), "k"))
 query("cat", "SELECT n_nationkey, n_name, CAST(NULL AS INTEGER) AS r_regionkey FROM nation UNION ALL SELECT NULL, NULL, r_regionkey FROM region")(lambda d: lt.cat(lt.cut(d.nation, 0, 1), lt.cut(d.region, 0)))
 query("stack", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")(lambda d: lt.stack(lt.cut(d.nation, 0, 1), d.region))
 query("complement", f"SELECT * FROM {A} EXCEPT ALL SELECT * FROM {B}")(lambda d: lt.complement(evens(d), thirds(d)))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .errors import FieldSelectionError
+from .plans.mixed import comparable, unwrapped
 
 ORD = "__ord"
 
@@ -69,7 +70,7 @@ class Table:
     def __iter__(self):
         yield tuple(self.columns)
         rows = self.frame.orderBy(ORD).drop(ORD) if self.has_order else self.frame
-        yield from (tuple(r) for r in rows.toLocalIterator())
+        yield from (tuple(map(unwrapped, r)) for r in rows.toLocalIterator())
 
     def __repr__(self) -> str:
         return f"Table[{', '.join(f'{n}: {t}' for n, t in self.df.dtypes)}]"
@@ -88,6 +89,16 @@ def col(name: str) -> Column:
     return F.col(quoted(name))
 
 
+def kind(t: Table, name: str) -> T.DataType:
+    """A field's type."""
+    return t.frame.schema[name].dataType
+
+
+def grouping(t: Table, names: Iterable[str]) -> list[Column]:
+    """What to group, sort or number rows by for fields of any type."""
+    return [comparable(col(n), kind(t, n)) for n in names]
+
+
 def as_table(x: Any) -> Table:
     """A table from a table, a DataFrame, or a header row followed by rows."""
     if isinstance(x, Table):

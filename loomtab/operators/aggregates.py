@@ -16,6 +16,7 @@ from ..core import ORD, Table, as_table, col, method, resolve, resolve_all, sort
 from ..errors import ArgumentError
 from ..functions.expressions import Opaque, Record, Symbol, _column, record_column
 from ..functions.types import python_name
+from ..plans import mixed
 from .joins import first_rows
 
 
@@ -287,11 +288,12 @@ def parsecounter(t: Table, field: str | int, parsers: Sequence[str] = ("int", "f
 
 @method
 def typecounts(t: Table, field: str | int) -> Table:
-    """Types of a field's values with count and frequency: the column's type, and NoneType for nulls."""
+    """Types of a field's values with count and frequency: the column's type or, in a column of unlike ones, each value's; NoneType for nulls."""
     t = as_table(t)
     c = resolve(t, field)
-    kind = F.when(col(c).isNull(), "NoneType").otherwise(python_name(t.frame.schema[c].dataType)).alias("type")
-    return valuecounts(Table(t.frame.select(kind)), "type")
+    own = t.frame.schema[c].dataType
+    kind = mixed.python_type(col(c)) if isinstance(own, T.VariantType) else F.when(col(c).isNull(), "NoneType").otherwise(python_name(own))
+    return valuecounts(Table(t.frame.select(kind.alias("type"))), "type")
 
 
 @method

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..core import ORD, Table, as_table, col, method, resolve, resolve_all
 from ..errors import ArgumentError
 from ..functions.expressions import SymbolicRecord, record_column, traced, truthy, value_column
+from ..plans import mixed
 from ..plans.numbering import with_neighbours
 
 #: Comparisons under which null is the lowest value.
@@ -26,6 +27,15 @@ OPS: dict[str, Callable[[Column, Any], Column]] = {
 }
 
 
+def _compared(t: Table, name: str, values: Iterable[Any]) -> tuple[Column, list[Any]]:
+    """A field and constants to compare it with: as they are, or by their keys where one is of another type."""
+    own, values = t.frame.schema[name].dataType, list(values)
+    kinds = [mixed.literal_type(v) for v in values]
+    if not isinstance(own, T.VariantType) and all(k == own or isinstance(own, T.NumericType) and isinstance(k, T.NumericType) or mixed.kind_of(k) is None or {mixed.kind_of(k), mixed.kind_of(own)} <= {"date", "datetime"} or mixed.kind_of(own) in ("dict", "list") for k in kinds):
+        return col(name), values
+    return mixed.key(col(name), own), [None if v is None else mixed.key(F.lit(v), k) for v, k in zip(values, kinds, strict=True)]
+
+
 def _kept(t: Table, test: Column, complement: bool) -> Table:
     """Rows that pass; with ``complement`` all others, those for which the test is null included."""
     return Table(t.frame.where(~F.coalesce(test, F.lit(False)) if complement else test))
@@ -49,7 +59,10 @@ def select(t: Table, *what: Any, complement: bool = False) -> Table:
 def selectop(t: Table, field: str | int, value: Any, op: str | Callable[[Column, Any], Column], complement: bool = False) -> Table:
     """Rows whose field stands in a relation to a value: a name of ``OPS``, or a function of a Column and the value."""
     t = as_table(t)
-    return _kept(t, (OPS[op] if isinstance(op, str) else op)(col(resolve(t, field)), value), complement)
+    if not isinstance(op, str):
+        return _kept(t, op(col(resolve(t, field)), value), complement)
+    c, (value,) = _compared(t, resolve(t, field), [value])
+    return _kept(t, OPS[op](c, value), complement)
 
 
 def _comparison(name: str, op: str) -> Callable:
@@ -78,9 +91,9 @@ def selectcontains(t: Table, field: str | int, value: Any, complement: bool = Fa
 @method
 def selectin(t: Table, field: str | int, values: Iterable[Any], complement: bool = False) -> Table:
     t, values = as_table(t), list(values)
-    c = col(resolve(t, field))
+    c, values = _compared(t, resolve(t, field), values)
     test = F.coalesce(c.isin([v for v in values if v is not None]), F.lit(False))
-    return _kept(t, test | c.isNull() if None in values else test, complement)
+    return _kept(t, test | c.isNull() if any(v is None for v in values) else test, complement)
 
 
 @method
@@ -90,18 +103,21 @@ def selectnotin(t: Table, field: str | int, values: Iterable[Any], complement: b
 
 @method
 def selectisinstance(t: Table, field: str | int, kind: type | str | tuple, complement: bool = False) -> Table:
-    """Rows whose value is of a type; columns have one type, so that is all rows with a value, or none."""
+    """Rows whose value is of a type: of a column of one type all rows with a value, or none."""
     from ..functions.types import of_kind
 
     t = as_table(t)
     name = resolve(t, field)
+    if isinstance(t.frame.schema[name].dataType, T.VariantType):
+        wanted = [k if isinstance(k, str) else k.__name__ for k in (kind if isinstance(kind, tuple) else (kind,))]
+        return _kept(t, mixed.python_type(col(name)).isin(wanted), complement)
     return _kept(t, col(name).isNotNull() if of_kind(t.frame.schema[name].dataType, kind) else F.lit(False), complement)
 
 
 def _range(name: str, low: str, high: str) -> Callable:
     def f(t: Table, field: str | int, minv: Any, maxv: Any, complement: bool = False) -> Table:
         t = as_table(t)
-        c = col(resolve(t, field))
+        c, (minv, maxv) = _compared(t, resolve(t, field), [minv, maxv])
         return _kept(t, OPS[low](c, minv) & OPS[high](c, maxv), complement)
 
     f.__name__, f.__doc__ = name, f"Rows with minv {'<=' if low == '>=' else '<'} value {high} maxv."

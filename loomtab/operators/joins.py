@@ -1,4 +1,4 @@
-"""Equi joins. Null keys match null keys; a side's key columns are one in the result.
+"""Equi joins. Null keys match null keys; a side's key columns are one in the result. Keys of unlike types are compared as they are, never cast (``plans.mixed``).
 
 Strategies are Catalyst's. The hash variants ask for a shuffled hash join, which has no size bound to break; a side is broadcast only
 where Spark's own size estimate allows it.
@@ -11,9 +11,11 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..core import ORD, Table, as_table, col, method, resolve_all, unique_names, sorting
+from ..core import ORD, Table, as_table, col, grouping, kind, method, resolve_all, unique_names, sorting
 from ..errors import ArgumentError
+from ..plans import mixed
 from ..plans.numbering import numbered
 
 
@@ -48,23 +50,38 @@ def shape_join(left: Any, right: Any, how: str, key: Any = None, lkey: Any = Non
     lname, rname = {c: f"__l{i}" for i, c in enumerate(left.columns)}, {c: f"__r{i}" for i, c in enumerate(right.columns)}
     if hint:
         ldf, rdf = (ldf.hint(hint), rdf) if hinted == "left" else (ldf, rdf.hint(hint))
-    on = reduce(lambda a, b: a & b, [F.col(lname[a]).eqNullSafe(F.col(rname[b])) for a, b in zip(lk, rk, strict=True)])
-    both = ldf.join(rdf, on, how)
+    both = ldf.join(rdf, _equal([(F.col(lname[a]), kind(left, a), F.col(rname[b]), kind(right, b)) for a, b in zip(lk, rk, strict=True)]), how)
+    types = {**{v: kind(left, c) for c, v in lname.items()}, **{v: kind(right, c) for c, v in rname.items()}}
 
     def filled(c: str, there: str) -> Column:
         sides = {"left": ("__r",), "right": ("__l",), "full": ("__l", "__r")}.get(how, ())
         if missing is None or there not in sides:
             return F.col(c)
-        return F.when(F.col(there), F.col(c)).otherwise(F.lit(missing).try_cast(both.schema[c].dataType.simpleString()))
-
-    keys = {a: F.coalesce(F.col(lname[a]), F.col(rname[b])) if how in ("right", "full") else F.col(lname[a]) for a, b in zip(lk, rk, strict=True)}
+        (value, other), _ = mixed.united([(F.col(c), types[c]), (F.lit(missing), mixed.literal_type(missing))])
+        return F.when(F.col(there), value).otherwise(other)
+
+    def one(a: str, b: str) -> tuple[Column, T.DataType]:
+        """The key of both sides as one column."""
+        if how not in ("right", "full"):
+            return F.col(lname[a]), types[lname[a]]
+        (x, y), to = mixed.united([(F.col(lname[a]), types[lname[a]]), (F.col(rname[b]), types[rname[b]])])
+        return F.when(F.col("__l"), x).otherwise(y), to
+
+    ones = {a: one(a, b) for a, b in zip(lk, rk, strict=True)}
+    keys = {a: c for a, (c, _) in ones.items()}
     shown = [(f"{lprefix or ''}{c}", keys[c] if c in keys else filled(lname[c], "__l")) for c in left.columns]
     shown += [(f"{rprefix or ''}{c}", filled(rname[c], "__r")) for c in right.columns if c not in rk]
     names = unique_names(n for n, _ in shown)
-    order = [keys[a] for a in lk] + [F.col(o) for o in ("__lo", "__ro") if o in both.columns]
+    order = [mixed.comparable(*ones[a]) for a in lk] + [F.col(o) for o in ("__lo", "__ro") if o in both.columns]
     return Table(both.select(*[c.alias(n) for (_, c), n in zip(shown, names, strict=True)], F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)]).alias(ORD)))
 
 
+def _equal(pairs: list[tuple[Column, T.DataType, Column, T.DataType]]) -> Column:
+    """Whether keys of both sides are equal; null equals null."""
+    both = [mixed.sides(*p) for p in pairs]
+    return reduce(lambda a, b: a & b, [a.eqNullSafe(b) for a, b in both])
+
+
 @method
 @sorting
 def join(left: Table, right: Table, key: Any = None, lkey: Any = None, rkey: Any = None, lprefix: str | None = None, rprefix: str | None = None) -> Table:
@@ -112,7 +129,7 @@ def _anti(left: Any, right: Any, key: Any, lkey: Any, rkey: Any, hint: str | Non
     lk, rk = join_keys(left, right, key, lkey, rkey)
     keys = right.frame.select(*[col(c).alias(f"__r{i}") for i, c in enumerate(rk)])
     keys = keys.hint(hint) if hint else keys
-    return Table(left.frame.join(keys, reduce(lambda a, b: a & b, [col(c).eqNullSafe(F.col(f"__r{i}")) for i, c in enumerate(lk)]), "left_anti"))
+    return Table(left.frame.join(keys, _equal([(col(a), kind(left, a), F.col(f"__r{i}"), kind(right, b)) for i, (a, b) in enumerate(zip(lk, rk, strict=True))]), "left_anti"))
 
 
 @method
@@ -132,7 +149,7 @@ def first_rows(t: Table, keys: list[str], last: bool = False) -> Table:
     t = t.ordered()
     rows = F.struct(*[col(c) for c in t.frame.columns])
     pick = (F.max_by if last else F.min_by)(rows, F.col(ORD))
-    return Table(t.frame.groupBy(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(pick.alias("r")).select("r.*"))
+    return Table(t.frame.groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(grouping(t, keys))]).agg(pick.alias("r")).select("r.*"))
 
 
 @method

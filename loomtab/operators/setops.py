@@ -1,17 +1,34 @@
-"""Unions, multiset operations and deduplication. Null equals null."""
+"""Unions, multiset operations and deduplication. Null equals null; values of unlike types are never cast to each other (``plans.mixed``)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..core import ORD, Table, as_table, col, method, resolve, resolve_all, sorting
+from ..core import ORD, Table, as_table, col, grouping, kind, method, resolve, resolve_all, sorting
+from ..plans import mixed
 from .joins import first_rows
 
 
+def _placed(each: list[Table], names: list[str], of: Callable[[Table, int, str], str | None], missing: Any) -> list[Table]:
+    """Tables under one header; a field has one type, found over all tables and the value for missing fields."""
+    types: dict[str, T.DataType] = {}
+    found = [[of(t, i, n) for i, n in enumerate(names)] for t in each]
+    for i, n in enumerate(names):
+        own = [kind(t, f[i]) if f[i] is not None else mixed.literal_type(missing) for t, f in zip(each, found, strict=True)]
+        types[n] = mixed.common(own)
+    gap = mixed.literal_type(missing)
+    return [
+        t.keep(*[(mixed.as_type(col(f[i]), kind(t, f[i]), types[n]) if f[i] is not None else mixed.as_type(F.lit(missing), gap, types[n])).alias(n) for i, n in enumerate(names)])
+        for t, f in zip(each, found, strict=True)
+    ]
+
+
 def _united(each: list[Table]) -> Table:
     """Tables of one header, one after the other; in order if all are."""
     if all(t.has_order for t in each) and len({t.frame.schema[ORD].dataType.simpleString() for t in each}) == 1:
@@ -26,8 +43,7 @@ def cat(*tables: Table, missing: Any = None, header: Any = None) -> Table:
     """Union by field name; further fields go to the end, absent ones are missing; ``header`` restricts."""
     each = [as_table(t) for t in tables]
     names = list(dict.fromkeys(c for t in each for c in t.columns)) if header is None else list(header)
-    parts = [t.keep(*[col(c) if c in t.columns else F.lit(missing).alias(c) for c in names]) for t in each]
-    return _united(parts)
+    return _united(_placed(each, names, lambda t, i, n: n if n in t.columns else None, missing))
 
 
 @method
@@ -36,20 +52,25 @@ def stack(*tables: Table, missing: Any = None, trim: bool = True, pad: bool = Tr
     del trim, pad
     each = [as_table(t) for t in tables]
     names = each[0].columns
-    return _united([t.keep(*[col(t.columns[i]).alias(n) if i < len(t.columns) else F.lit(missing).alias(n) for i, n in enumerate(names)]) for t in each])
+    return _united(_placed(each, names, lambda t, i, n: t.columns[i] if i < len(t.columns) else None, missing))
 
 
-def _all_equal(a: Table, b: Table) -> Column:
-    return reduce(lambda x, y: x & y, [col(c).eqNullSafe(F.col(f"__b{i}")) for i, c in enumerate(a.columns)])
+def _plain(a: Table, b: Table) -> bool:
+    """Whether Spark's own set operations compare the rows of both by value."""
+    return all(mixed.alike(kind(a, x), kind(b, y)) and kind(a, x) != mixed.VARIANT for x, y in zip(a.columns, b.columns, strict=True))
 
 
 def _matched(a: Table, b: Table, strict: bool, keep: bool) -> Table:
     """Rows of ``a`` with or without a counterpart in ``b``, in order of ``a``: each row's number among its equals against b's count."""
-    counts = b.frame.groupBy(*[col(c).alias(f"__b{i}") for i, c in enumerate(b.columns)]).agg(F.count(F.lit(1)).alias("__n"))
+    pairs = [mixed.sides(col(x), kind(a, x), col(y), kind(b, y)) for x, y in zip(a.columns, b.columns, strict=True)]
+    mine, theirs = [x.alias(f"__a{i}") for i, (x, _) in enumerate(pairs)], [y.alias(f"__b{i}") for i, (_, y) in enumerate(pairs)]
+    counts = b.frame.groupBy(*theirs).agg(F.count(F.lit(1)).alias("__n"))
+    keyed = a.frame.select("*", *mine)
+    same = reduce(lambda x, y: x & y, [F.col(f"__a{i}").eqNullSafe(F.col(f"__b{i}")) for i in range(len(pairs))])
     if strict:
-        return Table(a.frame.join(counts, _all_equal(a, b), "left_semi" if keep else "left_anti"))
-    w = Window.partitionBy(*map(col, a.columns)).orderBy(ORD)
-    both = a.frame.withColumn("__k", F.row_number().over(w)).join(counts, _all_equal(a, b), "left")
+        return Table(keyed.join(counts, same, "left_semi" if keep else "left_anti").select(*map(col, a.frame.columns)))
+    w = Window.partitionBy(*[f"__a{i}" for i in range(len(pairs))]).orderBy(ORD)
+    both = keyed.withColumn("__k", F.row_number().over(w)).join(counts, same, "left")
     n = F.coalesce("__n", F.lit(0))
     return Table(both.where(F.col("__k") <= n if keep else F.col("__k") > n).select(*map(col, a.columns), ORD))
 
@@ -59,8 +80,8 @@ def _matched(a: Table, b: Table, strict: bool, keep: bool) -> Table:
 def complement(a: Table, b: Table, strict: bool = False) -> Table:
     """Rows of ``a`` less those of ``b``, as multisets; ``strict`` removes every copy."""
     a, b = as_table(a), as_table(b)
-    if strict or a.has_order:
-        return _matched(a, b, strict, False)
+    if strict or a.has_order or not _plain(a, b):
+        return _matched(a if strict else a.ordered(), b, strict, False)
     return Table(a.df.exceptAll(b.df))
 
 
@@ -92,7 +113,7 @@ def recorddiff(a: Table, b: Table, strict: bool = False) -> tuple[Table, Table]:
 def intersection(a: Table, b: Table) -> Table:
     """Rows in both, as often as in the one that has fewer."""
     a, b = as_table(a), as_table(b)
-    return _matched(a, b, False, True) if a.has_order else Table(a.df.intersectAll(b.df))
+    return _matched(a.ordered(), b, False, True) if a.has_order or not _plain(a, b) else Table(a.df.intersectAll(b.df))
 
 
 @method
@@ -110,7 +131,7 @@ def hashintersection(a: Table, b: Table) -> Table:
 
 def _by_count(t: Any, key: Any, test: str) -> Table:
     t = as_table(t)
-    w = Window.partitionBy(*map(col, resolve_all(t, key)))
+    w = Window.partitionBy(*grouping(t, resolve_all(t, key)))
     return Table(t.frame.withColumn("__n", F.count(F.lit(1)).over(w)).where(test).drop("__n"))
 
 
@@ -133,6 +154,8 @@ def unique(t: Table, key: Any = None) -> Table:
 def distinct(t: Table, key: Any = None, count: str | None = None) -> Table:
     """The first row of each key, or of equal rows; ``count`` names a field for how many there are."""
     t = as_table(t)
+    if any(kind(t, c) == mixed.VARIANT for c in t.columns):
+        return _distinct_mixed(t, resolve_all(t, key), count)
     if key is None and count is None:
         return Table(t.frame.groupBy(*map(col, t.columns)).agg(F.min(ORD).alias(ORD))) if t.has_order else Table(t.df.distinct())
     keys = resolve_all(t, key)
@@ -146,6 +169,14 @@ def distinct(t: Table, key: Any = None, count: str | None = None) -> Table:
     return Table(t.frame.groupBy(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(rows, F.count(F.lit(1)).alias(count), F.min(ORD).alias(ORD)).select("r.*", count, ORD))
 
 
+def _distinct_mixed(t: Table, keys: list[str], count: str | None) -> Table:
+    """``distinct`` where fields hold unlike types: by keys that compare them."""
+    t = t.ordered()
+    rows = F.min_by(F.struct(*[col(c) for c in t.columns]), F.col(ORD)).alias("r")
+    found = t.frame.groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(grouping(t, keys))]).agg(rows, F.count(F.lit(1)).alias("__n"), F.min(ORD).alias(ORD))
+    return Table(found.select("r.*", *([F.col("__n").alias(count)] if count is not None else []), ORD))
+
+
 @method
 @sorting
 def conflicts(t: Table, key: Any, missing: Any = None, include: Any = None, exclude: Any = None) -> Table:
@@ -169,4 +200,4 @@ def conflicts(t: Table, key: Any, missing: Any = None, include: Any = None, excl
 def isunique(t: Table, field: str | int) -> bool:
     """Whether no value comes twice."""
     t = as_table(t)
-    return t.frame.groupBy(col(resolve(t, field))).count().where("count > 1").limit(1).count() == 0
+    return t.frame.groupBy(*grouping(t, [resolve(t, field)])).count().where("count > 1").limit(1).count() == 0

@@ -7,16 +7,16 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import ORD, Table, as_table, col, method, resolve_all, sorting
+from ..core import ORD, Table, as_table, col, grouping, method, resolve_all, sorting
 from ..plans.numbering import numbered
 
 
 @method
 @sorting
 def sort(t: Table, key: Any = None, reverse: bool = False) -> Table:
-    """Rows by key, null first (last with ``reverse``); rows of equal keys keep their order."""
+    """Rows by key, null first (last with ``reverse``), numbers before all else; rows of equal keys keep their order."""
     t = as_table(t)
-    keys = [col(c) for c in resolve_all(t, key)]
+    keys = grouping(t, resolve_all(t, key))
     tie = [F.col(ORD)] if t.has_order else []
     df = t.frame.orderBy(*[k.desc_nulls_last() if reverse else k.asc_nulls_first() for k in keys], *tie)
     if reverse:
@@ -38,7 +38,7 @@ def mergesort(*tables: Table, key: Any = None, reverse: bool = False) -> Table:
 def issorted(t: Table, key: Any = None, reverse: bool = False, strict: bool = False) -> bool:
     """Whether rows are in order of a key; ``strict`` forbids ties. A table without rows is sorted."""
     t = numbered(as_table(t), "__row")
-    keys = F.struct(*[col(c) for c in resolve_all(t, key) if c != "__row"])
+    keys = F.struct(*grouping(t, [c for c in resolve_all(t, key) if c != "__row"]))
     part = t.frame.select(keys.alias("k"), "__row")
     # each row next to its predecessor through an equi join on the number, not a window over the whole table
     before = part.select(F.col("k").alias("b"), (F.col("__row") + 1).alias("__row"))
