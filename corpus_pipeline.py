@@ -19,19 +19,29 @@ from loomtab.llm import decontaminate, mixing, similar, tokenfiles, toxicity
 from loomtab.llm.common import extent, pieces, table, written
 
 
+def frugal(spark: SparkSession) -> SparkSession:
+    """Bounds what goes to a Python worker at once: whole texts, from several tasks of an executor. A session's own smaller setting stays."""
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+    there = spark.conf.get(key, "-1").lower().removesuffix("b")
+    if not (there.isdigit() and 0 < int(there) <= most):
+        spark.conf.set(key, str(most))
+    return spark
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the threshold, by a model learnt from the labels that aren't held out."""
-    return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("score < 0.5").select("doc.*")
+    return toxicity.toxicity(docs, table(frugal(spark), sf_dir, "labels")).where("score < 0.5").select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component, whatever ids its rows have."""
+    frugal(spark)
     return similar.first_rows(docs, shingle=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
-    return decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select("doc.*")
+    return decontaminate.find_contamination(docs, table(frugal(spark), sf_dir, "benchmark")).where("n_hit = 0").select("doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of each copy, from the files."""
+    frugal(spark)
     return tokenfiles.read_token_files(tokenfiles.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), 2))
 
 
