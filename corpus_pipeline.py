@@ -12,6 +12,8 @@ Each stage takes all that its predecessor kept and returns the columns of ``docu
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,8 +24,8 @@ from loomtab.llm.common import extent, pieces, table, written
 def frugal(spark: SparkSession) -> SparkSession:
     """Bounds what goes to a Python worker at once: whole texts, from several tasks of an executor. A session's own smaller setting stays."""
     key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
-    there = spark.conf.get(key, "-1").lower().removesuffix("b")
-    if not (there.isdigit() and 0 < int(there) <= most):
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(key).lower()).groups()
+    if int(number) << 10 * " kmgtp".index(unit or " ") > most:
         spark.conf.set(key, str(most))
     return spark
 
