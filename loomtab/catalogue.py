@@ -184,6 +184,11 @@ query("intervaljoin_facet", f"SELECT id, rid FROM {IL} l JOIN {IR} r ON g = rg A
 query("intervaljoin_stop", f"SELECT id, rid FROM {IL} l JOIN {IR} r ON l.a <= r.e AND l.b >= r.s")(lambda d: lt.cut(lt.intervaljoin(left_intervals(d), right_intervals(d), **_AT, include_stop=True), "id", "rid"))
 query("intervalleftjoin", f"SELECT id, rid FROM {IL} l LEFT JOIN {IR} r ON {OVER}")(lambda d: lt.cut(lt.intervalleftjoin(left_intervals(d), right_intervals(d), **_AT), "id", "rid"))
 query("intervalantijoin", f"SELECT l.* FROM {IL} l WHERE NOT EXISTS (SELECT 1 FROM {IR} r WHERE {OVER})")(lambda d: lt.intervalantijoin(left_intervals(d), right_intervals(d), **_AT))
+#: A hundredth of the left intervals are 10,000 times as long as the others.
+LONG = IL.replace("(SELECT", "(SELECT id, g, a, CASE WHEN id % 100 = 7 THEN a + (b - a) * 10000 ELSE b END AS b FROM (SELECT", 1) + ")"
+query("intervaljoin_outliers", f"SELECT rid, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM {LONG} l JOIN {IR} r ON {OVER} GROUP BY rid")(
+    lambda d: lt.aggregate(lt.intervaljoin(lt.convert(left_intervals(d), "b", F.expr("CASE WHEN id % 100 = 7 THEN a + (b - a) * 10000 ELSE b END")), right_intervals(d), **_AT), "rid", {"n": len, "ids": ("id", sum)})
+)
 query("intervaljoinvalues", f"SELECT id, CAST(len(v) AS INTEGER) AS n, list_sum(v)::BIGINT AS total FROM (SELECT id, coalesce(list(rid) FILTER (WHERE rid IS NOT NULL), []) AS v FROM {IL} l LEFT JOIN {IR} r ON {OVER} GROUP BY id)")(
     lambda d: lt.intervaljoinvalues(left_intervals(d), right_intervals(d), "rid", **_AT).df.select("id", F.size("rid").alias("n"), F.expr("CASE WHEN size(rid) > 0 THEN aggregate(rid, 0L, (s, x) -> s + x) END").alias("total"))
 )
@@ -212,6 +217,11 @@ query("aggregate_global", "SELECT count(*) AS n, max(o_totalprice) AS top FROM o
 query("aggregate_callable_key", "SELECT n_regionkey % 2 AS key, count(*) AS value FROM nation GROUP BY 1")(lambda d: lt.aggregate(d.nation, lambda r: r.n_regionkey % 2, len))
 query("aggregate_list", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")(lambda d: lt.aggregate(d.nation, "n_regionkey", {"names": ("n_name", lt.strjoin(","))}))
 query("rowreduce", "SELECT n_regionkey AS region, CAST(sum(n_nationkey) AS BIGINT) AS total FROM nation GROUP BY 1")(lambda d: lt.rowreduce(d.nation, "n_regionkey", lambda k, rows: [k, sum(r.n_nationkey for r in rows)], "region int, total bigint"))
+query("fold_mean", "WITH RECURSIVE o AS (SELECT o_custkey AS k, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders), f AS (SELECT k, v, i FROM o WHERE i = 1 UNION ALL SELECT f.k, (f.v + o.v) / 2, o.i FROM f JOIN o ON o.k = f.k AND o.i = f.i + 1) SELECT k AS key, round(arg_max(v, i), 6) AS value FROM f GROUP BY k")(
+    lambda d: lt.fold(d.orders, "o_custkey", lambda a, b: (a + b) / 2, "o_totalprice").df.select("key", F.round("value", 6).alias("value"))
+)
+query("fold_int", "SELECT n_regionkey AS key, CAST(sum(2000000000 + n_nationkey) AS BIGINT) AS value FROM nation GROUP BY 1")(lambda d: lt.fold(lt.addfield(d.nation, "v", F.expr("CAST(2000000000 + n_nationkey AS INT)")), "n_regionkey", lambda a, b: a + b, "v", associative=True))
+query("fold_hot", "SELECT 0 AS key, CAST(sum(l_orderkey) AS BIGINT) AS value FROM lineitem")(lambda d: lt.fold(lt.addfield(lt.wrap(d.lineitem.df), "k", 0), "k", lambda a, b: a + b, "l_orderkey", associative=True))
 query("fold", "SELECT o_custkey AS key, sum(o_orderkey)::BIGINT AS value FROM orders GROUP BY 1")(lambda d: lt.fold(d.orders, "o_custkey", lambda a, b: a + b, "o_orderkey"))
 query("groupcountdistinctvalues", "SELECT o_custkey, count(DISTINCT o_orderstatus) AS value FROM orders GROUP BY 1")(lambda d: lt.groupcountdistinctvalues(d.orders, "o_custkey", "o_orderstatus"))
 query("groupselectfirst", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1")(lambda d: lt.cut(lt.groupselectfirst(d.orders, "o_custkey"), "o_custkey", "o_orderkey"))
@@ -240,6 +250,11 @@ query("diffvalues", "SELECT (SELECT count(*) FROM (SELECT DISTINCT o_custkey FRO
 query("filldown", "SELECT event_id, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events)")(
     lambda d: lt.cut(lt.filldown(lt.addfield(d.events, "v", F.expr("CASE WHEN event_id % 3 = 0 THEN value END")), "v", by="user_id"), "event_id", "v")
 )
+query("filldown_hot", "SELECT l_orderkey, l_linenumber, last_value(v IGNORE NULLS) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT *, CASE WHEN l_partkey % 50 = 3 THEN l_partkey END AS v FROM lineitem)")(
+    lambda d: lt.cut(lt.filldown(Table(d.lineitem.df.selectExpr("*", "0 AS k", "CASE WHEN l_partkey % 50 = 3 THEN l_partkey END AS v"), order=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]), "v", by="k"), "l_orderkey", "l_linenumber", "v")
+)
+query("selectusingcontext_opaque", "SELECT event_id FROM (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE value > p")(lambda d: lt.cut(lt.selectusingcontext(d.events, lambda p, c, n: p is not None and max(c.value, p.value) != p.value, by="user_id"), 0))
+query("addfieldusingcontext_opaque", "SELECT event_id, CASE WHEN lead(value) OVER (ORDER BY event_id) IS NULL THEN -1.0 ELSE lead(value) OVER (ORDER BY event_id) - value END AS step FROM events")(lambda d: lt.cut(lt.addfieldusingcontext(d.events, "step", lambda p, c, n: -1.0 if n is None else n.value - c.value), "event_id", "step"))
 query("filldown_global", "SELECT event_id, last_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT event_id, CASE WHEN event_id % 7 = 3 THEN value END AS v FROM events)")(lambda d: lt.filldown(lt.cut(lt.addfield(d.events, "v", F.expr("CASE WHEN event_id % 7 = 3 THEN value END")), "event_id", "v"), "v"))
 FILLS = "(SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id END AS a, CASE WHEN event_id % 3 = 0 THEN user_id END AS b FROM events)"
 

@@ -8,13 +8,14 @@ generation. Anything else runs as an Arrow-batched Python function over the reco
 from __future__ import annotations
 
 import ast
+import dis
 import operator
 import pickle
 import re
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,8 +107,15 @@ class SymbolicRecord:
     __iter__ = __len__ = __bool__ = __str__ = __repr__ = _plain
 
 
+def _tests_identity(code: Any) -> bool:
+    """Whether code asks if something is None, or is something: a symbol can't answer that."""
+    return any(i.opname in ("IS_OP", "POP_JUMP_IF_NONE", "POP_JUMP_IF_NOT_NONE") for i in dis.get_instructions(code)) or any(_tests_identity(c) for c in code.co_consts if hasattr(c, "co_code"))
+
+
 def traced(f: Callable, *symbols: Any) -> Column | None:
     """The Column that a callable gives for symbols; None if it is opaque."""
+    if hasattr(f, "__code__") and _tests_identity(f.__code__):
+        return None
     try:
         got = f(*symbols)
     except (Opaque, TypeError, AttributeError, ValueError, KeyError):
@@ -169,6 +177,22 @@ def opaque(t: Table, f: Callable[[Record], Any], returns: str | T.DataType | Non
     return F.udf(typed, to, useArrow=True)(*columns)
 
 
+def context_column(t: Table, frame: DataFrame, w: WindowSpec, query: Callable, returns: str) -> tuple[DataFrame, Column]:
+    """``query(previous, current, next)`` over a window's neighbours: an expression if it can be traced, else a function of records."""
+    found = traced(query, SymbolicRecord(t, lambda n: F.lag(col(n)).over(w)), SymbolicRecord(t), SymbolicRecord(t, lambda n: F.lead(col(n)).over(w)))
+    if found is not None:
+        return frame, found
+    ship(frame.sparkSession)
+    names, to = tuple(t.columns), T._parse_datatype_string(returns)
+    row = F.struct(*[col(n).alias(f"c{i}") for i, n in enumerate(names)])
+
+    def run(*rows: Any) -> Any:
+        return fitted(query(*[None if r is None else Record(tuple(r), names) for r in rows]), to)
+
+    near = {"__before": F.lag(row).over(w), "__here": row, "__after": F.lead(row).over(w)}
+    return frame.withColumns(near), F.udf(run, to, useArrow=True)(*map(F.col, near))
+
+
 def record_column(t: Table, what: Any, returns: str | T.DataType | None = None, **policy: Any) -> Column:
     """A Column from a Column, an expression string with ``{field}``, a callable of a record, or a constant."""
     if isinstance(what, Column):

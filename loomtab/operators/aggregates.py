@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import builtins
+import pickle
 from collections import Counter
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-from pyspark.sql import Column, Window
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..core import ORD, Table, as_table, col, method, resolve, resolve_all, sorting
+from ..core import ORD, Table, as_table, col, exemplar, fitted, grouping, kind, method, resolve, resolve_all, session, sorting, spark_type
 from ..errors import ArgumentError
 from ..functions.expressions import Opaque, Record, Symbol, _column, record_column
 from ..functions.types import python_name
 from ..plans import mixed
+from ..plans.shipping import ship
 from .joins import first_rows
 
 
@@ -124,25 +128,85 @@ def rowreduce(t: Table, key: Any, reducer: Callable[[Any, list[Record]], Sequenc
 
 @method
 @sorting
-def fold(t: Table, key: Any, f: Callable[[Any, Any], Any], value: Any = None, returns: str | None = None) -> Table:
-    """``reduce(f, values)`` of each group in row order; fields ``key`` and ``value``."""
+def fold(t: Table, key: Any, f: Callable[[Any, Any], Any], value: Any = None, returns: str | None = None, associative: bool = False) -> Table:
+    """``reduce(f, values)`` of each group in row order; fields ``key`` and ``value``.
+
+    Values stream through ``f`` in sorted batches with the result so far carried on, so a group takes no memory however large it is. Groups are dealt by key; where ``f``
+    is ``associative``, rows are dealt by key and order instead: parts of a group are folded in several tasks, and their results in order.
+    The results' type is ``returns``, or what ``f`` makes of the values' type in the end (integers are 64 bits wide, a float among them makes doubles).
+    """
     t = as_table(t).ordered()
     k = resolve_all(t, key)
     v = resolve(t, value if value is not None else t.columns[-1])
-    values = _ordered_list(col(v), True)
-    try:
-        got = f(Symbol(F.lit(1)), Symbol(F.lit(1)))
-        traceable = isinstance(got, (Symbol, Column))
-    except (Opaque, TypeError, AttributeError):
-        traceable = False
-    if traceable:
-        values = F.col("__v")
-        kind = t.frame.schema[v].dataType.simpleString()
-        out = F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.element_at(values, 1), lambda a, x: _column(f(Symbol(a), Symbol(x))).cast(kind))
-    else:
-        out = F.udf(lambda xs: reduce(f, xs), returns or t.frame.schema[v].dataType, useArrow=True)(F.col("__v"))
-    lists = t.frame.groupBy((col(k[0]) if len(k) == 1 else F.struct(*map(col, k))).alias("key")).agg(_ordered_list(col(v), True).alias("__v"))
-    return Table(lists.select("key", out.alias("value")), order="key")
+    name = col(k[0]) if len(k) == 1 else F.struct(*map(col, k))
+    rows = t.frame.select(name.alias("key"), col(v).alias("value"), F.col(ORD).alias("o"))
+    to = T._parse_datatype_string(returns) if isinstance(returns, str) else returns
+    if to is None:
+        to = folded_type(f, kind(t, v)) or _found_type(_folds(rows, f, None, False))
+    if not associative:
+        return Table(_folds(rows, f, to, False).select("key", "value"), order="key")
+    parts = _folds(rows, f, to, True)
+    return Table(_folds(parts, f, to, False).select("key", "value"), order="key")
+
+
+def folded_type(f: Callable[[Any, Any], Any], own: T.DataType) -> T.DataType | None:
+    """The type of a fold's results: that of ``f`` of itself and the values, once it is stable; None where ``f`` can't be traced."""
+    to = mixed.common([own, T.LongType()]) if isinstance(own, T.IntegralType) else own
+    frame = session().range(0).select(F.lit(None).cast(own).alias("v"))
+    for _ in range(4):
+        try:
+            got = f(Symbol(F.lit(None).cast(to)), Symbol(F.col("v")))
+        except (Opaque, TypeError, AttributeError, ValueError):
+            return None
+        if not isinstance(got, (Symbol, Column)):
+            return None
+        try:
+            after = mixed.common([to, frame.select(_column(got).alias("x")).schema["x"].dataType])
+        except AnalysisException:
+            return None
+        after = T.LongType() if isinstance(after, T.IntegralType) else after
+        if after == to:
+            return to
+        to = after
+    return None if isinstance(to, T.VariantType) else to
+
+
+def _found_type(pickled: DataFrame) -> T.DataType:
+    """The type of all results of an opaque fold, by a pass over them."""
+    return spark_type([pickle.loads(r[0]) for r in pickled.select("value").distinct().collect()])
+
+
+def _folds(rows: DataFrame, f: Callable[[Any, Any], Any], to: T.DataType | None, parts: bool) -> DataFrame:
+    """``key, value, o`` of each run of a key: folded values and the first row's order. Of each part of a key with ``parts``; the results' kinds alone, pickled, without a type."""
+    ship(rows.sparkSession)
+    placed = rows.repartitionByRange("key", "o") if parts else rows.repartition("key")
+    schema = T.StructType([rows.schema["key"], T.StructField("value", to or T.BinaryType()), rows.schema["o"]])
+    arrow = to_arrow_schema(schema)
+
+    def result(x: Any) -> Any:
+        return fitted(x, to) if to is not None else pickle.dumps(exemplar(x))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        current: tuple | None = None  # key, value so far, order of the first row
+        for b in batches:
+            for key, x, o in zip(*(b.column(n).to_pylist() for n in ("key", "value", "o")), strict=True):
+                if current is not None and current[0] == key:
+                    current = (key, f(current[1], x), current[2])
+                    continue
+                if current is not None:
+                    done.append(current)
+                current = (key, x, o)
+            if done:
+                yield packed(done)
+                done = []
+        if current is not None:
+            yield packed([current])
+
+    def packed(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, field.type) for c, field in zip(([r[0] for r in found], [result(r[1]) for r in found], [r[2] for r in found]), arrow, strict=True)], schema=arrow)
+
+    return placed.sortWithinPartitions("key", "o").mapInArrow(run, schema)
 
 
 @method
@@ -173,13 +237,13 @@ def groupselectlast(t: Table, key: Any) -> Table:
 def _extreme(t: Any, key: Any, value: str | int, largest: bool) -> Table:
     t = as_table(t).ordered()
     v = col(resolve(t, value))
-    rank = F.struct((v.isNull() if largest else v.isNotNull()).alias("n"), F.struct(v.alias("v")).alias("v"))
     rows = F.struct(*[col(c) for c in t.frame.columns])
-    if not largest:
-        pick = F.min_by(rows, F.struct(rank, F.col(ORD)))
-        return Table(t.frame.groupBy(*[col(k).alias(f"__k{i}") for i, k in enumerate(resolve_all(t, key))]).agg(pick.alias("r")).select("r.*"))
-    w = Window.partitionBy(*map(col, resolve_all(t, key))).orderBy(v.desc_nulls_last(), F.col(ORD))
-    return Table(t.frame.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n"))
+    groups = [k.alias(f"__k{i}") for i, k in enumerate(grouping(t, resolve_all(t, key)))]
+    by = [F.col(f"__k{i}") for i in range(len(groups))]
+    # the first row of each value, then the extreme value of each group: partial sums both, no group is sorted
+    each = t.frame.groupBy(*groups, v.alias("__v")).agg(F.min_by(rows, F.col(ORD)).alias("__r"))
+    pick = (F.max_by if largest else F.min_by)("__r", F.struct(F.col("__v").isNotNull().alias("n"), F.col("__v").alias("v")))
+    return Table(each.groupBy(*by).agg(pick.alias("r")).select("r.*"))
 
 
 @method

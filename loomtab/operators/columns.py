@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from ..core import ORD, Table, as_table, col, from_rows, method, resolve, resolve_all, unique_names, sorting
 from ..errors import ArgumentError
-from ..functions.expressions import Record, SymbolicRecord, record_column, traced, value_column
-from ..plans.numbering import numbered, with_neighbours
+from ..functions.expressions import Record, context_column, record_column, value_column
+from ..plans.numbering import near, numbered
 from ..plans.shipping import ship
 
 
@@ -102,18 +102,15 @@ def addcolumn(t: Table, field: str, values: Sequence[Any], index: int | None = N
 def addfieldusingcontext(t: Table, field: str, query: Callable[[Any, Any, Any], Any], by: Any = None, recurrent: bool = False, returns: str = "double") -> Table:
     """Adds ``query(previous, current, next)``, within groups of ``by`` where given.
 
-    Where the query reads only input fields it becomes lag and lead. With ``recurrent=True`` the previous row carries the field
+    Where the query is an expression of fields it becomes lag and lead; otherwise it gets records, None where there is no neighbour, and its results are of
+    the type ``returns``. With ``recurrent=True`` the previous row carries the field
     already computed, so rows run in order within each group (all rows are one group without ``by``).
     """
     t = as_table(t).ordered()
     names, keys = t.columns, resolve_all(t, by) if by is not None else []
     if not recurrent:
-        frame, w = (t.frame.withColumn("__own", F.lit(True)), Window.partitionBy(*map(col, keys)).orderBy(ORD)) if keys else with_neighbours(t)
-        near = [SymbolicRecord(t, lambda n: F.lag(col(n)).over(w)), SymbolicRecord(t), SymbolicRecord(t, lambda n: F.lead(col(n)).over(w))]
-        found = traced(query, *near)
-        if found is not None:
-            return Table(frame.withColumn("__found", found).where("__own").select(*map(col, names), F.col("__found").alias(field), ORD))
-        raise ArgumentError("the query is not an expression of fields; pass recurrent=True")
+        frame, found = context_column(t, *near(t, keys), query, returns)
+        return Table(frame.withColumn("__found", found).where("__own").select(*map(col, names), F.col("__found").alias(field), ORD))
     ship(t.frame.sparkSession)
     schema = T.StructType([*t.df.schema.fields, T.StructField(field, T._parse_datatype_string(returns)), t.frame.schema[ORD]])
 

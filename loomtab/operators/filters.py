@@ -6,15 +6,15 @@ import re
 from collections.abc import Callable, Iterable
 from typing import Any
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..core import ORD, Table, as_table, col, method, resolve, resolve_all
 from ..errors import ArgumentError
-from ..functions.expressions import SymbolicRecord, record_column, traced, truthy, value_column
+from ..functions.expressions import context_column, record_column, truthy, value_column
 from ..plans import mixed
-from ..plans.numbering import with_neighbours
+from ..plans.numbering import near
 
 #: Comparisons under which null is the lowest value.
 OPS: dict[str, Callable[[Column, Any], Column]] = {
@@ -164,13 +164,13 @@ def rowlenselect(t: Table, n: int, complement: bool = False) -> Table:
 
 @method
 def selectusingcontext(t: Table, query: Callable[[Any, Any, Any], Any], by: Any = None) -> Table:
-    """Rows for which ``query(previous, current, next)`` is true, within groups of ``by`` where given; all rows are in blocks otherwise."""
+    """Rows for which ``query(previous, current, next)`` is true, within groups of ``by`` where given; large groups are in blocks.
+
+    A query that is no expression of fields gets records, None where there is no neighbour.
+    """
     t = as_table(t).ordered()
-    frame, w = (t.frame.withColumn("__own", F.lit(True)), Window.partitionBy(*map(col, resolve_all(t, by))).orderBy(ORD)) if by is not None else with_neighbours(t)
-    near = [SymbolicRecord(t, lambda n: F.lag(col(n)).over(w)), SymbolicRecord(t), SymbolicRecord(t, lambda n: F.lead(col(n)).over(w))]
-    test = traced(query, *near)
-    if test is None:
-        raise ArgumentError("the query is not an expression of fields")
+    frame, w = near(t, resolve_all(t, by) if by is not None else [])
+    frame, test = context_column(t, frame, w, query, "boolean")
     return Table(frame.withColumn("__keep", test).where("__keep AND __own").select(*map(col, t.columns), ORD))
 
 

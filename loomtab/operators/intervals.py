@@ -1,8 +1,9 @@
 """Interval joins and lookups over half-open intervals.
 
 Two intervals overlap if ``l.start < r.stop`` and ``l.stop > r.start`` (``<=`` and ``>=`` with ``include_stop``). Both sides are
-cut into bins of a width near the mean length, joined on facet and bin, and a pair is kept only in the bin where
-the later of the two begins, so each pair comes once and no cross product is planned.
+cut into bins by classes of length, joined on facet, class and bin, and a pair is kept only in the bin where
+the later of the two begins, so each pair comes once, no cross product is planned, and a few long intervals don't widen the bins of the short ones. Bins that hold
+much of a side are split by adaptive skew handling.
 """
 
 from __future__ import annotations
@@ -12,25 +13,26 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..core import ORD, Table, as_table, col, method, resolve, resolve_all, unique_names
 from ..errors import DuplicateKeyError
-from ..plans.numbering import BLOCK, numbered
+from ..plans.numbering import carried, segments
 from .joins import _sided
 
-BINS_A_ROW = 64
+#: Intervals of a class are up to this many times as long as those of the class below.
+STEP = 4.0
 
 
 def _overlap(ls: Column, le: Column, rs: Column, re: Column, include_stop: bool) -> Column:
     return (ls <= re) & (le >= rs) if include_stop else (ls < re) & (le > rs)
 
 
-def _width(frames: list[tuple[DataFrame, str, str]]) -> float:
-    """A bin width: the longer mean length of the sides, and so that the longest interval takes a bounded number of bins."""
-    found = [df.agg(F.avg(col(e) - col(s)), F.max(col(e) - col(s))).first() for df, s, e in frames]
-    mean = max([float(m or 0) for m, _ in found])
-    longest = max([float(x or 0) for _, x in found])
-    return max(mean, longest / BINS_A_ROW, 1e-9) or 1.0
+def _place(c: Column, to: T.DataType) -> Column:
+    """A point as a number."""
+    if isinstance(to, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    return F.unix_date(c).cast("double") if isinstance(to, T.DateType) else c.cast("double")
 
 
 class _Sides:
@@ -48,18 +50,36 @@ class _Sides:
         self.test = _overlap(F.col(self.ls), F.col(self.le), F.col(self.rs), F.col(self.re), include_stop)
 
     def pairs(self, left: DataFrame | None = None) -> DataFrame:
-        """All overlapping pairs, once each."""
-        left = self.l if left is None else left
-        width = _width([(self.l, self.ls, self.le), (self.r, self.rs, self.re)])
-
-        def binned(df: DataFrame, s: str, e: str, name: str) -> DataFrame:
-            low, high = F.floor(F.col(s) / width), F.floor(F.col(e) / width)
-            return df.where(F.col(s).isNotNull() & F.col(e).isNotNull() & (F.col(e) >= F.col(s))).withColumn(f"{name}0", low).withColumn(name, F.explode(F.sequence(low, high)))
-
-        a, b = binned(left, self.ls, self.le, "__lb"), binned(self.r, self.rs, self.re, "__rb")
-        once = F.col("__lb") == F.greatest("__lb0", "__rb0")
-        on = reduce(lambda x, y: x & y, [*self.on, F.col("__lb") == F.col("__rb"), once, self.test])
-        return a.join(b, on).drop("__lb", "__rb", "__lb0", "__rb0")
+        """All overlapping pairs, once each.
+
+        An interval's class is the smallest whose bins are as long as it, so it lies in two of them at most. A pair meets in the bins of its longer interval's
+        class: each side is there with its own intervals of the class and with the shorter ones, which are binned in the classes that the other side has.
+        """
+        sides = [("l", self.l if left is None else left, self.ls, self.le), ("r", self.r, self.rs, self.re)]
+        valid = {}
+        for n, df, s, e in sides:
+            start, stop = (_place(F.col(c), df.schema[c].dataType) for c in (s, e))
+            valid[n] = df.where(F.col(s).isNotNull() & F.col(e).isNotNull() & (F.col(e) >= F.col(s))).withColumns({f"__{n}_s": start, f"__{n}_e": stop})
+        means = [df.agg(F.avg(F.col(f"__{n}_e") - F.col(f"__{n}_s"))).first()[0] for n, df in valid.items()]
+        width = 2 * max(float(m or 0) for m in means) or 1.0
+
+        def level(n: str) -> Column:
+            ratio = (F.col(f"__{n}_e") - F.col(f"__{n}_s")) / width
+            return F.when(ratio <= 1, 0).otherwise(F.ceil(F.log(ratio) / F.log(F.lit(STEP)))).cast("int")
+
+        valid = {n: df.withColumn(f"__{n}_c", level(n)) for n, df in valid.items()}
+        classes = {n: sorted(r[0] for r in df.select(f"__{n}_c").distinct().collect()) for n, df in valid.items()}  # some dozens: lengths grow by STEP
+
+        def binned(n: str, other: str) -> DataFrame:
+            own = F.col(f"__{n}_c")
+            levels = F.explode(F.array_distinct(F.concat(F.array(own), F.filter(F.array(*map(F.lit, classes[other] or [0])), lambda c: c > own))))
+            at = F.lit(width) * F.pow(F.lit(STEP), F.col(f"__{n}_v"))
+            df = valid[n].withColumn(f"__{n}_v", levels).withColumns({f"__{n}_0": F.floor(F.col(f"__{n}_s") / at), f"__{n}_1": F.floor(F.col(f"__{n}_e") / at)})
+            return df.withColumn(f"__{n}_b", F.explode(F.sequence(f"__{n}_0", f"__{n}_1"))).drop(f"__{n}_1", f"__{n}_s", f"__{n}_e")
+
+        once = (F.col("__l_b") == F.greatest("__l_0", "__r_0")) & (F.col("__l_v") == F.greatest("__l_c", "__r_c"))
+        on = reduce(lambda x, y: x & y, [*self.on, F.col("__l_v") == F.col("__r_v"), F.col("__l_b") == F.col("__r_b"), once, self.test])
+        return binned("l", "r").join(binned("r", "l"), on).drop(*[f"__{n}_{x}" for n in "lr" for x in "v0bc"])
 
     def named(self, df: DataFrame, lprefix: str | None = None, rprefix: str | None = None, missing: Any = None, right: bool = True) -> Table:
         shown = [(f"{lprefix or ''}{c}", F.col(f"__l{i}")) for i, c in enumerate(self.left.columns)]
@@ -78,15 +98,29 @@ def intervaljoin(left: Table, right: Table, lstart: str = "start", lstop: str =
     return s.named(s.pairs(), lprefix, rprefix)
 
 
-def _numbered(s: _Sides) -> DataFrame:
-    return s.l.withColumn("__id", F.struct(F.monotonically_increasing_id(), F.xxhash64(*[F.col(f"__l{i}") for i in range(len(s.left.columns))]))).persist()
+def _identified(s: _Sides) -> DataFrame:
+    """The left side with an id made of each row's content: equal rows share it, and it is the same in every run of a plan."""
+    content = [F.col(c) for c in s.l.columns]
+    return s.l.withColumn("__id", F.struct(F.xxhash64(*content).alias("a"), F.xxhash64(F.lit(1), *content).alias("b")))
+
+
+def _gathered(s: _Sides, found: Column) -> DataFrame:
+    """Left rows, one for equal ones: ``l``, how often each is there, ``n``, and ``found`` of the right rows that each overlaps, once for each copy, sorted."""
+    ids = _identified(s)
+    left = F.struct(*[F.col(c) for c in s.l.columns])
+    rows = ids.select("__id", left.alias("l"), F.lit(None).alias("x")).unionByName(s.pairs(ids).select("__id", F.lit(None).alias("l"), found.alias("x")), allowMissingColumns=True)
+    return rows.groupBy("__id").agg(F.first("l", ignorenulls=True).alias("l"), F.count("l").alias("n"), F.sort_array(F.collect_list("x")).alias("x")).drop("__id")
+
+
+def _copies(df: DataFrame) -> DataFrame:
+    return df.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n")
 
 
 @method
 def intervalleftjoin(left: Table, right: Table, lstart: str = "start", lstop: str = "stop", rstart: str = "start", rstop: str = "stop", lkey: Any = None, rkey: Any = None, include_stop: bool = False, missing: Any = None, lprefix: str | None = None, rprefix: str | None = None) -> Table:
     """As ``intervaljoin``, with the left rows that overlap nothing."""
     s = _Sides(left, right, lstart, lstop, rstart, rstop, lkey, rkey, include_stop)
-    ids = _numbered(s)
+    ids = _identified(s)
     found = s.pairs(ids)
     rest = ids.join(found.select("__id").distinct(), "__id", "left_anti")
     return s.named(found.unionByName(rest, allowMissingColumns=True), lprefix, rprefix, missing)
@@ -96,7 +130,7 @@ def intervalleftjoin(left: Table, right: Table, lstart: str = "start", lstop: st
 def intervalantijoin(left: Table, right: Table, lstart: str = "start", lstop: str = "stop", rstart: str = "start", rstop: str = "stop", lkey: Any = None, rkey: Any = None, include_stop: bool = False) -> Table:
     """Left rows that overlap nothing."""
     s = _Sides(left, right, lstart, lstop, rstart, rstop, lkey, rkey, include_stop)
-    ids = _numbered(s)
+    ids = _identified(s)
     return s.named(ids.join(s.pairs(ids).select("__id").distinct(), "__id", "left_anti"), right=False)
 
 
@@ -104,55 +138,43 @@ def intervalantijoin(left: Table, right: Table, lstart: str = "start", lstop: st
 def intervaljoinvalues(left: Table, right: Table, value: str, lstart: str = "start", lstop: str = "stop", rstart: str = "start", rstop: str = "stop", lkey: Any = None, rkey: Any = None, include_stop: bool = False) -> Table:
     """Left rows with an array of the overlapping right rows' values, empty where there are none."""
     s = _Sides(left, right, lstart, lstop, rstart, rstop, lkey, rkey, include_stop)
-    ids = _numbered(s)
     v = f"__r{s.right.columns.index(resolve(s.right, value))}"
-    lists = s.pairs(ids).groupBy("__id").agg(F.sort_array(F.collect_list(F.struct(s.rs, s.re, v))).alias("__v")).select("__id", F.transform("__v", lambda x: x[v]).alias("__v"))
-    both = ids.join(lists, "__id", "left")
-    empty = F.array().cast(both.schema["__v"].dataType)
-    shown = [F.col(f"__l{i}").alias(c) for i, c in enumerate(s.left.columns)]
-    return Table(both.select(*shown, F.coalesce("__v", empty).alias(unique_names([*s.left.columns, value])[-1]), *([F.col("__lo").alias(ORD)] if "__lo" in both.columns else [])))
+    rows = _copies(_gathered(s, F.struct(F.col(s.rs).alias("s"), F.col(s.re).alias("e"), F.col(v).alias("v"))).withColumn("x", F.transform(F.filter("x", lambda x, i: i % F.col("n") == 0), lambda x: x["v"])))
+    shown = [F.col(f"l.__l{i}").alias(c) for i, c in enumerate(s.left.columns)]
+    return Table(rows.select(*shown, F.col("x").alias(unique_names([*s.left.columns, value])[-1]), *([F.col("l.__lo").alias(ORD)] if "__lo" in s.l.columns else [])))
 
 
 @method
 def collapsedintervals(t: Table, start: str = "start", stop: str = "stop", key: Any = None) -> Table:
-    """Overlapping and touching intervals merged, within each key."""
+    """Overlapping and touching intervals merged, within each key; a key of any size is swept in parts, with the furthest stop of the parts before."""
     t = as_table(t)
     keys, s, e = resolve_all(t, key) if key is not None else [], resolve(t, start), resolve(t, stop)
-    if not keys:
-        return _collapsed(t, s, e)
-    w = Window.partitionBy(*map(col, keys)).orderBy(col(s), col(e))
-    before = F.max(col(e)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = t.df.withColumn("__new", F.when(before.isNull() | (col(s) > before), 1).otherwise(0)).withColumn("__group", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = marked.groupBy(*map(col, keys), "__group").agg(F.min(col(s)).alias(s), F.max(col(e)).alias(e)).drop("__group")
+    frame, by, several = segments(Table(t.df, order=[s, e]), keys)
+    within = Window.partitionBy(*by, "__part").orderBy(ORD)
+    before = F.max(col(e)).over(within.rowsBetween(Window.unboundedPreceding, -1))
+    if several:
+        frame = carried(frame, by, {"__stop": F.max(col(e))}, {"__stop": F.max})
+        before = F.greatest(before, F.col("__stop"))
+    marked = frame.withColumn("__first", F.when(before.isNull() | (col(s) > before), F.col(ORD)))
+    group = F.max("__first").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    if several:
+        marked = carried(marked, by, {"__last": F.max("__first")}, {"__last": F.max})
+        group = F.coalesce(group, F.col("__last"))
+    out = marked.withColumn("__group", group).groupBy(*map(col, keys), "__group").agg(F.min(col(s)).alias(s), F.max(col(e)).alias(e)).drop("__group")
     return Table(out, order=[*keys, s])
 
 
-def _collapsed(t: Table, s: str, e: str) -> Table:
-    """The same over a whole table: within blocks in order of start, with the last stop and the last group of the blocks before."""
-    df = numbered(Table(t.df, order=[s, e]), "__row").frame.withColumn("__block", F.floor(F.col("__row") / BLOCK))
-    here, blocks = Window.partitionBy("__block").orderBy("__row"), Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
-    stops = df.groupBy("__block").agg(F.max(col(e)).alias("__stop"))
-    carried = stops.select("__block", F.max("__stop").over(blocks).alias("__stop"))
-    before = F.greatest(F.max(col(e)).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.col("__stop"))
-    marked = df.join(carried, "__block").withColumn("__first", F.when(before.isNull() | (col(s) > before), F.col("__row")))
-    firsts = marked.groupBy("__block").agg(F.max("__first").alias("__last")).select("__block", F.max("__last").over(blocks).alias("__last"))
-    group = F.coalesce(F.max("__first").over(here.rowsBetween(Window.unboundedPreceding, 0)), F.col("__last"))
-    out = marked.join(firsts, "__block").withColumn("__group", group).groupBy("__group").agg(F.min(col(s)).alias(s), F.max(col(e)).alias(e)).drop("__group")
-    return Table(out, order=[s])
-
-
 @method
 def intervalsubtract(left: Table, right: Table, lstart: str = "start", lstop: str = "stop", rstart: str = "start", rstop: str = "stop", lkey: Any = None, rkey: Any = None, include_stop: bool = False) -> Table:
     """What is left of each left interval outside all right ones, a row per remainder."""
     right = collapsedintervals(right, rstart, rstop, rkey)
     s = _Sides(left, right, lstart, lstop, rstart, rstop, lkey, rkey, include_stop)
-    ids = _numbered(s)
-    holes = s.pairs(ids).groupBy("__id").agg(F.sort_array(F.collect_list(F.struct(F.col(s.rs).alias("s"), F.col(s.re).alias("e")))).alias("__h"))
-    both = ids.join(holes, "__id", "left")
-    begins = F.concat(F.array(F.col(s.ls)), F.coalesce(F.transform("__h", lambda h: h["e"]), F.array().cast(f"array<{both.schema[s.ls].dataType.simpleString()}>")))
-    ends = F.concat(F.coalesce(F.transform("__h", lambda h: h["s"]), F.array().cast(f"array<{both.schema[s.le].dataType.simpleString()}>")), F.array(F.col(s.le)))
-    out = both.withColumn("__p", F.explode(F.arrays_zip(begins.alias("x"), ends.alias("y")))).where("__p.x < __p.y")
-    return s.named(out.withColumn(s.ls, F.col("__p.x")).withColumn(s.le, F.col("__p.y")), right=False)
+    both = _gathered(s, F.struct(F.col(s.rs).alias("s"), F.col(s.re).alias("e"))).withColumn("h", F.array_distinct("x"))
+    begins = F.concat(F.array(F.col(f"l.{s.ls}")), F.transform("h", lambda h: h["e"]))
+    ends = F.concat(F.transform("h", lambda h: h["s"]), F.array(F.col(f"l.{s.le}")))
+    out = both.withColumn("p", F.explode(F.arrays_zip(begins.alias("x"), ends.alias("y")))).where("p.x < p.y")
+    rows = _copies(out).select("p", "l.*").withColumns({s.ls: F.col("p.x"), s.le: F.col("p.y")})
+    return s.named(rows, right=False)
 
 
 class IntervalLookup:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..core import ORD, Table, as_table, col, grouping, method, resolve_all, sorting
-from ..plans.numbering import numbered
+from ..plans.numbering import carried, numbered, segments
 
 
 @method
@@ -85,33 +85,22 @@ def _gap(c: Column, missing: Any) -> Column:
     return c if missing is None else F.nullif(c, F.lit(missing))
 
 
-def _carried(df: DataFrame, fields: list[str], by: list[str], missing: Any) -> list[Column]:
-    w = Window.partitionBy(*map(col, by)).orderBy(ORD).rowsBetween(Window.unboundedPreceding, 0)
-    return [F.coalesce(F.last(_gap(col(c), missing), ignorenulls=True).over(w), col(c)).alias(c) for c in fields]
-
-
 @method
 def filldown(t: Table, *fields: Any, missing: Any = None, by: Any = None) -> Table:
     """Carries the last value down over missing ones, within groups of ``by`` where given.
 
-    Without groups it runs in two passes: within range partitions of the order, and the last values of the partitions before.
+    A group of any size runs in two passes: within its parts, and with the last values of the parts before.
     """
     t = as_table(t).ordered()
     names = resolve_all(t, fields) if fields else t.columns
-    if by is not None:
-        keys = resolve_all(t, by)
-        filled = {c: x for c, x in zip(names, _carried(t.frame, names, keys, missing), strict=True)}
-        return t.keep(*[filled.get(c, col(c)) for c in t.columns])
-    n = numbered(t, "__row")
-    total = F.floor(F.col("__row") / 100_000).alias("__part")
-    df = n.frame.withColumn("__part", total)
-    w = Window.partitionBy("__part").orderBy("__row")
-    lasts = df.groupBy("__part").agg(*[F.max_by(_gap(col(c), missing), F.when(_gap(col(c), missing).isNotNull(), F.col("__row"))).alias(f"__l{i}") for i, c in enumerate(names)])
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per 100,000
-    carried = lasts.select("__part", *[F.last(F.col(f"__l{i}"), ignorenulls=True).over(before).alias(f"__c{i}") for i in range(len(names))])
-    both = df.join(carried, "__part")
-    here = {c: F.coalesce(F.last(_gap(col(c), missing), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col(f"__c{i}"), col(c)).alias(c) for i, c in enumerate(names)}
-    return Table(both.select(*[here.get(c, col(c)) for c in t.columns], ORD))
+    frame, by_, several = segments(t, resolve_all(t, by) if by is not None else [])
+    value = {c: _gap(col(c), missing) for c in names}
+    if several:
+        lasts = {f"__l{i}": F.max_by(value[c], F.when(value[c].isNotNull(), F.col(ORD))) for i, c in enumerate(names)}
+        frame = carried(frame, by_, lasts, dict.fromkeys(lasts, lambda c: F.last(c, ignorenulls=True)))
+    w = Window.partitionBy(*by_, "__part").orderBy(ORD).rowsBetween(Window.unboundedPreceding, 0)
+    here = {c: F.coalesce(F.last(value[c], ignorenulls=True).over(w), *([F.col(f"__l{i}")] if several else []), col(c)).alias(c) for i, c in enumerate(names)}
+    return Table(frame.select(*[here.get(c, col(c)) for c in t.columns], ORD))
 
 
 def _across(t: Any, missing: Any, back: bool) -> Table:

@@ -349,7 +349,6 @@ def test_whole_table_windows_run_in_blocks(monkeypatch):
     """No window without a partition, and the same results whatever the blocks are."""
     import random
 
-    from loomtab.operators import intervals
     from loomtab.plans import numbering
 
     r = random.Random(1)
@@ -363,7 +362,6 @@ def test_whole_table_windows_run_in_blocks(monkeypatch):
     values = [r.randrange(9) for _ in range(60)]
     for block in (1, 7, 100_000):
         monkeypatch.setattr(numbering, "BLOCK", block)
-        monkeypatch.setattr(intervals, "BLOCK", block)
         same(lt.collapsedintervals([("start", "stop"), *ranges]), [("start", "stop"), *map(tuple, merged)], ordered=True)
         t = lt.wrap([("i", "v"), *enumerate(values)])
         same(lt.selectusingcontext(t, lambda p, c, n: c.v > p.v), [("i", "v"), *((i, v) for i, v in enumerate(values) if i and v > values[i - 1])], ordered=True)
@@ -371,4 +369,4 @@ def test_whole_table_windows_run_in_blocks(monkeypatch):
         same(added, [("i", "v", "d"), *((i, v, values[i + 1] - v if i + 1 < 60 else None) for i, v in enumerate(values))], ordered=True)
     plan = lt.collapsedintervals([("start", "stop"), *ranges]).df._jdf.queryExecution().executedPlan().toString()
     assert "Window [" in plan
-    assert "__row" in plan
+    assert "__part" in plan
