@@ -419,6 +419,7 @@ def _local(t: Table, write, read) -> Table:
 NATION = "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation"
 TYPED = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
 query("csv", NATION)(lambda d: _round(d, d.nation, lambda t, p: lt.tocsv(t, p, directory=True), lt.fromcsv))
+query("csv_line_breaks", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, text FROM documents")(lambda d: _round(d, lt.cut(d.documents, "doc_id", "source", "text"), lambda t, p: lt.tocsv(t, p, directory=True), lambda p: lt.fromcsv(p, ragged=True)))
 query("tsv", NATION)(lambda d: _round(d, d.nation, lambda t, p: lt.totsv(t, p, directory=True), lt.fromtsv))
 query("json", TYPED)(lambda d: _round(d, d.nation, lambda t, p: lt.tojson(t, p, directory=True), lambda p: lt.fromjson(p, lines=True)))
 query("xml", NATION)(lambda d: _round(d, d.nation, lambda t, p: lt.toxml(t, p, directory=True, rows="nation"), lambda p: lt.fromxml(p, "nation", {"n_nationkey": "n_nationkey", "n_name": "n_name", "n_regionkey": "n_regionkey"})))

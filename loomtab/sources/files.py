@@ -24,8 +24,12 @@ from ..core import ORD, Table, as_table, col, from_rows, method, session, unique
 from ..errors import ArgumentError
 from ..functions.types import python_name
 from ..plans.shipping import ship
+from .records import lines, read_records
 from .registry import is_stream, read_bytes, source_of, write_bytes
 
+#: Lines in which a header record is looked for.
+HEADER_LINES = 100
+
 
 def _lines_frame(source: Any, encoding: str | None) -> DataFrame:
     """Lines of a path or a source as ``value``."""
@@ -47,8 +51,11 @@ def fromcsv(source: Any = None, encoding: str | None = None, errors: str = "stri
 
     ``header`` names the fields of a file without a header row. ``ragged=True`` keeps the extra values of long rows as fields
     (the width is found over all rows) and leaves absent values of short rows null; otherwise long rows are trimmed and absent values are ``''``.
-    ``multiline=False`` says that no value holds a line break: then large files are split between tasks.
+    Large files are split between tasks, also where values hold line breaks (UTF-8 and no further ``csvargs``; ``multiline=False`` says that no value does).
     """
+    split = not is_stream(source) and source is not None and (encoding or "utf-8").lower().replace("-", "") == "utf8" and not csvargs and len(delimiter) == len(quotechar) == 1
+    if split and (ragged or (multiline and _is_large(source))):
+        return _split_csv(source, header, delimiter, quotechar, ragged)
     if is_stream(source) or source is None or ragged:
         text = read_bytes(source).decode(encoding or "utf-8", errors)
         rows = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, quotechar=quotechar, **csvargs)
@@ -60,6 +67,27 @@ def fromcsv(source: Any = None, encoding: str | None = None, errors: str = "stri
     return Table(df.toDF(*unique_names(df.columns)).na.fill(""))
 
 
+def _is_large(source: Any) -> bool:
+    """Whether any file of a path is more than one split."""
+    spark = session()
+    longest = spark.read.format("binaryFile").load(source).select("length").agg(F.max("length")).first()[0]
+    return (longest or 0) > spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+
+
+def _split_csv(source: Any, header: Sequence[str] | None, delimiter: str, quotechar: str, ragged: bool) -> Table:
+    """Records read in splits, in order; each file's first one is its header if none is given."""
+    df = read_records(source, delimiter, quotechar)
+    names = list(header) if header is not None else None
+    if names is None:
+        first = "\n".join(r.line for r in lines(session(), source).limit(HEADER_LINES).collect())
+        names = next(csv.reader(io.StringIO(first, newline=""), delimiter=delimiter, quotechar=quotechar), [])
+        df = df.where("NOT (start = 0 AND seq = 0)")
+    width = max(len(names), df.agg(F.max(F.size("values"))).first()[0] or 0) if ragged else len(names)
+    names = unique_names([*names, *(f"f{i}" for i in range(len(names), width))])
+    value = (lambda i: F.get("values", F.lit(i))) if ragged else (lambda i: F.coalesce(F.get("values", F.lit(i)), F.lit("")))
+    return Table(df.select(*[value(i).alias(n) for i, n in enumerate(names)], F.struct("file", "start", "seq").alias(ORD)))
+
+
 def fromtsv(source: Any = None, encoding: str | None = None, errors: str = "strict", header: Sequence[str] | None = None, **csvargs: Any) -> Table:
     return fromcsv(source, encoding, errors, header, **{"delimiter": "\t"} | csvargs)
 
