@@ -7,6 +7,7 @@ import sqlite3
 import tempfile
 import uuid
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 import loomtab as lt
 from loomtab import Table
 from loomtab.plans.shipping import ship
+from loomtab.sources import textindex
 from loomtab.streaming.windows import sessions, windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -443,7 +445,7 @@ query("db", "SELECT * FROM nation UNION ALL SELECT * FROM nation WHERE n_nationk
 query("columnar_arrays", TYPED)(lambda d: lt.fromarray(lt.toarray(d.nation)))
 query("dataframe", TYPED)(lambda d: lt.fromdataframe(lt.todataframe(d.nation)))
 query("dicts", TYPED)(lambda d: lt.fromdicts(list(lt.dicts(d.nation))))
-query("textindex", "SELECT doc_id AS doc, CAST(len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) AS BIGINT) AS n FROM documents")(lambda d: _postings(d).groupBy("doc").agg(F.sum("tf").alias("n")))
+query("textindex", "SELECT doc_id AS doc, CAST(len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) AS BIGINT) AS n FROM documents")(lambda d: _postings(d).groupBy("doc").agg(F.sum(F.size("positions")).alias("n")))
 
 
 def _postings(d: Tables) -> DataFrame:
@@ -452,10 +454,10 @@ def _postings(d: Tables) -> DataFrame:
     return postings(d.documents.df, "doc_id", ["text"])
 
 
-def _search(d: Tables) -> DataFrame:
+def _search(d: Tables, query: Any = "worthless idiot", limit: int | None = 20) -> DataFrame:
     path = folder(d)
     lt.totextindex(lt.cut(d.documents, "doc_id", "text"), path, "doc_id", ["text"])
-    return lt.searchtextindex(path, "worthless idiot", 20, score_field="score").df.select("doc_id", F.round("score", 6).alias("score"))
+    return lt.searchtextindex(path, query, limit, score_field="score").df.select("doc_id", F.round("score", 6).alias("score"))
 
 
 query("searchtextindex", """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS w FROM documents),
@@ -463,7 +465,17 @@ l AS (SELECT doc_id, len(w) AS length, w FROM w WHERE len(w) > 0), a AS (SELECT
 h AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, length, unnest(w) AS term FROM l) WHERE term IN ('worthless', 'idiot') GROUP BY ALL),
 f AS (SELECT term, count(*) AS df FROM h GROUP BY term)
 SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
-FROM h JOIN f USING (term), a GROUP BY doc_id ORDER BY sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) DESC, doc_id LIMIT 20""")(_search)
+FROM h JOIN f USING (term), a GROUP BY doc_id ORDER BY sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) DESC, doc_id LIMIT 20""")(lambda d: _search(d))
+query("searchtextindex_phrase", """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, len(w) AS length, w FROM w WHERE len(w) > 0), a AS (SELECT count(*) AS n, avg(length) AS mean FROM l),
+h AS (SELECT doc_id, length, 'of the' AS term, len(list_filter(range(1, length), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS tf FROM l WHERE len(list_filter(range(1, length), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) > 0),
+f AS (SELECT term, count(*) AS df FROM h GROUP BY term)
+SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM h JOIN f USING (term), a GROUP BY doc_id""")(lambda d: _search(d, textindex.Phrase("of the"), None))
+query("searchtextindex_boolean", """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, len(w) AS length, w FROM w WHERE len(w) > 0), a AS (SELECT count(*) AS n, avg(length) AS mean FROM l),
+h AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, length, unnest(w) AS term FROM l) WHERE term = 'and' OR term LIKE 'idio%' GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM h GROUP BY term)
+SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM h JOIN f USING (term), a GROUP BY doc_id HAVING bool_or(term = 'and') AND bool_or(term <> 'and')""")(lambda d: _search(d, textindex.All((textindex.Words("and"), textindex.Prefix("idio"))), None))
 query("randomtable", "SELECT 100 AS n, 5 AS fields")(lambda d: one(d.spark, n=lt.nrows(t := lt.randomtable(5, 100, seed=1)), fields=len(t.columns)))
 query("dummytable", "SELECT 50 AS n, 3 AS fields")(lambda d: one(d.spark, n=lt.nrows(t := lt.dummytable(50, seed=1)), fields=len(t.columns)))
 
