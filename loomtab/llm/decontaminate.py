@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import pieces, small_batches, utf8, written
+from .common import columns, pieces, small_batches, utf8, written
 
 #: Words are runs of digits, letters a-z and all beyond ASCII, after A-Z are lower-cased: fixed by the contract.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -149,7 +149,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     total = benchmark.agg(F.coalesce(F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))), F.lit(0))).first()[0]
     n_blocks = pieces(total, block_words)
     key = {"__k1": F.xxhash64("text"), "__k2": F.xxhash64(F.lit(1), "text")}
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["text"].alias("text"))
+    rows = docs.select(F.struct(*columns(docs)).alias("doc"), docs["text"].alias("text"))
     earlier = []
     for k in range(n_blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).select(F.col("item_id").cast("string").alias("i"), "text")

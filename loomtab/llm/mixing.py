@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import columns, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -77,7 +77,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     n = docs.count()
     digits = max(1, math.ceil(math.log(max(n / max(200, math.isqrt(n)), 1), 16)))
     source = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
-    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("tie"), source.alias("src"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))).cast("binary")).alias("at")).withColumn("bucket", F.substring("at", 1, digits))
+    base = docs.select(F.struct(*columns(docs)).alias("doc"), F.xxhash64(*columns(docs)).alias("tie"), source.alias("src"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))).cast("binary")).alias("at")).withColumn("bucket", F.substring("at", 1, digits))
     totals = written(base.groupBy("src", "bucket").agg(F.sum("size").alias("total")), "mix-totals")
     found = sorted((r.none, r.name, r.size) for r in totals.groupBy("src").agg(F.sum("total").alias("size")).select("src.none", "src.name", "size").collect())
     each = [float(weights[i % len(weights)]) for i in range(len(found))]

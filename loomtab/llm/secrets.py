@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from xxhash import xxh64_intdigest
 
 from .common import small_batches, written
@@ -192,6 +193,25 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([[{"start": s, "kind": k, "end": e} for s, k, e in x] for x in base], span), pa.array(sha), pa.array(runs, run)], ["doc_id", "base", "base_sha256", "runs"])
 
 
+def outermost(run: list[dict], lowest: dict[str, int]) -> list[dict]:
+    """The parts of a run that pass, without those inside another that does: parts lie in each other or apart, so one pass in order of start tells."""
+    out, end = [], -1
+    for r in sorted((r for r in run if r["bin"] >= lowest.get(r["class"], len(EDGES) + 1)), key=lambda r: (r["start"], -r["end"])):
+        if r["end"] > end:
+            out.append(r)
+            end = r["end"]
+    return out
+
+
+def _passed(lowest: dict[str, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            more = [[{"start": r["start"], "kind": 3, "end": r["end"]} for x in runs for r in outermost(x, lowest)] for runs in b["runs"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["base"], b["base_sha256"], pa.array(more, b.schema.field("base").type)], ["doc_id", "base", "base_sha256", "more"])
+
+    return run
+
+
 def scan(docs: DataFrame, rate: float = 0.1) -> DataFrame:
     """``doc_id, base_sha256, found``: every span as (start, kind, end), kind an index of ``KINDS``, in order."""
     small_batches(docs.sparkSession)
@@ -199,15 +219,8 @@ def scan(docs: DataFrame, rate: float = 0.1) -> DataFrame:
     rows = written(docs.select("doc_id", "text").mapInArrow(_scan, columns), "secret-candidates")
     distinct = rows.select(F.explode(F.flatten("runs")).alias("r")).select("r.class", "r.run", "r.bin").distinct()
     lowest = thresholds({(r["class"], r.bin): r["count"] for r in distinct.groupBy("class", "bin").count().collect()}, rate)
-    at_least = F.create_map(*[F.lit(x) for pair in sorted(lowest.items()) for x in pair]) if lowest else F.lit(None).cast("map<string,int>")
-
-    def outermost(run):
-        passed = F.filter(run, lambda r: F.coalesce(r["bin"] >= F.try_element_at(at_least, r["class"]), F.lit(False)))
-        return F.filter(passed, lambda x: ~F.exists(passed, lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])))
-
-    passed = F.flatten(F.transform("runs", outermost))
-    more = F.transform(passed, lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("kind"), r["end"].alias("end")))
-    return rows.select("doc_id", "base_sha256", F.array_sort(F.concat("base", more)).alias("found"))
+    kept = rows.mapInArrow(_passed(lowest), StructType([*rows.drop("runs").schema.fields, StructField("more", rows.schema["base"].dataType)]))
+    return kept.select("doc_id", "base_sha256", F.array_sort(F.concat("base", "more")).alias("found"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:

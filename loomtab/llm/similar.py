@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, released, small_batches, utf8, written
+from .common import LOWER, columns, free, released, small_batches, utf8, written
 from .components import connected
 from .simhash import shingle_hashes
 
@@ -364,9 +364,9 @@ def first_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Da
 
     Rows are told apart by 128 bits of hash over all columns and their nulls, not by ``doc_id``; rows that are equal throughout are one.
     """
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    values = [x for c in names for x in (c.isNull(), c)]
-    hashed = {"__k1": F.xxhash64(*values), "__k2": F.xxhash64(F.lit(1), *values)}
+    values = [x for c in columns(docs) for x in (c.isNull(), c)]
+    key = free(docs, "__k")
+    hashed = {f"{key}1": F.xxhash64(*values), f"{key}2": F.xxhash64(F.lit(1), *values)}
     order = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), **hashed}
     found = written(similar(docs.select("text", *[c.alias(k) for k, c in order.items()]), list(order), shingle, similarity), "similar-found")
     chosen = written(found.groupBy("label").agg(F.min(F.struct(*order)).alias("first")).select(*[f"first.{k}" for k in hashed]), "first-rows")

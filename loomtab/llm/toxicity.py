@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import small_batches, utf8, written
+from .common import columns, small_batches, utf8, written
 from .decontaminate import WORD_BYTES
 
 SAMPLE, PRIOR, DRIFT = 20_000, 1.0, 0.05
@@ -209,7 +209,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` in ``doc`` (all columns), with ``score`` and ``passages`` (start, end, score of the significant ones)."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["text"].alias("text"))
+    rows = docs.select(F.struct(*columns(docs)).alias("doc"), docs["text"].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
