@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import loomtab as lt
@@ -129,8 +129,8 @@ query("selectnone", f"SELECT event_id FROM {SOME_NULLS} WHERE v IS NULL")(lambda
 query("selectnotnone", f"SELECT event_id FROM {SOME_NULLS} WHERE v IS NOT NULL")(lambda d: lt.cut(lt.selectnotnone(some_nulls(d), "v"), 0))
 query("rowlenselect", f"SELECT event_id FROM {SOME_NULLS} WHERE v IS NOT NULL")(lambda d: lt.cut(lt.rowlenselect(lt.cut(some_nulls(d), 0, 1), 2), 0))
 query("selectusingcontext", "SELECT event_id FROM (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE value > p")(lambda d: lt.cut(lt.selectusingcontext(d.events, lambda p, c, n: c.value > p.value, by="user_id"), 0))
-query("facet", "SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey IN (1, 3)")(
-    lambda d: lt.cat(*[lt.cut(lt.join(t, d.region, lkey="n_regionkey", rkey="r_regionkey"), "r_name", "n_name") for k, t in lt.facet(d.nation, "n_regionkey").items() if k in (1, 3)])
+query("facet", "SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey")(
+    lambda d: lt.cat(*[lt.cut(lt.join(t, d.region, lkey="n_regionkey", rkey="r_regionkey"), "r_name", "n_name") for t in lt.facet(d.nation, "n_regionkey").values()])
 )
 query("biselect", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'yes' ELSE 'no' END AS side FROM orders")(lambda d: lt.cat(*[lt.cut(lt.addfield(t, "side", s), "o_orderkey", "side") for t, s in zip(lt.biselect(d.orders, lambda r: r.o_totalprice > 100000), ("yes", "no"), strict=True)]))
 query("skipcomments", "SELECT r_name FROM region WHERE NOT starts_with(r_name, 'A')")(lambda d: lt.skipcomments(lt.cut(d.region, "r_name"), "A"))
@@ -158,8 +158,15 @@ for _prefix in ("", "hash"):
     query(f"{_prefix}lookupjoin", f"SELECT c.k, c.c_name, o.o_orderkey FROM {C} c LEFT JOIN (SELECT k, min(o_orderkey) AS o_orderkey FROM {O} GROUP BY k) o ON c.k = o.k")(lambda d, f=getattr(lt, f"{_prefix}lookupjoin"): f(customers(d), orders_of(d), key="k"))
 query("outerjoin", f"SELECT {COLS} FROM {C} c FULL JOIN {O} o ON c.k = o.k")(lambda d: lt.outerjoin(customers(d), orders_of(d), key="k"))
 query("leftjoin_missing", f"SELECT c.k, c.c_name, coalesce(o.o_orderkey, -1) AS o_orderkey FROM {C} c LEFT JOIN {O} o ON c.k = o.k")(lambda d: lt.leftjoin(customers(d), orders_of(d), missing=-1))
-query("join_nulls", f"SELECT a.event_id, b.event_id AS other FROM {SOME_NULLS} a JOIN {SOME_NULLS} b ON a.v IS NOT DISTINCT FROM b.v WHERE a.event_id < 60 AND b.event_id < 60")(
-    lambda d: lt.cut(lt.join(lt.selectlt(some_nulls(d), "event_id", 60), lt.cut(lt.rename(lt.selectlt(some_nulls(d), "event_id", 60), "event_id", "other"), "other", "v"), key="v"), "event_id", "other")
+
+def _firsts(d: Tables) -> Table:
+    """The first three events of each value, null too."""
+    t = some_nulls(d)
+    return Table(t.frame.withColumn("__i", F.row_number().over(Window.partitionBy("v").orderBy("event_id"))).where("__i <= 3").drop("__i"))
+
+
+query("join_nulls", f"SELECT a.event_id, count(*) AS n, CAST(sum(b.event_id) AS BIGINT) AS others FROM {SOME_NULLS} a JOIN (SELECT v, event_id FROM {SOME_NULLS} QUALIFY row_number() OVER (PARTITION BY v ORDER BY event_id) <= 3) b ON a.v IS NOT DISTINCT FROM b.v GROUP BY 1")(
+    lambda d: lt.aggregate(lt.join(lt.cut(some_nulls(d), "event_id", "v"), lt.cut(lt.rename(_firsts(d), "event_id", "other"), "other", "v"), key="v"), "event_id", {"n": len, "others": ("other", sum)})
 )
 query("crossjoin", "SELECT n_name, r_name FROM nation, region")(lambda d: lt.crossjoin(lt.cut(d.nation, "n_name"), lt.cut(d.region, "r_name")))
 query("unjoin", "SELECT row_number() OVER (ORDER BY o_orderpriority) AS id, o_orderpriority FROM (SELECT DISTINCT o_orderpriority FROM orders)")(lambda d: lt.unjoin(d.orders, "o_orderpriority")[1])
@@ -420,8 +427,31 @@ def _local(t: Table, write, read) -> Table:
 
 NATION = "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation"
 TYPED = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+ORDERS_TEXT = "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority FROM orders"
+
+
+def _teed(d: Tables, tee, read) -> Table:
+    """What a tee wrote, and what it passed on."""
+    path = folder(d)
+    passed = tee(lt.cut(d.orders, "o_orderkey", "o_orderpriority"), path, directory=True)
+    return lt.cat(read(path), lt.convert(passed, "o_orderkey", str))
+
+
 query("csv", NATION)(lambda d: _round(d, d.nation, lambda t, p: lt.tocsv(t, p, directory=True), lt.fromcsv))
 query("csv_line_breaks", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, text FROM documents")(lambda d: _round(d, lt.cut(d.documents, "doc_id", "source", "text"), lambda t, p: lt.tocsv(t, p, directory=True), lambda p: lt.fromcsv(p, ragged=True)))
+query("appendcsv", f"{ORDERS_TEXT} UNION ALL {ORDERS_TEXT}")(lambda d: _round(d, lt.cut(d.orders, "o_orderkey", "o_orderpriority"), lambda t, p: (lt.tocsv(t, p, directory=True), lt.appendcsv(t, p, write_header=True, directory=True)), lt.fromcsv))
+query("appendtsv", f"{ORDERS_TEXT} UNION ALL {ORDERS_TEXT}")(lambda d: _round(d, lt.cut(d.orders, "o_orderkey", "o_orderpriority"), lambda t, p: (lt.totsv(t, p, directory=True), lt.appendtsv(t, p, write_header=True, directory=True)), lt.fromtsv))
+query("teecsv", f"{ORDERS_TEXT} UNION ALL {ORDERS_TEXT}")(lambda d: _teed(d, lt.teecsv, lt.fromcsv))
+query("teetsv", f"{ORDERS_TEXT} UNION ALL {ORDERS_TEXT}")(lambda d: _teed(d, lt.teetsv, lt.fromtsv))
+query("intervallookupone", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)")(lambda d: one(d.spark, id=lt.intervallookupone(Table(d.orders.df.selectExpr("o_orderkey AS id", "o_orderkey AS a", "o_orderkey + 1 AS b")), "a", "b", "id").search(d.orders.df.agg(F.max("o_orderkey")).first()[0])))
+query("intervalrecordlookup", f"SELECT count(*) AS n, CAST(sum(id + a) AS BIGINT) AS total FROM {IL} WHERE a < 600 AND b > 500")(lambda d: one(d.spark, n=len(x := lt.intervalrecordlookup(left_intervals(d), "a", "b").search(500, 600)), total=sum(r["id"] + r["a"] for r in x)))
+query("facetintervalrecordlookup", f"SELECT count(*) AS n, CAST(sum(id) AS BIGINT) AS total FROM {IL} WHERE g = 3 AND a < 9000 AND b > 500")(lambda d: one(d.spark, n=len(x := lt.facetintervalrecordlookup(left_intervals(d), "g", "a", "b")[3].search(500, 9000)), total=sum(r["id"] for r in x)))
+query("timeparser", "SELECT event_id, date_part('hour', ts) * 60 + date_part('minute', ts) AS m FROM events")(lambda d: Table(lt.convert(Table(d.events.df.selectExpr("event_id", "date_format(ts, 'HH:mm') AS t")), "t", lt.timeparser("%H:%M")).df.selectExpr("event_id", "CAST(hour(t) * 60 + minute(t) AS BIGINT) AS m")))
+query("expr", "SELECT o_orderkey, o_totalprice * 2 + o_custkey AS x FROM orders")(lambda d: lt.cut(lt.addfield(d.orders, "x", lt.expr("{o_totalprice} * 2 + {o_custkey}")(d.orders)), "o_orderkey", "x"))
+query("parsecounter", "SELECT count(TRY_CAST(p_type AS BIGINT)) AS ints, count(*) FILTER (WHERE TRY_CAST(p_type AS BIGINT) IS NULL) AS errors FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE CAST(p_size AS VARCHAR) END AS p_type FROM part)")(
+    lambda d: one(d.spark, ints=(x := lt.parsecounter(Table(d.part.df.selectExpr("CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE CAST(p_size AS STRING) END AS p_type")), "p_type"))[0]["int"], errors=x[1]["int"])
+)
+query("stringpatterncounter", "SELECT count(DISTINCT regexp_replace(regexp_replace(regexp_replace(p_brand, '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g')) AS patterns, count(*) AS n FROM part")(lambda d: one(d.spark, patterns=len(x := lt.stringpatterncounter(d.part, "p_brand")), n=sum(x.values())))
 query("tsv", NATION)(lambda d: _round(d, d.nation, lambda t, p: lt.totsv(t, p, directory=True), lt.fromtsv))
 query("json", TYPED)(lambda d: _round(d, d.nation, lambda t, p: lt.tojson(t, p, directory=True), lambda p: lt.fromjson(p, lines=True)))
 query("xml", NATION)(lambda d: _round(d, d.nation, lambda t, p: lt.toxml(t, p, directory=True, rows="nation"), lambda p: lt.fromxml(p, "nation", {"n_nationkey": "n_nationkey", "n_name": "n_name", "n_regionkey": "n_regionkey"})))

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentError
+from ..core import session
 from .expressions import Symbol, _column
 
 #: strptime directives and Spark's pattern letters, fixed values.
@@ -53,6 +54,8 @@ def dateparser(fmt: str, strict: bool = True) -> Parser:
 
 
 def timeparser(fmt: str, strict: bool = True) -> Parser:
+    """Times of day; sessions have to be told that they may have columns of them."""
+    session().conf.set("spark.sql.timeType.enabled", True)
     return Parser(lambda c: F.try_to_time(F.trim(c), F.lit(spark_pattern(fmt))), strict)
 
 
