@@ -27,12 +27,13 @@ from .operators.setops import cat, complement, conflicts, diff, distinct, duplic
 from .operators.show import clock, display, displayall, log_progress, look, lookall, lookallstr, lookstr, progress, see
 from .operators.sorts import filldown, fillleft, fillright, head, issorted, mergesort, rowgroupby, rowslice, sort, tail
 from .operators.validate import validate
+from .sources.avro import appendavro, fromavro, toavro
 from .sources.arrays import dummytable, empty, fromarray, fromcolumns, fromdataframe, randomtable, toarray, todataframe, torecarray, valuestoarray, wrap
 from .sources.databases import appenddb, create_table, drop_table, fromdb, make_create_table_statement, make_sqlalchemy_column, make_sqlalchemy_table, todb
 from .sources.files import (
     appendbcolz, appendcsv, appendpickle, appendtext, appendtsv, frombcolz, fromcsv, fromdicts, fromjson, fromorc, fromparquet, frompickle, fromtext, fromtsv, fromxml, teecsv, teehtml, teepickle, teetext, teetsv, tobcolz, tocsv, tohtml, tojson, tojsonarrays, toorc, toparquet, topickle, totext, totsv, toxml,
 )
-from .sources.optional import appendavro, appendgsheet, appendhdf5, appendxlsx, fromavro, fromgsheet, fromhdf5, fromhdf5sorted, fromxls, fromxlsx, toavro, togsheet, tohdf5, toxls, toxlsx
+from .sources.optional import appendgsheet, appendhdf5, appendxlsx, fromgsheet, fromhdf5, fromhdf5sorted, fromxls, fromxlsx, togsheet, tohdf5, toxls, toxlsx
 from .sources.registry import (
     BZ2Source, CompressedSource, FileSource, GzipSource, MemorySource, PopenSource, RemoteSource, SMBSource, StdinSource, StdoutSource, StringSource, URLSource, ZipSource, get_reader, get_writer, register_codec, register_reader, register_writer,
 )

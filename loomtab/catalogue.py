@@ -455,6 +455,11 @@ query("stringpatterncounter", "SELECT count(DISTINCT regexp_replace(regexp_repla
 query("tsv", NATION)(lambda d: _round(d, d.nation, lambda t, p: lt.totsv(t, p, directory=True), lt.fromtsv))
 query("json", TYPED)(lambda d: _round(d, d.nation, lambda t, p: lt.tojson(t, p, directory=True), lambda p: lt.fromjson(p, lines=True)))
 query("xml", NATION)(lambda d: _round(d, d.nation, lambda t, p: lt.toxml(t, p, directory=True, rows="nation"), lambda p: lt.fromxml(p, "nation", {"n_nationkey": "n_nationkey", "n_name": "n_name", "n_regionkey": "n_regionkey"})))
+query("avro", "SELECT l_orderkey, l_linenumber, l_extendedprice, l_returnflag, l_shipdate FROM lineitem")(lambda d: _round(d, lt.cut(d.lineitem, "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate"), lambda t, p: lt.toavro(t, p, directory=True), lt.fromavro))
+query("avro_nested", "SELECT vec_id, embedding, label FROM embeddings")(lambda d: _round(d, d.embeddings, lambda t, p: lt.toavro(t, p, codec="zstandard", directory=True), lt.fromavro))
+query("appendavro", "SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders UNION ALL SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders")(
+    lambda d: _round(d, lt.cut(d.orders, "o_orderkey", "o_orderpriority", "o_orderdate"), lambda t, p: (lt.toavro(t, p, directory=True), lt.appendavro(t, p, directory=True)), lt.fromavro)
+)
 query("parquet", TYPED)(lambda d: _round(d, d.nation, lt.toparquet, lt.fromparquet))
 query("orc", TYPED)(lambda d: _round(d, d.nation, lt.toorc, lt.fromorc))
 query("bcolz", "SELECT n_name FROM nation WHERE n_regionkey = 2")(lambda d: _round(d, d.nation, lt.tobcolz, lambda p: lt.frombcolz(p, "n_regionkey = 2", ["n_name"])))

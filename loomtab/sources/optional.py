@@ -11,8 +11,6 @@ from typing import Any
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
-from pyspark.errors import AnalysisException
-
 from ..core import Table, as_table, from_rows, method, session
 from ..errors import ArgumentError, Unavailable
 from .files import _in_order
@@ -26,38 +24,6 @@ def _library(name: str) -> Any:
         raise Unavailable(name) from e
 
 
-# --- Avro: Spark's own package --------------------------------------------------------------------------------------
-
-
-def _avro_there() -> None:
-    try:
-        session().read.format("avro").schema("x int").load([])
-    except AnalysisException as e:
-        raise Unavailable("spark-avro") from e
-
-
-def fromavro(source: str, limit: int | None = None, skips: int = 0) -> Table:
-    """Avro files, through the spark-avro package."""
-    _avro_there()
-    df = session().read.format("avro").load(source)
-    df = df.offset(skips) if skips else df
-    return Table(df.limit(limit) if limit is not None else df)
-
-
-@method
-def toavro(t: Table, target: str, schema: str | None = None, codec: str = "deflate") -> None:
-    _avro_there()
-    out = as_table(t).df.write.mode("overwrite").format("avro").option("compression", codec)
-    (out.option("avroSchema", schema) if schema else out).save(target)
-
-
-@method
-def appendavro(t: Table, target: str, schema: str | None = None) -> None:
-    _avro_there()
-    out = as_table(t).df.write.mode("append").format("avro")
-    (out.option("avroSchema", schema) if schema else out).save(target)
-
-
 # --- XLSX: zip and XML, without a library ---------------------------------------------------------------------------
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "p": "http://schemas.openxmlformats.org/package/2006/relationships"}
