@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..core import ORD, Table, as_table, col, from_rows, method, resolve, resolve_all, unique_names, sorting
+from ..core import ORD, Table, as_table, col, fitted, from_rows, grouping, method, resolve, resolve_all, unique_names, sorting
 from ..errors import ArgumentError
 from ..functions.expressions import Record, context_column, record_column, value_column
 from ..plans.numbering import near, numbered
@@ -99,35 +101,64 @@ def addcolumn(t: Table, field: str, values: Sequence[Any], index: int | None = N
 
 
 @method
-def addfieldusingcontext(t: Table, field: str, query: Callable[[Any, Any, Any], Any], by: Any = None, recurrent: bool = False, returns: str = "double") -> Table:
+def addfieldusingcontext(t: Table, field: str, query: Callable[[Any, Any, Any], Any], by: Any = None, recurrent: bool = False, returns: str = "double", ahead: bool = True) -> Table:
     """Adds ``query(previous, current, next)``, within groups of ``by`` where given.
 
     Where the query is an expression of fields it becomes lag and lead; otherwise it gets records, None where there is no neighbour, and its results are of
     the type ``returns``. With ``recurrent=True`` the previous row carries the field
     already computed, so rows run in order within each group (all rows are one group without ``by``).
+    A stream needs ``by``; a key's last row waits there for its successor, unless ``ahead=False`` says that the query doesn't look at the next row.
     """
-    t = as_table(t).ordered()
+    t = as_table(t)
     names, keys = t.columns, resolve_all(t, by) if by is not None else []
+    if t.frame.isStreaming:
+        from ..streaming.stateful import with_context
+
+        return with_context(t, keys, query, field, returns, recurrent, ahead)
+    t = t.ordered()
     if not recurrent:
         frame, found = context_column(t, *near(t, keys), query, returns)
         return Table(frame.withColumn("__found", found).where("__own").select(*map(col, names), F.col("__found").alias(field), ORD))
     ship(t.frame.sparkSession)
-    schema = T.StructType([*t.df.schema.fields, T.StructField(field, T._parse_datatype_string(returns)), t.frame.schema[ORD]])
-
-    def run(pdf):
-        pdf = pdf.sort_values("__seq", kind="stable")
-        rows = list(pdf[names].itertuples(index=False, name=None))
-        before, out = None, []
-        for k, r in enumerate(rows):
-            following = Record(rows[k + 1], tuple(names)) if k + 1 < len(rows) else None
-            value = query(before, Record(r, tuple(names)), following)
-            out.append(value)
-            before = Record((*r, value), (*names, field))
-        pdf[field] = out
-        return pdf[[f.name for f in schema.fields]]
-
-    seq = F.row_number().over(Window.partitionBy(*map(col, keys) if keys else [F.lit(0)]).orderBy(ORD))
-    return Table(t.frame.withColumn("__seq", seq).groupBy(*map(col, keys)).applyInPandas(run, schema))
+    to = T._parse_datatype_string(returns)
+    schema = T.StructType([*t.df.schema.fields, T.StructField(field, to), t.frame.schema[ORD]])
+    placed = t.frame.select(*map(col, names), ORD, F.struct(*[k.alias(f"k{i}") for i, k in enumerate(grouping(t, keys))]).alias("__key")) if keys else t.frame.select(*map(col, names), ORD, F.lit(0).alias("__key"))
+    placed = placed.repartition("__key") if keys else placed.repartition(1)
+    return Table(placed.sortWithinPartitions("__key", ORD).mapInArrow(_recurring(query, tuple(names), field, to, to_arrow_schema(schema)), schema))
+
+
+def _recurring(query: Callable, names: tuple[str, ...], field: str, to: T.DataType, kinds: pa.Schema):
+    """Rows sorted by key and order, a batch at a time: the last row's record is carried on, and a batch waits until the row after it is there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, before = None, None
+
+        def found(b: pa.RecordBatch, following: pa.RecordBatch | None) -> pa.RecordBatch:
+            nonlocal key, before
+            rows = list(zip(*(c.to_pylist() for c in b.columns[: len(names)]), strict=True))
+            ids = [*map(repr, b.column(len(names) + 1).to_pylist()), None]
+            if following is not None:
+                rows.append(tuple(c[0].as_py() for c in following.columns[: len(names)]))
+                ids[-1] = repr(following.column(len(names) + 1)[0].as_py())
+            out = []
+            for k in range(b.num_rows):
+                if ids[k] != key:
+                    key, before = ids[k], None
+                value = fitted(query(before, Record(rows[k], names), Record(rows[k + 1], names) if ids[k + 1] == key else None), to)
+                before = Record((*rows[k], value), (*names, field))
+                out.append(value)
+            return pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(out, kinds.field(len(names)).type), b.column(len(names))], schema=kinds)
+
+        waiting = None
+        for b in batches:
+            if b.num_rows:
+                if waiting is not None:
+                    yield found(waiting, b)
+                waiting = b
+        if waiting is not None:
+            yield found(waiting, None)
+
+    return run
 
 
 # --- headers --------------------------------------------------------------------------------------------------------

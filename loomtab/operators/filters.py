@@ -163,12 +163,17 @@ def rowlenselect(t: Table, n: int, complement: bool = False) -> Table:
 
 
 @method
-def selectusingcontext(t: Table, query: Callable[[Any, Any, Any], Any], by: Any = None) -> Table:
+def selectusingcontext(t: Table, query: Callable[[Any, Any, Any], Any], by: Any = None, ahead: bool = True) -> Table:
     """Rows for which ``query(previous, current, next)`` is true, within groups of ``by`` where given; large groups are in blocks.
 
-    A query that is no expression of fields gets records, None where there is no neighbour.
+    A query that is no expression of fields gets records, None where there is no neighbour. A stream needs ``by``; see ``addfieldusingcontext`` for ``ahead``.
     """
-    t = as_table(t).ordered()
+    t = as_table(t)
+    if t.frame.isStreaming:
+        from ..streaming.stateful import with_context
+
+        return with_context(t, resolve_all(t, by) if by is not None else [], query, None, "boolean", ahead=ahead)
+    t = t.ordered()
     frame, w = near(t, resolve_all(t, by) if by is not None else [])
     frame, test = context_column(t, frame, w, query, "boolean")
     return Table(frame.withColumn("__keep", test).where("__keep AND __own").select(*map(col, t.columns), ORD))

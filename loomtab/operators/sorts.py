@@ -89,10 +89,15 @@ def _gap(c: Column, missing: Any) -> Column:
 def filldown(t: Table, *fields: Any, missing: Any = None, by: Any = None) -> Table:
     """Carries the last value down over missing ones, within groups of ``by`` where given.
 
-    A group of any size runs in two passes: within its parts, and with the last values of the parts before.
+    A group of any size runs in two passes: within its parts, and with the last values of the parts before. A stream needs ``by`` (or ``streaming.stateful.running``).
     """
-    t = as_table(t).ordered()
+    t = as_table(t)
     names = resolve_all(t, fields) if fields else t.columns
+    if t.frame.isStreaming:
+        from ..streaming.stateful import filled
+
+        return filled(t, names, missing, resolve_all(t, by) if by is not None else [])
+    t = t.ordered()
     frame, by_, several = segments(t, resolve_all(t, by) if by is not None else [])
     value = {c: _gap(col(c), missing) for c in names}
     if several:

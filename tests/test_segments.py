@@ -158,3 +158,22 @@ def test_dates_and_times_as_intervals():
     assert len(rows(lt.intervaljoin(left, right))) == 2
     days = [("start", "stop"), (dt.date(2020, 1, 1), dt.date(2020, 1, 3))]
     assert len(rows(lt.intervaljoin(days, days))) == 1
+
+
+def test_recurrent_context_in_batches_keeps_integers_and_neighbours(spark):
+    rows = [(i, i % 3 if i % 7 else None, (1 << 60) + i if i % 4 else None) for i in range(500)]
+    t = Table(spark.createDataFrame(rows, "id long, k int, n long"), "id")
+    query = lambda p, c, n: (p["x"] if p else 0) + (n["id"] if n else 1000) + (0 if c["n"] is None else c["n"] - (1 << 60))
+    for by in (None, "k"):
+        expected = []
+        for k in {r[1] for r in rows} if by else (0,):
+            mine, x = [r for r in rows if by is None or r[1] == k], 0
+            for i, r in enumerate(mine):
+                x += (mine[i + 1][0] if i + 1 < len(mine) else 1000) + (0 if r[2] is None else r[2] - (1 << 60))
+                expected.append((*r, x))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        try:
+            got = lt.addfieldusingcontext(t, "x", query, by=by, recurrent=True, returns="long").df.collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted(map(tuple, got), key=lambda r: r[0]) == sorted(expected)
