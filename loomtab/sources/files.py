@@ -24,6 +24,7 @@ from ..core import ORD, Table, as_table, col, from_rows, method, session, unique
 from ..errors import ArgumentError
 from ..functions.types import python_name
 from ..plans.shipping import ship
+from ..plans.stored import stored
 from .records import lines, read_records
 from .registry import is_stream, read_bytes, source_of, write_bytes
 
@@ -146,10 +147,8 @@ def appendtsv(t: Table, source: Any = None, encoding: str | None = None, errors:
 
 
 def _tee(write: Any, t: Any, *args: Any, **kwargs: Any) -> Table:
-    """Writes a table and passes it on, computed once."""
-    from ..operators.lookups import cache
-
-    t = cache(t)
+    """Writes a table and passes it on: computed once, in the folder that executors share, so that both have the same rows whatever executors are lost."""
+    t = Table(stored(as_table(t).frame))
     write(t, *args, **kwargs)
     return t
 
