@@ -16,6 +16,7 @@ import loomtab as lt
 from loomtab import Table
 from loomtab.plans.shipping import ship
 from loomtab.sources import textindex
+from loomtab.streaming.stateful import running
 from loomtab.streaming.windows import sessions, windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -521,6 +522,35 @@ query("sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, i""")(lambda d: lt.cut(sessions(d.events, "ts", "30 minutes", {"n": F.count(F.lit(1))}, key="user_id"), "user_id", "start", "n"))
 
 
+def _event_stream(d: Tables) -> Table:
+    """The events' file as a stream, with gaps."""
+    found = d.spark.readStream.schema(d.events.df.schema).option("pathGlobFilter", "events.parquet").parquet(d.folder)
+    return Table(found.selectExpr("event_id", "event_type", "CASE WHEN event_id % 3 = 0 THEN user_id END AS u"), "event_id")
+
+
+def _streamed(d: Tables, of: Callable[[Table], Table]) -> DataFrame:
+    """What a stream's query wrote."""
+    path = folder(d)
+    written = of(_event_stream(d)).df.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+    written.trigger(availableNow=True).start().awaitTermination()
+    return d.spark.read.parquet(f"{path}/out")
+
+
+def _running(d: Tables, operator: str, *args: Any) -> DataFrame:
+    path = folder(d)
+    running(_event_stream(d), operator, f"{path}/out", f"{path}/state", *args, available_now=True).awaitTermination()
+    return d.spark.read.parquet(f"{path}/out").drop("batch")
+
+
+STREAM = "SELECT event_id, event_type, CASE WHEN event_id % 3 = 0 THEN user_id END AS u FROM events"
+query("filldown_stream", f"SELECT event_id, event_type, last_value(u IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id) AS u FROM ({STREAM})")(lambda d: _streamed(d, lambda t: lt.filldown(t, "u", by="event_type")))
+query("context_stream", f"SELECT *, event_id - coalesce(lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id), 0) AS gap FROM ({STREAM})")(
+    lambda d: _streamed(d, lambda t: lt.addfieldusingcontext(t, "gap", lambda p, c, n: c["event_id"] - (p["event_id"] if p else 0), by="event_type", returns="long", ahead=False))
+)
+query("filldown_stream_global", f"SELECT event_id, event_type, last_value(u IGNORE NULLS) OVER (ORDER BY event_id) AS u FROM ({STREAM})")(lambda d: _running(d, "filldown", "u"))
+query("addrownumbers_stream", f"SELECT row_number() OVER (ORDER BY event_id) AS row, * FROM ({STREAM})")(lambda d: _running(d, "addrownumbers"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
