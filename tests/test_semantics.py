@@ -264,7 +264,7 @@ def test_other_files(tmp_path):
     lt.tohtml(t, m := lt.MemorySource(), caption="c")
     assert b"x&lt;y" in m.getvalue()
     with pytest.raises(lt.Unavailable):
-        lt.fromavro(str(tmp_path / "x.avro"))
+        lt.fromxls(str(tmp_path / "x.xls"))
     same(lt.teecsv(t, str(tmp_path / "tee.csv")), [("a", "b"), (1, "x<y"), (2, None)])
 
 
