@@ -49,10 +49,11 @@ class _Sides:
         self.on = [F.col(at(self.left, a, "l")).eqNullSafe(F.col(at(self.right, b, "r"))) for a, b in zip(self.lk, self.rk, strict=True)]
         self.test = _overlap(F.col(self.ls), F.col(self.le), F.col(self.rs), F.col(self.re), include_stop)
 
-    def pairs(self, left: DataFrame | None = None) -> DataFrame:
-        """All overlapping pairs, once each.
+    def bins(self, left: DataFrame | None = None) -> list[DataFrame]:
+        """Both sides' intervals in classes of length, ``__l_v`` and ``__r_v``, and in bins of these, ``__l_b`` and ``__r_b``.
 
-        An interval's class is the smallest whose bins are as long as it, so it lies in two of them at most. A pair meets in the bins of its longer interval's
+        Lengths of the lowest class are up to twice a side's median, which long intervals don't move; its bins are as long. A higher class has bins a ``STEP``-th as long as its longest interval,
+        so that what meets there and doesn't overlap is about as much as what does, at most. A pair meets in the bins of its longer interval's
         class: each side is there with its own intervals of the class and with the shorter ones, which are binned in the classes that the other side has.
         """
         sides = [("l", self.l if left is None else left, self.ls, self.le), ("r", self.r, self.rs, self.re)]
@@ -60,8 +61,9 @@ class _Sides:
         for n, df, s, e in sides:
             start, stop = (_place(F.col(c), df.schema[c].dataType) for c in (s, e))
             valid[n] = df.where(F.col(s).isNotNull() & F.col(e).isNotNull() & (F.col(e) >= F.col(s))).withColumns({f"__{n}_s": start, f"__{n}_e": stop})
-        means = [df.agg(F.avg(F.col(f"__{n}_e") - F.col(f"__{n}_s"))).first()[0] for n, df in valid.items()]
-        width = 2 * max(float(m or 0) for m in means) or 1.0
+        lengths = [F.col(f"__{n}_e") - F.col(f"__{n}_s") for n in valid]
+        found = [df.agg(F.percentile_approx(x, 0.5), F.avg(x)).first() for x, df in zip(lengths, valid.values(), strict=True)]
+        width = 2 * max(float(min(middle or mean, mean) if mean else 0) for middle, mean in found) or 1.0
 
         def level(n: str) -> Column:
             ratio = (F.col(f"__{n}_e") - F.col(f"__{n}_s")) / width
@@ -73,13 +75,19 @@ class _Sides:
         def binned(n: str, other: str) -> DataFrame:
             own = F.col(f"__{n}_c")
             levels = F.explode(F.array_distinct(F.concat(F.array(own), F.filter(F.array(*map(F.lit, classes[other] or [0])), lambda c: c > own))))
-            at = F.lit(width) * F.pow(F.lit(STEP), F.col(f"__{n}_v"))
+            at = F.lit(width) * F.pow(F.lit(STEP), F.greatest(F.col(f"__{n}_v") - 1, F.lit(0)))
             df = valid[n].withColumn(f"__{n}_v", levels).withColumns({f"__{n}_0": F.floor(F.col(f"__{n}_s") / at), f"__{n}_1": F.floor(F.col(f"__{n}_e") / at)})
             return df.withColumn(f"__{n}_b", F.explode(F.sequence(f"__{n}_0", f"__{n}_1"))).drop(f"__{n}_1", f"__{n}_s", f"__{n}_e")
 
+        return [binned("l", "r"), binned("r", "l")]
+
+    def pairs(self, left: DataFrame | None = None) -> DataFrame:
+        """All overlapping pairs, once each."""
+        l, r = self.bins(left)  # noqa: E741
         once = (F.col("__l_b") == F.greatest("__l_0", "__r_0")) & (F.col("__l_v") == F.greatest("__l_c", "__r_c"))
         on = reduce(lambda x, y: x & y, [*self.on, F.col("__l_v") == F.col("__r_v"), F.col("__l_b") == F.col("__r_b"), once, self.test])
-        return binned("l", "r").join(binned("r", "l"), on).drop(*[f"__{n}_{x}" for n in "lr" for x in "v0bc"])
+        # the work is in pairs, not in bytes: with a broadcast side it would stay in the splits of the other, however few
+        return l.join(r.hint("merge"), on).drop(*[f"__{n}_{x}" for n in "lr" for x in "v0bc"])
 
     def named(self, df: DataFrame, lprefix: str | None = None, rprefix: str | None = None, missing: Any = None, right: bool = True) -> Table:
         shown = [(f"{lprefix or ''}{c}", F.col(f"__l{i}")) for i, c in enumerate(self.left.columns)]

@@ -149,6 +149,20 @@ def test_one_long_interval_doesnt_widen_the_bins(spark):
     assert found.df.where("id < 0").count() == 50_000
 
 
+def test_candidates_of_the_bins_grow_with_the_pairs(spark):
+    """A hundredth of the intervals is 10,000 times as long: what meets in a bin is no multiple of what overlaps, and bins are dealt out."""
+    from loomtab.operators.intervals import _Sides
+
+    left = Table(spark.range(200_000).selectExpr("id AS start", "id + IF(id % 100 = 7, 10000, 1) * (id % 17) AS stop"))
+    right = Table(spark.range(30_000).selectExpr("id * 7 AS a", "id * 7 + id % 9 AS b"))
+    sides = _Sides(left, right, "start", "stop", "a", "b", None, None, False)
+    n = [df.groupBy(F.col(f"__{s}_v").alias("v"), F.col(f"__{s}_b").alias("b")).count() for s, df in zip("lr", sides.bins(), strict=True)]
+    met = n[0].toDF("v", "b", "l").join(n[1].toDF("v", "b", "r"), ["v", "b"]).agg(F.sum(F.col("l") * F.col("r"))).first()[0]
+    pairs = sides.pairs()
+    assert met < 2 * pairs.count()
+    assert "SortMergeJoin" in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dates_and_times_as_intervals():
     import datetime as dt
 
