@@ -12,15 +12,22 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 from typing import Any, NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..core import Table, as_table, col, method, session
+from ..plans.shipping import ship
 
 K1, B = 1.2, 0.75
+#: Fields of documents whose words are grouped at once.
+ROWS = 256
 
 
 class Words(NamedTuple):
@@ -74,8 +81,24 @@ def postings(df: DataFrame, docnum: str, fields: list[str]) -> DataFrame:
     none = F.array().cast("array<string>")
     words = df.select(col(docnum).alias("doc"), F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(terms(col(f)), none).alias("w")) for f in fields]).alias("fs"))
     words = words.withColumn("length", F.aggregate("fs", F.lit(0), lambda n, x: n + F.size(x["w"])))
-    each = words.select("doc", "length", F.inline("fs")).select("doc", "length", "field", F.posexplode("w").alias("pos", "term"))
-    return each.groupBy("term", "doc", "field", "length").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    each = words.select("doc", "length", F.inline("fs")).where(F.size("w") > 0)
+    schema = T.StructType([T.StructField("term", T.StringType()), *[each.schema[n] for n in ("doc", "field", "length")], T.StructField("positions", T.ArrayType(T.IntegerType(), False))])
+    ship(df.sparkSession)
+    return each.mapInArrow(_grouped, schema)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's words as a row for each term, with its positions: a document's terms are all in its row, so nothing is shuffled."""
+    for batch in batches:
+        for b in (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS)):
+            words = b.column("w")
+            begins, sizes = words.offsets.to_numpy()[:-1], np.diff(words.offsets.to_numpy())
+            row = np.repeat(np.arange(len(words)), sizes)
+            at = np.arange(len(row)) - np.repeat(begins - begins[0], sizes)
+            each = pa.table({"row": row, "term": words.flatten(), "pos": at.astype(np.int32)})
+            found = each.group_by(["row", "term"], use_threads=False).aggregate([("pos", "list")]).combine_chunks()  # in the words' order
+            row, term, positions = (found[n].combine_chunks() for n in ("row", "term", "pos_list"))
+            yield pa.RecordBatch.from_arrays([term, *[b.column(n).take(row) for n in ("doc", "field", "length")], positions], ["term", "doc", "field", "length", "positions"])
 
 
 # --- segments -------------------------------------------------------------------------------------------------------
@@ -113,9 +136,10 @@ def _segment(df: DataFrame, found: DataFrame, path: str) -> str:
     """Writes a segment of documents (with ``__doc``) and their postings; nothing refers to it yet."""
     name = uuid.uuid4().hex
     at = f"{path}/segments/{name}"
-    found.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/postings")
+    found.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.parquet(f"{at}/postings")
     df.write.parquet(f"{at}/documents")
-    written = session().read.parquet(f"{at}/postings").select("doc", "length").distinct()
+    first = F.col("positions")[0] == 0  # a row for each field of a document, not for each of its terms
+    written = session().read.parquet(f"{at}/postings").where(first).select("doc", "length").distinct()
     written.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).coalesce(1).write.parquet(f"{at}/counts")
     return name
 

@@ -108,3 +108,16 @@ def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "e")
     lt.Table(lt.from_rows(DOCS).df.where("false")).totextindex(path, "id")
     assert list(lt.searchtextindex(path, "cat")) == [("id", "title", "body")]
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    docs = [(i, " ".join(f"w{(i * j) % 7}" for j in range(i % 50)), None if i % 3 else "w1, W1 x") for i in range(700)]
+    found = ti.postings(spark.createDataFrame(docs, "id long, title string, body string").repartition(2), "id", ["title", "body"])
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    expected = []
+    for i, *texts in docs:
+        length = sum(len(words(t)) for t in texts)
+        for f, t in zip(("title", "body"), texts, strict=True):
+            w = words(t)
+            expected += [(x, i, f, length, [p for p, y in enumerate(w) if y == x]) for x in set(w)]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
