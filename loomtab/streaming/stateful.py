@@ -1,7 +1,7 @@
 """Row operators that look at rows before: on streams, across micro-batches.
 
-With a key, each key's last rows are in Spark's state store, so a restarted query goes on where it was; the rows of a key in one micro-batch are in one task, and the trigger bounds
-them. Without a key no state can be split, so ``running`` gives each micro-batch to the batch operator, which takes any number of tasks, beside the one row that the micro-batches before
+With a key, each key's last rows are in Spark's state store, so a restarted query goes on where it was; the rows of a key in one micro-batch are in one task, which sorts
+them in runs on its disk and holds a run in memory. Without a key no state can be split, so ``running`` gives each micro-batch to the batch operator, which takes any number of tasks, beside the one row that the micro-batches before
 it carry on.
 
 Rows are in the table's order within a micro-batch; a later micro-batch's rows come after. So a stream gives the rows of the batch operator if its micro-batches come in order.
@@ -9,12 +9,20 @@ Rows are in the table's order within a micro-batch; a later micro-batch's rows c
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import heapq
+import os
+import pickle
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 from typing import Any
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -26,6 +34,10 @@ from ..plans.stored import stored
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Bytes of rows, about, that go as one value to the tasks of the state store and back.
+PACKED = 1 << 12
+#: Rows that are sorted in memory.
+RUN = 20_000
 
 
 def _rank(v: Any) -> Any:
@@ -38,22 +50,92 @@ def _values(row: Any) -> Any:
     return row if row is None else tuple(row.values() if isinstance(row, dict) else row)
 
 
+def _pickles(rows: Iterable[tuple]) -> Iterator[bytes]:
+    """Rows in pickles of about ``PACKED`` bytes."""
+    rows, n = iter(rows), 16
+    while part := list(islice(rows, n)):
+        data = pickle.dumps(part, pickle.HIGHEST_PROTOCOL)
+        yield data
+        n = max(1, len(part) * PACKED // len(data))
+
+
+def _in_order(rows: Iterable[tuple], most: int = RUN) -> Iterator[tuple]:
+    """Rows by their order, which comes last in each; if they are more than ``most``, in runs on the task's disk, merged."""
+
+    def at(r: tuple) -> Any:
+        return _rank(r[-1])
+
+    rows = iter(rows)
+    run = sorted(islice(rows, most), key=at)
+    if len(run) < most:
+        yield from run
+        return
+    local = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+    with tempfile.TemporaryFile(dir=local if os.path.isdir(local) else None) as f:
+
+        def read(spans: list[tuple[int, int]]) -> Iterator[tuple]:
+            for where, size in spans:
+                f.seek(where)
+                yield from pickle.loads(f.read(size))  # noqa: S301 (this task's own)
+
+        runs = []
+        while run:
+            runs.append([(f.tell(), f.write(data)) for data in _pickles(run)])
+            run = sorted(islice(rows, most), key=at)
+        yield from heapq.merge(*map(read, runs), key=at)
+
+
+def _same(v: Any) -> Any:
+    """A key's value with one form of zero."""
+    return tuple(map(_same, _values(v))) if isinstance(v, (tuple, dict)) else v + 0.0 if isinstance(v, float) else v
+
+
+def _packed(places: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows as pickles of some of a key's rows, each beside the key as text: exact for all types, and few for the state store's task to read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[str, list[tuple]] = {}
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found.setdefault(repr(tuple(_same(r[p]) for p in places)), []).append(r)
+            each = [(k, data) for k, rows in found.items() for data in _pickles(rows)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in each], pa.string()), pa.array([d for _, d in each], pa.binary())], ["key", "rows"])
+
+    return run
+
+
+def _unpacked(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("rows"):
+                columns = zip(*pickle.loads(data.as_py()), strict=True)  # noqa: S301 (of this query's own tasks)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
 class _Processor(StatefulProcessor):
-    """A key's rows in order, with what ``step`` keeps of the rows before."""
+    """A key's rows in order, with what ``step`` keeps of the rows before. Rows come and go in pickles, none of which waits for the others."""
 
     def __init__(self, state: T.StructType, fields: list[str]):
-        self.state, self.row = state, Row(*fields)
+        self.state, self.row = state, Row(*(f"c{i}" for i in range(len(fields))))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getValueState("kept", self.state)
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+    def _stepped(self, rows: Iterable[tuple]) -> Iterator[tuple]:
         kept = tuple(self.kept.get()) if self.kept.exists() else (None,) * len(self.state)
-        for r in sorted(map(tuple, rows), key=lambda r: _rank(r[-1])):
+        for r in _in_order(rows):
             kept, out = self.step(kept, r)
-            yield from (self.row(*x) for x in out)
+            for x in out:
+                yield tuple(self.row(*x).asDict(True).values())
         self.kept.update(kept)
 
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        found = (r for part in rows for data in part["rows"] for r in pickle.loads(data))  # noqa: S301 (of this query's own tasks)
+        for data in _pickles(self._stepped(found)):
+            yield pd.DataFrame({"rows": [data]})
+
     def close(self) -> None:
         pass
 
@@ -104,7 +186,8 @@ def _keyed(t: Table, keys: list[str], processor: _Processor, schema: T.StructTyp
     ship(spark)
     if "RocksDB" not in (spark.conf.get(PROVIDER, "") or ""):
         spark.conf.set(PROVIDER, ROCKS)  # the only store that this kind of state has
-    return Table(t.frame.groupBy(*map(col, keys)).transformWithState(processor, schema, "Append", "None"))
+    held = t.frame.mapInArrow(_packed([t.frame.columns.index(k) for k in keys]), "key string, rows binary").groupBy("key").transformWithStateInPandas(processor, "rows binary", "Append", "None")
+    return Table(held.mapInArrow(_unpacked(to_arrow_schema(schema)), schema))
 
 
 def _loose(s: T.StructType) -> T.StructType:

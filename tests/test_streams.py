@@ -1,12 +1,17 @@
 """Stateful row operators on streams: five micro-batches, and a restart between them, give what the batch operators give."""
 
+import datetime
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 import loomtab as lt
 from loomtab import Table
 from loomtab.errors import ArgumentError, OrderRequired
+from loomtab.streaming import stateful
 from loomtab.streaming.stateful import running
 
 ROWS = [(i, "abc"[i * i % 3 % 3] if i % 11 else "hot", (1 << 60) + i if i % 4 == 0 else None, f"v{i}" if i % 3 == 0 else ("" if i % 3 == 1 else None)) for i in range(100)]
@@ -80,3 +85,55 @@ def test_streams_need_an_order_and_a_key(spark, tmp_path):
         lt.filldown(Table(t.df), "n", by="k")
     with pytest.raises(ArgumentError):
         running(t, "sort", "x", "y")
+
+
+class Kept:
+    """A state without a store."""
+
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_a_key_of_many_rows_takes_little_memory():
+    """100,000 rows of one key in one micro-batch, in no order: sorted in runs, and given out piece by piece."""
+    n = 100_000
+    wide = pa.schema([("id", pa.int64()), ("k", pa.string()), ("n", pa.int64()), ("o", pa.struct([("id", pa.int64())]))])
+
+    def batches():
+        for at in range(0, n, 10_000):
+            ids = [(i * 7919) % n for i in range(at, at + 10_000)]
+            yield pa.RecordBatch.from_pylist([{"id": i, "k": "hot", "n": (1 << 60) + i if i % 4 == 0 else None, "o": {"id": i}} for i in ids], wide)
+
+    p = stateful._Filled([2], None, T.StructType([T.StructField("c0", T.LongType())]), wide.names)
+    p.kept = Kept()
+    tracemalloc.start()
+    packed = (b.to_pandas() for b in stateful._packed([1])(batches()))
+    seen = 0
+    for part in p.handleInputRows(("hot",), packed, None):
+        for b in stateful._unpacked(wide)([pa.RecordBatch.from_pandas(part)]):
+            for r in b.to_pylist():
+                assert r == {"id": seen, "k": "hot", "n": (1 << 60) + seen // 4 * 4, "o": {"id": seen}}
+                seen += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == n and p.kept.get() == ((1 << 60) + n - 4,)
+    assert peak < 50e6
+
+
+def test_keys_of_all_types_are_told_apart(spark, tmp_path):
+    """Keys of several fields, nulls, zeros of both signs, times by the microsecond and long integers."""
+    schema = "id long, a long, b double, t timestamp, s string, n long"
+    data = [(i, [None, 1 << 60, (1 << 60) + 1][i % 3], [0.0, -0.0, float("nan"), None][i % 4], datetime.datetime(2020, 1, 1, microsecond=i % 2), [None, "None", "', '"][i % 5 % 3], i if i % 3 else None) for i in range(200)]
+    spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = lt.filldown(Table(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "id"), "n", by=("a", "b", "t", "s")).df
+    got.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination(180)
+    expected = lt.filldown(Table(spark.createDataFrame(data, schema), "id"), "n", by=("a", "b", "t", "s")).df
+    assert sorted(map(repr, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(repr, expected.collect()))
