@@ -162,3 +162,28 @@ def test_damage_raises(spark, tmp_path):
     (tmp_path / "deep").write_bytes(avro.header(deep, "null") + b"m" * 16 + b"\2\2\0" + b"m" * 16)
     with pytest.raises(ArgumentError, match="contains itself"):
         lt.fromavro(f"{tmp_path}/deep")
+
+
+def test_members_of_unions_are_found_by_type_where_that_tells_them(monkeypatch):
+    """Writing a row tries no member after another, and chooses those that trying chooses."""
+    unions = [["null", "int", "long", "double"], ["null", "long", "int"], ["string", {"type": "enum", "name": "e", "symbols": ["a"]}], [{"type": "enum", "name": "e", "symbols": ["a"]}, "string", "bytes"], ["boolean", "float", {"type": "long", "logicalType": "timestamp-micros"}, {"type": "int", "logicalType": "date"}], ["null", {"type": "array", "items": "int"}, {"type": "map", "values": "int"}]]
+    values = [None, True, 0, -5, 2**31 - 1, 2**31, -(2**31) - 1, 1 << 60, 0.5, "a", "b", b"x", datetime.datetime(1950, 1, 2, 3, 4, 5, 6), datetime.date(2020, 1, 1), [1], {"k": 1}]
+    for d in unions:
+        named = avro.Named(d)
+        write, read = avro.encoder(named, d), avro.decoder(named, d)
+        for v in values:
+            tried = next((i for i, m in enumerate(d) if avro._fits(named, m, v)), None)
+            if tried is None:
+                with pytest.raises(ValueError, match="fits no member"):
+                    write(v, bytearray())
+                continue
+            out = bytearray()
+            write(v, out)
+            assert avro.read_long(bytes(out), 0)[0] == tried
+            assert read(bytes(out), 0)[1] == len(out)
+    fields = [{"name": n, "type": ["null", m]} for n, m in (("a", "long"), ("b", "int"), ("c", "double"), ("d", "string"), ("e", {"type": "long", "logicalType": "local-timestamp-micros"}))]
+    named = avro.Named({"type": "record", "name": "r", "fields": fields})
+    write = avro.encoder(named, named.schema)
+    monkeypatch.setattr(avro, "_fits", None)
+    write({"a": 7, "b": -7, "c": 0.5, "d": "x", "e": avro.EPOCH}, out := bytearray())
+    assert avro.decoder(named, named.schema)(bytes(out), 0) == ({"a": 7, "b": -7, "c": 0.5, "d": "x", "e": 0}, len(out))
